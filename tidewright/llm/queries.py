@@ -1,12 +1,15 @@
 """The queries of this folder and their SQL."""
 
+from .mixing import op10_mix_sources, op10_sql
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .token_counts import OP3_SQL, op3_token_counts, op3_token_counts_bpe
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup)}
+    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op10_mix_sources)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_token_counts": OP3_SQL, "op10_mix_sources": op10_sql()}
