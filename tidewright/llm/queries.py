@@ -1,5 +1,6 @@
 """The queries of this folder and their SQL."""
 
+from .decontaminate import op9_decontaminate
 from .mixing import op10_mix_sources, op10_sql
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
@@ -7,7 +8,7 @@ from .token_counts import OP3_SQL, op3_token_counts, op3_token_counts_bpe
 
 
 def queries() -> dict:
-    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op10_mix_sources)
+    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op9_decontaminate, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
