@@ -40,7 +40,7 @@ def text_blocks(docs: DataFrame, block_docs: int, id_col: str = "doc_id", text_c
 
 def buckets_for(docs: DataFrame) -> int:
     """Buckets follow the session's shuffle partitions, which follow the size of the data."""
-    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def sorted_block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:

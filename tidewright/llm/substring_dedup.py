@@ -141,7 +141,7 @@ def _cut(block: _Block, answers: pa.Table, window: int, schema: str) -> pa.Table
     return B.rows(schema, **out)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, block_docs: int = 128, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, block_docs: int = 256, texts: bool = True) -> DataFrame:
     """Remove every word covered by a ``window``-word passage that also starts anywhere else.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept``

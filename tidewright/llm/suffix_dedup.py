@@ -158,7 +158,7 @@ def _cut(block: _Block, answers: pa.Table, window: int, n_buckets: int, schema:
     return B.rows(schema, **out)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24, block_docs: int = 128, batch_windows: int = 250_000, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24, block_docs: int = 256, batch_windows: int = 250_000, texts: bool = True) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that starts in a smaller document too.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``,
