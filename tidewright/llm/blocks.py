@@ -165,7 +165,7 @@ def unpack48(data: bytes | memoryview) -> np.ndarray:
 
 def rows(schema: str, **columns) -> pa.Table:
     """A table for the Spark types named in ``schema``."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     return pa.table([pa.array(columns[n], kinds[t]) for n, t in (c.strip().split(" ") for c in schema.split(","))], names=[c.strip().split(" ")[0] for c in schema.split(",")])
 
 
