@@ -2,6 +2,7 @@
 
 from .decontaminate import op9_decontaminate
 from .mixing import op10_mix_sources, op10_sql
+from .page_differencing import op7_extract_pages
 from .spotsigs import op4_spot_fingerprints
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
@@ -10,7 +11,7 @@ from .token_counts import OP3_SQL, op3_token_counts, op3_token_counts_bpe
 
 
 def queries() -> dict:
-    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op6_toxicity, op9_decontaminate, op10_mix_sources)
+    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op6_toxicity, op7_extract_pages, op9_decontaminate, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
