@@ -1,6 +1,7 @@
 """The queries of this folder and their SQL."""
 
 from .decontaminate import op9_decontaminate
+from .minhash import op5_near_duplicates
 from .mixing import op10_mix_sources, op10_sql
 from .page_differencing import op7_extract_pages
 from .spotsigs import op4_spot_fingerprints
@@ -11,7 +12,7 @@ from .token_counts import OP3_SQL, op3_token_counts, op3_token_counts_bpe
 
 
 def queries() -> dict:
-    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op6_toxicity, op7_extract_pages, op9_decontaminate, op10_mix_sources)
+    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op5_near_duplicates, op6_toxicity, op7_extract_pages, op9_decontaminate, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
