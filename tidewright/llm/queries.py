@@ -7,12 +7,13 @@ from .page_differencing import op7_extract_pages
 from .spotsigs import op4_spot_fingerprints
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
+from .suffix_tree_lm import op8_score_texts
 from .toxicity import op6_toxicity
 from .token_counts import OP3_SQL, op3_token_counts, op3_token_counts_bpe
 
 
 def queries() -> dict:
-    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op5_near_duplicates, op6_toxicity, op7_extract_pages, op9_decontaminate, op10_mix_sources)
+    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op5_near_duplicates, op6_toxicity, op7_extract_pages, op8_score_texts, op9_decontaminate, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
