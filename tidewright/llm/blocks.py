@@ -53,8 +53,7 @@ def sorted_block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a column of strings, and the offsets of its rows."""
-    array = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
-    array = array.cast(pa.large_string())
+    array = column.combine_chunks().cast(pa.large_string())
     _, offsets, data = array.buffers()
     at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     if data is None or at[-1] == at[0]:
@@ -67,10 +66,8 @@ def word_codes(column: pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray
 
     ``lower`` maps A-Z only.
     """
-    texts = pc.fill_null(column, "")
-    texts = (pc.ascii_lower(texts) if lower else texts).cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(texts)
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    texts = column.combine_chunks().cast(pa.large_string()).fill_null("")  # no chunks make an empty array
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, parents = pc.list_flatten(lists), pc.list_parent_indices(lists)
     full = pc.not_equal(flat, "")
     words = flat.filter(full).dictionary_encode()

@@ -96,7 +96,7 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = 4 * B.buckets_for(docs)
     at = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("at")).first()["at"] or []
-    splits = [-math.inf, *sorted({float(x) for x in at}), math.inf]
+    splits = [-math.inf, *sorted({float(x) for x in at} or {0.0}), math.inf]
     split = Bucketizer(splits=splits, inputCol="_id", outputCol="range")
     rows = split.transform(rows.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id").withColumn("range", F.col("range").cast("int"))
     firsts = rows.groupBy("range").agg(F.min("doc_id").alias("doc_id"))  # at most n rows

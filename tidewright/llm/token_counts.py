@@ -80,32 +80,42 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def committed(self, batch_id: str) -> bool:
-        """A batch counts once its folder has the marker that Spark's committer writes last."""
+    def batches(self) -> set[str]:
+        """Committed batch ids, one short row each; a folder without its row doesn't count."""
         try:
-            return self.spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(f"{self.path}/batch={batch_id}/_SUCCESS").limit(1).count() > 0
+            return {r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{self.path}/commits").collect()}
         except AnalysisException:
-            return False
+            return set()
+
+    def committed(self, batch_id: str) -> bool:
+        return batch_id in self.batches()
 
     def commit(self, batch_id: str, counts: DataFrame) -> bool:
-        """Aggregate ``(source, lang, sign, tokenizer, tokens)`` and add it as ``batch_id``; False if it is there."""
+        """Aggregate ``(source, lang, sign, tokenizer, tokens)`` and add it as ``batch_id``; False if it is there.
+
+        The delta is written first and its id then; a job that dies between the two
+        writes the same folder again.
+        """
         if self.committed(batch_id):
             return False
         delta = counts.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"))
         delta.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self.spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return True
 
     def totals(self) -> DataFrame:
-        try:
-            deltas = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/batch=*")
-        except AnalysisException:
-            deltas = self.spark.createDataFrame([], self.SCHEMA)
+        own = sorted(self.batches())
+        deltas = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in own]) if own else self.spark.createDataFrame([], self.SCHEMA)
         return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, path: str) -> Rollup:
         """A new store with one folder for all batches so far, without groups that are empty."""
-        self.totals().where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{path}/batch=compacted")
-        return Rollup(self.spark, path)
+        self.totals().where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{path}/batch=compacted")
+        store = Rollup(self.spark, path)
+        store.spark.createDataFrame([("compacted",), *((b,) for b in self.batches())], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits")
+        for batch in self.batches():  # their counts are in the compacted folder
+            self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        return store
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
