@@ -8,10 +8,11 @@
    the binomial; below ``prune_miss`` the pair is dropped.  Survivors are verified on
    their full sets.
 4. Links make components.  Band values that still hold members of two components
-   are swept: members meet in blocks, signatures of pairs across components are
-   compared by the same rule, and survivors are verified.  So no pair of a band
-   value goes untested unless its two ends are already in one component; pairs
-   inside a component are never made.
+   are swept: members meet in chunks, signatures of pairs across components are
+   compared by the same rule, survivors are verified on the spot, and only links
+   that join two components leave the task.  So no pair of a band value goes
+   untested unless its two ends are already in one component, and no pairs are
+   made as rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from .components import components
 from .shared import bounded_broadcast, cut, slices
 
 LAST_ID = 2**63 - 1
-CHUNK = 512
+#: Members and shingles that a task of the sweep holds of one chunk.
+CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
 
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
@@ -127,41 +130,76 @@ def _sequential(a: str, b: str, rule: list[tuple[int, int]]):
     return out
 
 
-def _verified(pairs: DataFrame, vertices: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of set ids whose full sets reach the threshold: 100 * both >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(vertices.select("set_id", "first_id"), "set_id")
-    wanted = cut(wanted)
+def _sets_of(ids: DataFrame, vertices: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """``set_id, shingles`` of the wanted set ids, made again from one text of each."""
+    wanted = cut(ids.select("set_id").distinct().join(vertices.select("set_id", "first_id"), "set_id"))
     texts = rows.join(bounded_broadcast(wanted.select(F.col("first_id").alias("doc_id")).distinct(), 1_000_000), "doc_id", "left_semi")
-    sets = cut(_full_sets(texts, size).join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    return cut(_full_sets(texts, size).join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of set ids whose full sets reach the threshold: 100 * both >= percent * union."""
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _sweep(members: DataFrame, rule: list[tuple[int, int]]) -> DataFrame:
-    """Surviving pairs across components of ``(key, set_id, label, signature)``, in blocks of CHUNK members."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("set_id"), chunks).cast("int"))
+class _Joined:
+    """Union-find over the labels of one task's members."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def merge(self, a: int, b: int) -> None:
+        self.root[self.root == self.root[b]] = self.root[a]
+
+
+def _sweep(members: DataFrame, rule: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Links ``a, b`` that join components of ``(key, set_id, label, n, signature, shingles)``.
+
+    Members of a band value meet in chunks of bounded size, each pair of chunks in
+    a task of its own.  Pairs of one component, or of two that the task has joined,
+    are passed over; signatures go by the sequential rule, survivors by their full
+    sets, one member against all at once.  Only links that join are returned, fewer
+    than members.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("total") / CHUNK_SHINGLES)).cast("int")
+    placed = members.drop("n").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("set_id"), chunks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "label", "signature")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "label", "signature", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, own = table["set_id"].to_pylist(), table["own"].to_numpy()
-        signature = np.array(table["signature"].to_pylist(), np.int32)
-        label = np.unique(np.array(table["label"].to_pylist(), "S16"), return_inverse=True)[1]
+        lists = table["shingles"].combine_chunks()
+        signature = table["signature"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        vocabulary, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
+        n = np.diff(at)
+        labels, label = np.unique(np.array(table["label"].to_pylist(), "S16"), return_inverse=True)
+        joined, marks = _Joined(len(labels)), np.zeros(len(vocabulary), bool)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found: tuple[list[bytes], list[bytes]] = ([], [])
         for x in left:
-            ys = right[(label[right] != label[x]) & ((right > x) if i == j else True)]
-            at, matches = 0, np.zeros(len(ys), int)
-            for n, least in rule:
-                matches += (signature[ys, at:n] == signature[x, at:n]).sum(axis=1)
-                ys, matches, at = ys[matches >= least], matches[matches >= least], n
-            for y in ys:
-                found[0].append(min(ids[x], ids[y]))
-                found[1].append(max(ids[x], ids[y]))
+            ys = right[right > x] if i == j else right
+            ys = ys[(joined.root[label[ys]] != joined.root[label[x]]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
+            seen, matches = 0, np.zeros(len(ys), int)
+            for upto, least in rule:
+                matches += (signature[ys, seen:upto] == signature[x, seen:upto]).sum(axis=1)
+                ys, matches, seen = ys[matches >= least], matches[matches >= least], upto
+            if not len(ys):
+                continue
+            own_codes = codes[at[x] : at[x + 1]]
+            marks[own_codes] = True
+            where, which = B.spread(at[ys], n[ys])
+            both = np.bincount(which, weights=marks[codes[where]], minlength=len(ys)).astype(np.int64)
+            marks[own_codes] = False
+            for y in ys[100 * both >= percent * (n[ys] + n[x] - both)]:
+                if joined.root[label[y]] != joined.root[label[x]]:
+                    joined.merge(label[x], label[y])
+                    found[0].append(min(ids[x], ids[y]))
+                    found[1].append(max(ids[x], ids[y]))
         return pa.table([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["a", "b"])
 
     return placed.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
@@ -195,14 +233,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signature = vertices.select("set_id", "signature")
     stars = tied.where(F.col("a") != F.col("b")).select("a", "b").distinct()
     stars = stars.join(signature.toDF("a", "ga"), "a").join(signature.toDF("b", "gb"), "b").where(_sequential("ga", "gb", rule)).select("a", "b")
-    links = cut(_verified(cut(stars), vertices, rows, size, percent))
+    stars = cut(stars)
+    links = cut(_verified(stars, _sets_of(stars.select(F.explode(F.array("a", "b")).alias("set_id")), vertices, rows, size), percent))
     labels = components(links)
     held = tied.select("key", F.col("b").alias("set_id")).join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    # with two members the only pair was a star's
     apart = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high and m > 2").select("key")
-    swept = cut(_sweep(held.join(apart, "key", "left_semi").join(signature, "set_id").select("key", "set_id", "label", "signature"), rule))
-    if swept.limit(1).count():
-        more = _verified(swept, vertices, rows, size, percent)
-        labels = components(cut(links.unionByName(more)))
+    open_ = cut(held.join(apart, "key", "left_semi"))
+    if open_.limit(1).count():
+        sets = _sets_of(open_, vertices, rows, size)
+        swept = open_.join(signature, "set_id").join(sets, "set_id").select("key", "set_id", "label", F.size("shingles").alias("n"), "signature", "shingles")
+        labels = components(cut(links.unionByName(_sweep(swept, rule, percent))))
     named = vertices.select("set_id", "first_id").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("set_id", "component_id")
