@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, n_words, shared_path, slices
+from .shared import WORD, bounded_broadcast, cut, n_words, shared_path, slices
 
 KEYS = ("source", "lang", "tokenizer")
 BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -118,11 +118,17 @@ class Rollup:
         return store
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """Rows whose exact text an earlier document has; digests are shuffled, not texts."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    first = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return docs.join(first, digest == F.col("digest")).where(F.col("doc_id") > F.col("first"))
+def later_copies(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """Rows whose exact text an earlier document has.
+
+    Only ids and digests are shuffled; the rows themselves are found by a semi-join
+    with the copies' ids and digests, broadcast up to ``broadcast_rows`` (counted).
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    keys = docs.select("doc_id", digest.alias("digest"))
+    first = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = cut(keys.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest").distinct())
+    return docs.withColumn("digest", digest).join(bounded_broadcast(copies, broadcast_rows), ["doc_id", "digest"], "left_semi").select(docs.columns)
 
 
 def _maintained(spark: SparkSession, sf_dir: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
