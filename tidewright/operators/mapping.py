@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), dot(a, b) / F.nullif(norm, F.lit(0.0))), F.lit(0.0))
 
 
+def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, chunk: int = 20_000) -> DataFrame:
+    """``query_id, id, score``: the k rows of largest cosine for each query, itself left out; scores have six digits.
+
+    ``queries`` and ``rows``: ``id, vector`` with ids that say who is who.  A stated
+    query set meets all rows in chunks of at most ``chunk`` queries, one matrix
+    product per batch of rows; a task sends on k rows per query and batch.  Null and
+    zero vectors have score 0; ties go to the smaller id.
+    """
+    spark = rows.sparkSession
+    schema = "query_id long, id long, score double"
+
+    def unit(vectors) -> np.ndarray:
+        width = max((len(v) for v in vectors if v is not None), default=1)
+        m = np.array([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), width)
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    parts = []
+    n_chunks = max(1, -(-queries.count() // chunk))
+    for i in range(n_chunks):
+        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == i).toPandas()  # about ``chunk`` rows
+        shared = spark.sparkContext.broadcast((own["id"].to_numpy(), unit(list(own["vector"]))))
+
+        def best(batches, shared=shared):
+            ids, q = shared.value
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                score = np.round(np.maximum(0.0, q @ unit(list(batch["vector"])).T), 6)
+                other = batch["id"].to_numpy()
+                score[ids[:, None] == other[None, :]] = -1.0
+                order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
+                rank = np.take_along_axis(score, order, axis=1)
+                keep = rank >= 0
+                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "id": other[order][keep], "score": rank[keep]})
+
+        parts.append(rows.select("id", "vector").mapInPandas(best, schema))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return reduce(DataFrame.unionByName, parts).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
 def score_pairs(pairs: DataFrame, file_type: str = "", vectors: DataFrame | None = None, renormalize: bool = False) -> DataFrame:
     """Scores for rows with ``source_column, target_column``; each distinct pair is scored once.
 

@@ -538,17 +538,12 @@ def name_jaccard(spark, sf_dir):
     return pairs.select("a", "b", mapping.name_jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
 
 
-@query("""with s as (select q.vec_id as query_id, e.vec_id as vec_id, round(greatest(0, list_cosine_similarity(q.embedding::double[], e.embedding::double[])), 6) as score from (select * from embeddings where vec_id < 3) q join embeddings e on e.vec_id <> q.vec_id)
-  select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""")
+@query("""with s as (select q.vec_id as query_id, e.vec_id as id, round(greatest(0, list_cosine_similarity(q.embedding::double[], e.embedding::double[])), 6) as score from (select * from embeddings where vec_id % 20 = 0) q join embeddings e on e.vec_id <> q.vec_id)
+  select query_id, id, score from s qualify row_number() over (partition by query_id order by score desc, id) <= 5""")
 def semantic_topk(spark, sf_dir):
-    """The five nearest vectors of a stated set of three; the window's group limit prunes before the shuffle."""
-    from pyspark.sql.window import Window as W
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = F.broadcast(rows.where("vec_id < 3").toDF("query_id", "q"))  # three rows
-    scored = rows.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(mapping.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("_k", F.row_number().over(order)).where("_k <= 5").drop("_k")
+    """The stated query set, ids divisible by 20, against all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return mapping.nearest_vectors(rows.where("id % 20 = 0"), rows)
 
 
 def _part_names(spark, sf_dir):
