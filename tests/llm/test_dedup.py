@@ -76,3 +76,12 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.label for r in components(links).collect()}
     assert {got[i] for i in range(41)} == {0} and got[101] == 100
+
+
+def test_ids_with_wide_gaps_and_below_zero(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i * 10**15 - 5 * 10**15, f"{text} {i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_docs=4).collect()}
+    assert got == brute.suffix_dedup(rows)
+    assert Counter(tuple(r)[:4] for r in substring_dedup(docs, block_docs=4).collect()) == Counter(brute.substring_dedup(rows))

@@ -31,11 +31,15 @@ EXCHANGE = "bucket int, block long, kind int, payload binary"
 
 
 def text_blocks(docs: DataFrame, block_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(block, doc_id, text)``: consecutive ids share a block, and blocks rise with the ids."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    return docs.select(
-        F.floor(key / F.lit(block_docs)).cast("long").alias("block"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    )
+    """``(block, doc_id, text)``: neighbouring ids share a block of about ``block_docs``, and blocks rise with the ids.
+
+    Ids with gaps get wider ranges, by one aggregate of the id column.
+    """
+    own = F.col(id_col).cast("long")
+    low, high, n = docs.agg(F.min(own), F.max(own), F.count(own)).first()
+    width = block_docs * max(1, -(-(high - low + 1) // n)) if n else block_docs
+    key = F.coalesce(own, F.lit(NULL_ID))
+    return docs.select(F.floor(key / F.lit(width)).cast("long").alias("block"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def buckets_for(docs: DataFrame) -> int:
