@@ -74,14 +74,14 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, chunk: int
     ``queries`` and ``rows``: ``id, vector`` with ids that say who is who.  A stated
     query set meets all rows in chunks of at most ``chunk`` queries, one matrix
     product per batch of rows; a task sends on k rows per query and batch.  Null and
-    zero vectors have score 0; ties go to the smaller id.
+    zero vectors, and those of another length, have score 0; ties go to the smaller id.
     """
     spark = rows.sparkSession
     schema = "query_id long, id long, score double"
 
-    def unit(vectors) -> np.ndarray:
-        width = max((len(v) for v in vectors if v is not None), default=1)
-        m = np.array([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), width)
+    def unit(vectors, width: int | None = None) -> np.ndarray:
+        width = width or max((len(v) for v in vectors if v is not None), default=1)
+        m = np.array([np.zeros(width) if v is None or len(v) != width else np.asarray(v, float) for v in vectors]).reshape(len(vectors), width)
         n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
@@ -96,7 +96,7 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, chunk: int
             for batch in batches:
                 if not len(batch) or not len(ids):
                     continue
-                score = np.round(np.maximum(0.0, q @ unit(list(batch["vector"])).T), 6)
+                score = np.round(np.maximum(0.0, q @ unit(list(batch["vector"]), q.shape[1]).T), 6)
                 other = batch["id"].to_numpy()
                 score[ids[:, None] == other[None, :]] = -1.0
                 order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
