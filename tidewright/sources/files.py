@@ -116,7 +116,8 @@ def read_csv_strings(spark: SparkSession, paths: Sequence[str], multi_line: bool
     Files are read in groups of one header and encoding, since one read takes the
     first file's header for all; groups are joined by name.  Thai files are read as
     single bytes, which split and stay line by line, and translated.  A file without
-    a header is an error.  ``skip_rows``: lines above the header.
+    a header is an error.  ``skip_rows``: rows above the header; a file that has them
+    is read whole by one task, since Spark's reader can't leave them out.
     """
     heads = peek_headers(spark, paths, skip_rows + 1).where(F.col("header_row") == skip_rows).groupBy("path", "encoding").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "cell"))), lambda x: x["cell"]).alias("header"))
     groups: dict[tuple, list[str]] = {}
@@ -126,18 +127,41 @@ def read_csv_strings(spark: SparkSession, paths: Sequence[str], multi_line: bool
         raise ValueError("no file has a header")
     parts = []
     for (header, encoding), own in sorted(groups.items(), key=lambda g: g[1]):
-        reader = spark.read.option("header", skip_rows == 0).option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True)
-        reader = reader.option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
         names = _distinct(header)
-        df = reader.schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(sorted(own))
         if skip_rows:
-            df = df.where(F.coalesce(F.col("c0"), F.lit("")) != F.lit(header[0])).where(F.reduce(F.array(*df.columns), F.lit(0), lambda s, v: s + F.when(v.isNotNull(), 1).otherwise(0)) > 1) if len(names) > 1 else df
-        file = F.col("_metadata.file_name").alias("_source_file")
+            parts.append(_named(spark.read.format("binaryFile").load(sorted(own)).select("path", "content").mapInPandas(_after(skip_rows + 1), "path string, cells array<string>"), names))
+            continue
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True)
+        reader = reader.option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
+        df = reader.schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(sorted(own))
         cells = [F.translate(F.col(f"c{i}"), *_cp874()) if encoding == "cp874" else F.col(f"c{i}") for i in range(len(names))]
-        parts.append(df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)], file))
+        parts.append(df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)], F.col("_metadata.file_name").alias("_source_file")))
     return nulls(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), na_tokens)
 
 
+def _after(rows: int):
+    """Rows of decoded CSV files after the first ``rows``."""
+
+    def read(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                found = []
+                for i, row in enumerate(csv.reader(io.StringIO(decode(bytes(content))[0]))):
+                    if i >= rows and row:
+                        found.append((path, row))
+                    if len(found) == 10_000:
+                        yield pd.DataFrame(found, columns=["path", "cells"])
+                        found = []
+                yield pd.DataFrame(found, columns=["path", "cells"])
+
+    return read
+
+
+def _named(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``path, cells`` as columns with ``_source_file``."""
+    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], F.regexp_extract("path", r"([^/\\]*)$", 1).alias("_source_file"))
+
+
 def _distinct(header: Sequence[str]) -> list[str]:
     """Names as they are; a second 'a' is 'a.1', and so on, an empty one says its place."""
     out: list[str] = []
@@ -178,5 +202,5 @@ def read_excel_strings(spark: SparkSession, paths: Sequence[str], na_tokens: Seq
     parts = []
     for header, own in groups.items():
         rows = spark.read.format("binaryFile").load(own).select("path", "content").mapInPandas(read, "path string, cells array<string>")
-        parts.append(rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(_distinct(header))], F.regexp_extract("path", r"([^/\\]*)$", 1).alias("_source_file")))
+        parts.append(_named(rows, _distinct(header)))
     return nulls(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), na_tokens)
