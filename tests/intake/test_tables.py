@@ -158,3 +158,10 @@ def test_nearest_vectors(spark):
         got = mapping.nearest_vectors(rows.where("id in (0, 3)"), rows, 2, chunk).orderBy("query_id", F.desc("score"), "id").collect()
         assert [(r.query_id, r.id) for r in got] == [(0, 1), (0, 5), (3, 0), (3, 1)] and got[2].score == 0.0
     assert mapping.nearest_vectors(rows.where("false"), rows).count() == 0
+
+
+def test_context_and_meaning(spark):
+    df = spark.createDataFrame([("Order No", "คำสั่ง"), ("หมายเลข 1", "หมายเลข 2"), ("shopee x", "y"), ("a", "b")], "a string, b string")
+    col = lambda t: [r[0] for r in df.select(mapping.context_similarity(F.col("a"), F.col("b"), t)).collect()]
+    assert col("") == [0.5, 0.5, 0.0, 0.0] and col("my_JST") == [0.5, 0.8, 0.0, 0.0] and col("shopee") == [0.5, 0.5, 0.2, 0.0]
+    assert df.select(mapping.semantic_text(F.lit("Order-Date (id)"))).first()[0] == "Order Date id identifier number date time"

@@ -16,14 +16,23 @@ from ..plans.spec import FileTypeSpec
 
 #: Groups of keywords that say what a column is about, English and Thai (fixed values).
 KEYWORDS = {
-    "order": ["order", "คำสั่งซื้อ", "เลขที่"],
-    "product": ["product", "item", "สินค้า", "รายการ"],
-    "price": ["price", "amount", "ราคา", "จำนวนเงิน"],
-    "date": ["date", "time", "วันที่", "เวลา"],
-    "user": ["user", "customer", "ผู้ใช้", "ลูกค้า"],
+    "order": ["order", "คำสั่ง", "ออเดอร์", "สั่งซื้อ", "หมายเลข"],
+    "product": ["product", "สินค้า", "ผลิตภัณฑ์", "ชื่อ", "รหัส"],
+    "price": ["price", "ราคา", "ยอด", "เงิน", "cost"],
+    "date": ["date", "time", "วันที่", "เวลา", "created", "updated"],
+    "user": ["user", "buyer", "customer", "ผู้ใช้", "ผู้ซื้อ", "บัญชี", "ลูกค้า"],
 }
-#: What a file type's name adds to the context score (fixed values).
-TYPE_BONUS = {"jst": 0.3, "shopee": 0.2}
+#: Words of a name that a model should read with more context, and what is added (fixed values).
+MEANINGS = [
+    (["id", "รหัส", "หมายเลข"], " identifier number"),
+    (["name", "ชื่อ"], " name title"),
+    (["date", "time", "วันที่", "เวลา"], " date time"),
+    (["price", "ราคา", "ยอด"], " price amount money"),
+]
+#: File types with a bonus: part of the type's name, word in the names, whether both must have it, bonus (fixed values).
+TYPE_BONUS = [("jst", "หมายเลข", True, 0.3), ("shopee", "shopee", False, 0.2)]
+#: Words for names that identify, and names that name (fixed values).
+IDENTIFIERS, NAMES = ["หมายเลข", "number", "id"], ["ชื่อ", "name"]
 SEMANTIC, STRING, CONTEXT = 0.5, 0.3, 0.2
 LEAST_SCORE, AUTO = 0.2, 70.0
 
@@ -53,12 +62,26 @@ def string_similarity(a: Column, b: Column) -> Column:
     return 0.7 * sequence_ratio(plain_name(a), plain_name(b)) + 0.3 * name_jaccard(a, b)
 
 
+def _has(c: Column, words: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in words])
+
+
 def context_similarity(a: Column, b: Column, file_type: str = "") -> Column:
-    """0.5 if both names hit one keyword group, plus the bonus of the file type, at most 1."""
-    hit = lambda c, words: reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in words])
-    both = reduce(Column.__or__, [hit(a, w) & hit(b, w) for w in KEYWORDS.values()])
-    bonus = sum(x for k, x in TYPE_BONUS.items() if k in file_type.lower())
-    return F.least(F.lit(1.0), F.when(both, F.lit(0.5)).otherwise(F.lit(0.0)) + F.lit(float(bonus)))
+    """0.5 if both names hit one keyword group, plus the first bonus of the file type that applies, at most 1."""
+    both = reduce(Column.__or__, [_has(a, w) & _has(b, w) for w in KEYWORDS.values()])
+    score = F.when(both, F.lit(0.5)).otherwise(F.lit(0.0))
+    for part, word, all_, bonus in TYPE_BONUS:
+        if part in file_type.lower():
+            met = _has(a, [word]) & _has(b, [word]) if all_ else _has(a, [word]) | _has(b, [word])
+            score = score + F.when(met, F.lit(bonus)).otherwise(F.lit(0.0))
+            break
+    return F.least(F.lit(1.0), score)
+
+
+def semantic_text(c: Column) -> Column:
+    """What an embedding model should be given for a name."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.concat(bare, *[F.when(_has(c, words), F.lit(added)).otherwise(F.lit("")) for words, added in MEANINGS])
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -129,9 +152,8 @@ def score_pairs(pairs: DataFrame, file_type: str = "", vectors: DataFrame | None
 
 def reason(s: str = "semantic_score", t: str = "string_score") -> Column:
     band = lambda c, name: F.when(F.col(c) > 0.7, F.lit(f"high {name} similarity")).when(F.col(c) > 0.4, F.lit(f"some {name} similarity"))
-    ident = lambda c: F.lower(F.col(c)).rlike(r"(^|[^a-z])(id|code|no)([^a-z]|$)")
-    named = lambda c: F.contains(F.lower(F.col(c)), F.lit("name"))
-    labels = F.concat_ws("; ", band(s, "meaning"), band(t, "spelling"), F.when(ident("source_column") & ident("target_column"), "both identifiers"), F.when(named("source_column") & named("target_column"), "both names"))
+    a, b = F.col("source_column"), F.col("target_column")
+    labels = F.concat_ws("; ", band(s, "meaning"), band(t, "spelling"), F.when(_has(a, IDENTIFIERS) & _has(b, IDENTIFIERS), "both identifiers"), F.when(_has(a, NAMES) & _has(b, NAMES), "both names"))
     return F.when(labels == "", "pattern").otherwise(labels)
 
 

@@ -235,6 +235,24 @@ def string_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), *aggs).select("total", F.inline(F.array(*[row(i, c) for i, c in enumerate(columns)])))
 
 
+def high_null_share(df: DataFrame, columns: Sequence[str], other: DataFrame | None = None, above: float = 50.0) -> DataFrame:
+    """``column, error_count, percentage``: columns with more than ``above`` percent NULL and no other bad cell.
+
+    ``other``: rows of ``issues``; columns with bad cells there have a better reason already.
+    """
+    found = issues(df, [null_cell(c) for c in columns]).where(F.col("percentage") > above)
+    if other is not None:
+        found = found.join(other.where("error_count > 0").select("column").distinct(), "column", "left_anti")
+    return found.select("column", "error_count", "percentage")
+
+
+def comprehensive(found: DataFrame, schema_warnings: DataFrame) -> DataFrame:
+    """The summary with schema findings (``severity``): ``overall_valid`` needs a valid table without schema warnings, ``can_proceed`` only a valid one."""
+    extra = schema_warnings.agg(F.count_if(F.col("severity") == "warning").alias("schema_warnings"))
+    out = summary(found).join(extra, F.lit(True))  # one row each
+    return out.withColumn("overall_valid", F.col("is_valid") & (F.col("schema_warnings") == 0)).withColumn("can_proceed", F.col("is_valid"))
+
+
 def string_lengths(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """``column, max_allowed, too_long, longest``."""
     aggs = [x for i, (c, n) in enumerate(limits.items()) for x in (F.count_if(too_long(c, n).bad).alias(f"{i}a"), F.coalesce(F.max(F.length(_of(c))), F.lit(0)).alias(f"{i}b"))]

@@ -259,6 +259,23 @@ def all_null_columns(spark, sf_dir):
     return validate.null_columns(staged(spark, sf_dir, "customer"), ["name", "segment"])
 
 
+_SPARSE = "select case when c_custkey % 3 = 0 then c_name end as name, case when c_custkey % 4 = 0 then 'x' end as code, c_mktsegment as segment from customer"
+
+
+@query(f"select 'name' as \"column\", (count(*) - count(name))::bigint as error_count, round((count(*) - count(name))::double / count(*) * 100, 2) as percentage from ({_SPARSE}) having percentage > 50")
+def high_null_share(spark, sf_dir):
+    """Name is mostly NULL; code is too, but has bad cells, which come first."""
+    rows = table(spark, sf_dir, "customer").selectExpr("case when c_custkey % 3 = 0 then c_name end as name", "case when c_custkey % 4 = 0 then 'x' end as code", "c_mktsegment as segment")
+    return validate.high_null_share(rows, ["name", "code", "segment"], validate.issues(rows, [validate.numeric("code")]))
+
+
+@query(f"select *, is_valid and schema_warnings = 0 as overall_valid, is_valid as can_proceed from (select *, round(passed::double / checks * 100, 1) as success_rate, concat(case when is_valid then 'valid' else 'invalid' end, ': ', issues, ' issues, ', warnings, ' warnings') as summary, 3::bigint as schema_warnings from (select *, issues = 0 and total > 0 as is_valid from (select count(*)::bigint as checks, (count(*) filter (where severity = 'ignored'))::bigint as passed, {_GATE} from ({_issues_sql('order_date')}))))")
+def comprehensive_report(spark, sf_dir):
+    """Orders: the staged text is valid, the table lacks all three declared columns."""
+    diff = schema.schema_diff(spark, table(spark, sf_dir, "orders").schema, ORDERS.schema(lineage=False))
+    return validate.comprehensive(validate_orders(spark, sf_dir), schema.schema_warnings(diff))
+
+
 @query("select 'l_orderkey' as \"column\", count(*)::bigint as duplicated from (select l_orderkey from lineitem where l_orderkey is not null group by 1 having count(*) > 1) union all select 'l_shipdate', count(*)::bigint from (select l_shipdate from lineitem where l_shipdate is not null group by 1 having count(*) > 1)")
 def uniqueness(spark, sf_dir):
     return validate.duplicated_values(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_shipdate"])
