@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.clean import FALSE_VALUES, TRUE_VALUES, clean_date, clean_numeric, flag_text
-from ..functions.convert import LADDERS, STYLES, parse_style, to_datetime, to_float
+from ..functions.convert import LADDERS, parse_style, to_datetime, to_float, to_int
 from ..plans.spec import FileTypeSpec
 
 #: Shares of bad cells, in percent: above the first an issue, above the second a warning (fixed values).
@@ -198,8 +198,6 @@ def single_kind(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 def load_loss(df: DataFrame, spec: FileTypeSpec) -> DataFrame:
     """Cells that pass validation but load as NULL, such as 12.5 in an INT column, by column."""
-    from ..functions.convert import to_int
-
     cells = [Check("load_loss", c, to_float(_of(c)).isNotNull() & to_int(_of(c)).isNull()) for c in spec.of_type("INT")]
     return issues(df, cells)
 
@@ -308,6 +306,3 @@ def issue_lines(found: DataFrame) -> DataFrame:
     """Issues and warnings as text, one line each."""
     line = F.format_string("%s: %s has %d bad of %d (%s%%)", F.upper("severity"), F.col("column"), F.col("error_count"), F.col("total"), F.format_number("percentage", 2))
     return found.where("severity <> 'ignored'").select("column", line.alias("line"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "reduce", "STYLES"}]
