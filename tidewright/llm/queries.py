@@ -4,6 +4,7 @@ from .decontaminate import op9_decontaminate
 from .minhash import op5_near_duplicates
 from .mixing import op10_mix_sources, op10_sql
 from .page_differencing import op7_extract_pages
+from .sql import OP1_SQL, OP2_SQL, OP5_SQL
 from .spotsigs import op4_spot_fingerprints
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_counts": OP3_SQL, "op10_mix_sources": op10_sql()}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op3_token_counts": OP3_SQL, "op10_mix_sources": op10_sql()}
