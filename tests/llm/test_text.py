@@ -11,7 +11,7 @@ from tidewright.llm.decontaminate import contaminated, decontaminate
 from tidewright.llm.mixing import mix_sources, source_targets
 from tidewright.llm.page_differencing import extract_pages, lines_of, main_text, shared_lines
 from tidewright.llm.spotsigs import edited_text, near_copies, pruned_jaccard, spot_fingerprints
-from tidewright.llm.suffix_tree_lm import held_out, score_texts
+from tidewright.llm.suffix_tree_lm import SHARDED_FROM, SHARDS, held_out, score_texts
 from tidewright.llm.token_counts import Rollup, bpe_counts, built_in_counts, changes
 from tidewright.llm.toxicity import build_index, score_toxicity
 
@@ -152,6 +152,41 @@ def test_language_model_base_is_exact_and_beaten(spark, edge_docs, no_docs):
     assert all(r.score < 0 for r in spelled)
 
 
+def test_language_model_contexts_of_frequent_words(spark):
+    """The tree by brute force: all contexts of up to three words, however often they occur."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokens = {r.doc_id: [*re.findall(brute.WORD, brute.lower(r.text)), None] for r in docs.collect()}
+    c = Counter(w for i, t in tokens.items() if not held_out(i) for w in t)
+    total = sum(c.values())
+    assert any(n > max(SHARDED_FROM, total // SHARDS) for w, n in c.items() if w)
+    discount = min(0.9, sum(n == 1 for n in c.values()) / len(c))
+    branches = {}
+    for i, t in tokens.items():
+        for j, w in enumerate(t) if not held_out(i) else ():
+            for length in range(1, min(3, j) + 1):
+                branches.setdefault(tuple(t[j - length : j]), Counter())[w] += 1
+    root = lambda w: max(c[w] - discount, 1e-12) / total if c[w] else max(discount * len(c) / total, 0.5 / total)
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        n = branches[context]
+        return (max(n[w] - 0.5, 0) + 0.5 * len(n) * p(context[1:], w)) / n.total()
+
+    gain = {s: sum(x * math.log(x / n.total() / p(s[1:], w)) for w, x in n.items()) - len(n) * math.log(total) for s, n in branches.items() if n.total() >= 2}
+    unsure = {s for s, g in gain.items() if abs(g) < 1e-3 * branches[s].total()}  # probabilities travel rounded
+    exact = 0
+    for r in score_texts(docs).collect():
+        t, want, sure = tokens[r.doc_id], 0.0, True
+        for j, w in enumerate(t):
+            runs = [tuple(t[j - k : j]) for k in range(min(3, j), 0, -1)]
+            sure &= not unsure.intersection(runs)
+            want += math.log10(p(next((s for s in runs if gain.get(s, -1) >= 0), ()), w))
+        exact += sure
+        assert not sure or math.isclose(r.score, want, rel_tol=1e-6), r
+    assert exact > 0.5 * len(tokens)
+
+
 def test_decontamination(spark, edge_docs, no_docs):
     item = "A train leaves Boston at 45 km per hour and meets Alice after 3 hours near the old stone bridge by the river"
     other = "A train leaves Denver at 80 km per hour and meets Maria after 7 hours near the old stone bridge by the river"

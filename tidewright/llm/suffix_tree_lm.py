@@ -1,16 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are the base's own: the V distinct training tokens and one more for every
-other word.  The root is the distribution of all training tokens.  Before a token
-the candidate context is the shortest run of preceding words, up to ``depth``, that
-reaches back to a word seen at most ``max_context_count`` times (and at least
-twice); it stays in the tree if its next-word distribution gains more likelihood
-over the root's than the description of its branches costs (``types * ln N``).
-A token is scored from the longest context that stayed, else from the root.
-
-Smoothing is absolute discounting: what a context discounts goes to the root, what
-the root discounts (the Good-Turing mass of words seen once) to the unseen word, so
-every state's distribution sums to one.
+other word.  The root is the distribution of all training tokens.  Every run of 1 to
+``depth`` preceding words that training holds at least twice is a candidate context,
+however often it occurs.  It stays in the tree if its next-word distribution gains more
+likelihood over that of the next shorter run than the description of its branches
+costs (``types * ln N``).  A token is scored from the longest context that stayed,
+else from the root.
+
+One length is one round of the exchange: blocks send their distinct (context, next)
+pairs, added up, with the shorter run's probability; buckets answer with the pairs'
+counts in all training text.  These counts are also how often the contexts of the
+next length occur, so that contexts seen once are left out without asking.  Contexts
+with more than 1/SHARDS of all tokens are dealt over SHARDS keys by their next word;
+a block adds the shards' answers up.
+
+Smoothing is absolute discounting: what a context discounts goes to the next shorter
+one, what the root discounts (the Good-Turing mass of words seen once) to the unseen
+word, so every state's distribution sums to one.
 
 With ``unseen="spelled"`` the unseen word is no single symbol but is spelled by a
 second tree over bytes, with contexts up to five bytes that stay if their divergence
@@ -42,7 +49,9 @@ from .shared import cut, slices
 END = " "  # no word is a space
 END_HASH = B.U64(xxhash.xxh3_64_intdigest(END))
 DEPTH = 5
-#: Root probabilities travel to context buckets as whole steps of log10, 0.03 percent wide.
+#: Contexts with more than one in SHARDS tokens (and this many) are dealt over SHARDS keys.
+SHARDS, SHARDED_FROM = 64, 1000
+#: Shorter runs' probabilities travel to context buckets as whole steps of log10, 0.03 percent wide.
 ROOT_STEPS = 4000.0
 PACKED = "bucket int, payload binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -227,82 +236,127 @@ class _Block:
         spelled = np.where(self.names == END_HASH, -np.inf, spelled)
         self.root = np.log10(np.maximum(np.maximum(c - discount, 0) / total + left * 10.0**spelled, 1e-300))
 
-    def pairs(self, n_buckets: int, most: int, depth: int) -> None:
-        """Distinct (context, next) pairs, a candidate context for each token that has one."""
-        name, c = self.names[self.place], self.c[self.place]
-        back = np.arange(len(name)) - np.repeat(self.at[:-1], np.diff(self.at))  # words before it in its document
-        at, contexts, open_ = [], [], np.ones(len(name), bool)
-        hashed = np.zeros(len(name), B.U64)
-        for length in range(1, depth + 1):
-            open_ &= back >= length
-            t = np.flatnonzero(open_)
-            hashed[t] = B.mix(hashed[t] * B.MULTIPLIERS[0] + name[t - length] + B.U64(length))
-            count = c[t - length]
-            good = t[(count >= 2) & (count <= most)]
-            at.append(good)
-            contexts.append(hashed[good])
-            open_[t[count <= most]] = False
-        t, context = np.concatenate(at), np.concatenate(contexts)
-        by = np.lexsort((self.place[t], context))
-        self.t, context, symbol = t[by], context[by], self.place[t[by]]
+    def start(self) -> None:
+        """Before the first round every token is at the root."""
+        self.back = np.arange(len(self.place)) - np.repeat(self.at[:-1], np.diff(self.at))  # words before it in its document
+        self.hashed = np.zeros(len(self.place), B.U64)
+        self.parent = self.root[self.place].astype(float)  # log10 P(token | the run of the length before)
+        self.value = self.parent.copy()
+        self.seen = np.concatenate([[0], self.c[self.place][:-1]])[: len(self.place)]  # of the run before each token, in training
+
+    def pairs(self, length: int, n_buckets: int, total: int) -> None:
+        """Distinct (context, next) pairs of contexts of ``length`` words that training holds twice."""
+        name = self.names[self.place]
+        self.t = t = np.flatnonzero((self.back >= length) & (self.seen >= 2))
+        self.hashed[t] = B.mix(self.hashed[t] * B.MULTIPLIERS[0] + name[t - length] + B.U64(length))
+        # Names travel as 48 bits; so do these, that blocks and buckets cut them alike.
+        context, count, symbol = self.hashed[t] >> B.U64(16) << B.U64(16), self.seen[t], self.place[t]
+        hot = count > max(total // SHARDS, SHARDED_FROM)
+        shards = np.arange(1, SHARDS + 1, dtype=B.U64) * B.MULTIPLIERS[1]
+        key = context.copy()
+        key[hot] = B.mix(context[hot] ^ shards[(name[t[hot]] % B.U64(SHARDS)).astype(np.int64)]) >> B.U64(16) << B.U64(16)
+        often = np.unique(context[hot])  # all their shards are asked, also those without a pair here
+        every = (B.mix(often[:, None] ^ shards[None, :]) >> B.U64(16) << B.U64(16)).ravel()
+        self.keys = np.unique(np.concatenate([key, every]))
+        self.hot = np.isin(self.keys, every)
+        self.contexts, self.context_of = np.unique(context, return_inverse=True)
+        self.count = np.zeros(len(self.contexts), np.int64)
+        self.count[self.context_of] = count
+        self.owner = np.full(len(self.keys), -1)
+        self.owner[np.searchsorted(self.keys, every)] = np.repeat(np.searchsorted(self.contexts, often), SHARDS)
+        self.owner[np.searchsorted(self.keys, key)] = self.context_of
+        by = np.lexsort((symbol, key))
+        k, s = key[by], symbol[by]
         new = np.ones(len(by), bool)
-        new[1:] = (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
-        self.pair = np.cumsum(new) - 1
-        train = self.train[np.searchsorted(self.at, self.t, "right") - 1] if len(by) else np.zeros(0)
-        self.n = np.bincount(self.pair, weights=train, minlength=int(new.sum())).astype(np.int64) if len(by) else np.zeros(0, np.int64)
-        self.context, self.symbol = context[new], symbol[new]
-        self.bounds = B.bucket_slices(self.context, n_buckets)
+        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        self.pair = np.empty(len(by), np.int64)
+        self.pair[by] = np.cumsum(new) - 1
+        train = self.train[np.searchsorted(self.at, t, "right") - 1] if len(t) else np.zeros(0)
+        self.n = np.bincount(self.pair, weights=train, minlength=int(new.sum())).astype(np.int64)
+        self.symbol, self.shorter = s[new], self.parent[t[by][new]]
+        self.width = np.bincount(np.searchsorted(self.keys, k[new]), minlength=len(self.keys))
+        self.bounds = B.bucket_slices(self.keys, n_buckets)
+        self.pair_at = np.concatenate([[0], np.cumsum(self.width)])[self.bounds]
+
+    def grow(self, answers: pa.Table, length: int, total: int, discount: float) -> None:
+        """Probabilities after the contexts of ``length`` words, and how often longer ones occur."""
+        types, raw, kept = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys)), np.zeros(len(self.keys), bool)
+        n = np.zeros(len(self.n), np.int64)
+        own = answers.filter(pa.compute.equal(answers["kind"], length + 1))
+        for b, data in zip(own["bucket"].to_pylist(), own["payload"].to_pylist(), strict=True):
+            data = zstandard.ZstdDecompressor().decompress(data)
+            s, m = slice(self.bounds[b], self.bounds[b + 1]), slice(self.pair_at[b], self.pair_at[b + 1])
+            k, j = s.stop - s.start, m.stop - m.start
+            told = np.frombuffer(data, "<u4", k)
+            types[s], kept[s] = told >> 1, told & 1
+            n[m] = np.frombuffer(data, "<u4", j, 4 * k)
+            raw[s][self.hot[s]] = np.frombuffer(data, "<f8", int(self.hot[s].sum()), 4 * (k + j))
+        size = len(self.contexts)
+        types = np.bincount(self.owner, weights=types, minlength=size) if len(self.keys) else np.zeros(size)
+        stays = np.zeros(size, bool)
+        stays[self.owner[kept]] = True
+        if self.hot.any():
+            gain = np.bincount(self.owner[self.hot], weights=raw[self.hot], minlength=size) - self.count * np.log(self.count)
+            stays[self.owner[self.hot]] = (gain >= types * math.log(max(2, total)))[self.owner[self.hot]]
+        t, own_n, c = self.t, n[self.pair], self.context_of
+        p = np.maximum(own_n - discount, 0) / self.count[c] + discount * types[c] / self.count[c] * 10.0 ** self.parent[t]
+        self.parent[t] = np.log10(p)
+        self.value[t] = np.where(stays[c], self.parent[t], self.value[t])
+        self.seen = np.zeros(len(self.seen), np.int64)
+        self.seen[t[t + 1 < len(self.seen)] + 1] = own_n[t + 1 < len(self.seen)]
 
 
 def _ask_pairs(block: _Block, number: int, n_buckets: int) -> pa.Table:
     full, payload = [], []
+    roots = np.clip(np.rint(-ROOT_STEPS * block.shorter), 0, 65535).astype("<u2")
     for b in range(n_buckets):
-        s = slice(block.bounds[b], block.bounds[b + 1])
+        s, m = slice(block.bounds[b], block.bounds[b + 1]), slice(block.pair_at[b], block.pair_at[b + 1])
         if s.stop > s.start:
-            names, count = np.unique(block.context[s], return_counts=True)
-            raw = np.array([len(names), s.stop - s.start], "<i8").tobytes() + B.pack48(names) + count.astype("<u4").tobytes()
-            raw += (block.names[block.symbol[s]] >> B.U64(32)).astype("<u4").tobytes() + np.clip(np.rint(-ROOT_STEPS * block.root[block.symbol[s]]), 0, 65535).astype("<u2").tobytes() + block.n[s].astype("<u4").tobytes()
+            raw = np.array([s.stop - s.start, m.stop - m.start], "<i8").tobytes() + B.pack48(block.keys[s]) + block.width[s].astype("<u4").tobytes() + np.packbits(block.hot[s]).tobytes()
+            raw += (block.names[block.symbol[m]] >> B.U64(32)).astype("<u4").tobytes() + roots[m].tobytes() + block.n[m].astype("<u4").tobytes()
             full.append(b)
             payload.append(zstandard.ZstdCompressor(level=1).compress(raw))
     return B.rows(B.EXCHANGE, bucket=full, block=[number] * len(full), kind=[0] * len(full), payload=payload)
 
 
-def _answer_pairs(table: pa.Table, total: int, discount: float) -> pa.Table:
-    """log10 P(next | context) for each pair, NaN where the context fails its divergence test."""
-    names, symbols, roots, counts, sizes = [], [], [], [], []
+def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
+    """To each block: its keys' branches and whether they pass, its pairs' counts, its hot keys' share of the likelihood."""
+    names, widths, hots, symbols, roots, counts = [], [], [], [], [], []
     for data in table["payload"].to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(data)
         k, m = np.frombuffer(raw, "<i8", 2).tolist()
-        names.append(np.repeat(B.unpack48(raw[16 : 16 + 6 * k]), np.frombuffer(raw, "<u4", k, 16 + 6 * k)))
+        names.append(B.unpack48(raw[16 : 16 + 6 * k]))
+        widths.append(np.frombuffer(raw, "<u4", k, 16 + 6 * k))
         at = 16 + 10 * k
+        hots.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-k // 8), at), count=k).astype(bool))
+        at += -(-k // 8)
         symbols.append(np.frombuffer(raw, "<u4", m, at))
-        roots.append(np.frombuffer(raw, "<u2", m, at + 4 * m) / -ROOT_STEPS)
-        counts.append(np.frombuffer(raw, "<u4", m, at + 6 * m).astype(np.int64))
-        sizes.append(m)
-    names, symbols, roots, counts = map(np.concatenate, (names, symbols, roots, counts))
-    order = np.lexsort((symbols, names))
-    a, s, c = names[order], symbols[order], counts[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+        roots.append(np.frombuffer(raw, "<u2", m, at + 4 * m))
+        counts.append(np.frombuffer(raw, "<u4", m, at + 6 * m))
+    key_ends, pair_ends = np.cumsum([len(x) for x in names]), np.cumsum([len(x) for x in symbols])
+    keys, code = np.unique(np.concatenate(names), return_inverse=True)
+    k, s, c = np.repeat(code, np.concatenate(widths)), np.concatenate(symbols), np.concatenate(counts)
+    order = np.lexsort((s, k))
+    new = np.ones(len(order), bool)
+    new[1:] = (k[order][1:] != k[order][:-1]) | (s[order][1:] != s[order][:-1])
     first = np.flatnonzero(new)
-    n = np.add.reduceat(c, first)
-    root = 10.0 ** roots[order][first].astype(float)
-    head = np.ones(len(first), bool)
-    head[1:] = a[first][1:] != a[first][:-1]
-    group = np.cumsum(head) - 1
-    t = np.bincount(group, weights=n)[group]
-    types = np.bincount(group, weights=n > 0)[group]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(group, weights=np.where(n > 0, n * np.log(n / np.maximum(t, 1) / root), 0.0))[group]
-        p = np.maximum(n - discount, 0) / t + discount * types / t * root
-        value = np.where((t >= 2) & (gain >= types * math.log(max(2, total))), np.log10(p), np.nan)
-    out = np.empty(len(a), "<f4")
-    out[order] = value[np.cumsum(new) - 1]
-    ends = np.cumsum(sizes)
-    return B.rows(B.EXCHANGE, bucket=table["bucket"].to_pylist(), block=table["block"].to_pylist(), kind=[2] * len(sizes), payload=[out[e - m : e].tobytes() for e, m in zip(ends, sizes, strict=True)])
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256, max_contexts: int = 8000, divergence: float = 12.0, max_context_count: int = 300, depth: int = 2, context_discount: float = 0.5, unseen: str = "class") -> DataFrame:
+    n = np.add.reduceat(c[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    group, shorter = k[order][first], np.concatenate(roots)[order][first] / -ROOT_STEPS * math.log(10)
+    t = np.bincount(group, weights=n, minlength=len(keys))
+    types = np.bincount(group, weights=n > 0, minlength=len(keys)).astype(np.int64)
+    raw = np.bincount(group, weights=n * (np.log(np.maximum(n, 1)) - shorter), minlength=len(keys))
+    kept = (t >= 2) & (raw - t * np.log(np.maximum(t, 1)) >= types * math.log(max(2, total)))
+    told, of_pair = (types * 2 + kept).astype("<u4"), np.empty(len(order), "<u4")
+    of_pair[order] = n[np.cumsum(new) - 1]
+    payload = []
+    for i, (a, b, hot) in enumerate(zip(key_ends, pair_ends, hots, strict=True)):
+        own = code[a - len(hot) : a]
+        data = told[own].tobytes() + of_pair[b - len(symbols[i]) : b].tobytes() + raw[own[hot]].astype("<f8").tobytes()
+        payload.append(zstandard.ZstdCompressor(level=1).compress(data))
+    return B.rows(B.EXCHANGE, bucket=table["bucket"].to_pylist(), block=table["block"].to_pylist(), kind=[kind] * len(payload), payload=payload)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256, max_contexts: int = 8000, divergence: float = 12.0, depth: int = 3, context_discount: float = 0.5, unseen: str = "class") -> DataFrame:
     """Scores of all documents by a model of those whose crc32(id) mod 5 is not 1; returns OUT.
 
     score: log10 probability of the document's words and its end; base_score: the
@@ -350,26 +404,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(zstandard.ZstdCompressor(level=1).compress(raw))
         return B.rows(B.EXCHANGE, bucket=left["bucket"].to_pylist(), block=left["block"].to_pylist(), kind=[1] * len(out), payload=out)
 
-    def second(key, left, right):
+    def grown(left, right, lengths):
         block = _Block(left.select(["doc_id", "text"]), n)
         block.learn(right, tree.value, stats)
-        block.pairs(n, max_context_count, depth)
-        return _ask_pairs(block, key[0].as_py(), n)
+        block.start()
+        for length in range(1, lengths + 1):
+            block.pairs(length, n, total)
+            block.grow(right, length, total, context_discount)
+        return block
+
+    def asking(length):
+        def ask_length(key, left, right):
+            block = grown(left, right, length - 1)
+            block.pairs(length, n, total)
+            return _ask_pairs(block, key[0].as_py(), n)
+
+        return ask_length
 
-    def repeated(table):
-        return _answer_pairs(table, total, context_discount)
+    def answering(length):
+        return lambda table: _answer_pairs(table, length + 1, total)
 
     def last(key, left, right):
-        block = _Block(left.select(["doc_id", "text"]), n)
-        block.learn(right, tree.value, stats)
-        block.pairs(n, max_context_count, depth)
-        given = np.full(len(block.n), np.nan)
-        own = right.filter(pa.compute.equal(right["kind"], 2))
-        for b, data in zip(own["bucket"].to_pylist(), own["payload"].to_pylist(), strict=True):
-            given[block.bounds[b] : block.bounds[b + 1]] = np.frombuffer(data, "<f4")
-        value = block.root[block.place]
-        inside = given[block.pair]
-        value[block.t] = np.where(np.isnan(inside), value[block.t], inside)
+        block = grown(left, right, depth)
+        value = block.value
         c = block.c[block.place]
         base = np.log10(c + 0.5)
         m = np.diff(block.at)
@@ -381,9 +438,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     by_block = B.text_blocks(docs, block_docs, id_col, text_col).groupBy("block")
     known = by_block.applyInArrow(ask, B.EXCHANGE).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(tell, B.EXCHANGE)
-    asked = by_block.cogroup(known.groupBy("block")).applyInArrow(second, B.EXCHANGE)
-    found = asked.groupBy("bucket").applyInArrow(repeated, B.EXCHANGE)
-    return by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(last, OUT)
+    told = known.repartition(n, "block")  # parts of one partitioning: their union is not shuffled again
+    for length in range(1, depth + 1):
+        asked = by_block.cogroup(told.groupBy("block")).applyInArrow(asking(length), B.EXCHANGE)
+        found = asked.groupBy("bucket").applyInArrow(answering(length), B.EXCHANGE)
+        told = told.unionByName(found.repartition(n, "block"))
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(last, OUT)
 
 
 def op8_score_texts(spark, sf_dir: str) -> DataFrame:
