@@ -87,6 +87,19 @@ def test_toxicity_on_held_out_rows(spark, edge_docs, no_docs):
     assert score_toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_meets_neighbours_at_every_size(spark, small):
+    """Every text that shares a word with an example has neighbours, also with few labels."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = score_toxicity(docs, labels).collect()
+    texts, known = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id for r in labels.collect()}
+    letters = lambda t: set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    held = set().union(*(letters(texts[r.doc_id]) for r in rows if r.doc_id in known and not r.held_out))
+    met = [r for r in rows if letters(texts[r.doc_id]) & held]
+    assert len(met) > 0.9 * len(rows) and all(r.neighbours for r in met)
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    assert sum(r.predicted for r in rows if r.doc_id in toxic) >= 0.8 * len(toxic)
+
+
 def test_block_max_neighbours_are_exact(spark):
     sf = "/root/testdata/sf0.01"
     labelled = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").selectExpr("doc_id", "text", "cast(toxic as long) as toxic")

@@ -1,17 +1,17 @@
 """Toxicity by nearest labelled examples.
 
-Words that labelled toxic documents hold far more often than others make the
-vocabulary; counts come from every labelled training row.  Labelled documents with
-such words are the examples, as TF-IDF vectors of unit length, in a block-max
-inverted index: examples in blocks of 64, for each word its postings and its
-largest weight in each block.  A document meets blocks from the highest bound
+Labelled documents are the examples, as TF-IDF vectors of unit length over all their
+words.  A word's IDF is raised by how much more other toxic documents hold it than chance
+explains (z, never below 0: no word is left out).  The vectors lie in a block-max
+inverted index: examples in blocks of 64, for each word its postings and its largest
+weight in each block that holds it.  A document meets blocks from the highest bound
 down, and stops when no block can still reach its k-th neighbour, so the k nearest
 are exact.  Neighbours vote by similarity; a monotone curve fitted on the
 examples, each scored without itself, turns votes into probabilities.
 
 Only labels of training rows (crc32 of the id, mod 5, not 0) are read.  The index
-holds at most ``max_examples`` labelled documents and ``max_words`` words: those
-are the documented bounds; with more, examples of least id hash stay.
+holds at most ``max_examples`` labelled documents: with more, those of least id hash
+stay (the documented bound).  IDF and z count all labelled training rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,55 +51,91 @@ def _word_counts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.nd
     return key // max(1, len(own)), key % max(1, len(own)), count, list(own)
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    return B.word_hashes(pa.array(words, pa.string())).view(np.int64)
+
+
 def word_statistics(labelled: DataFrame) -> DataFrame:
-    """``word, toxic, clean``: documents of each class that hold the word; added up in tasks first."""
+    """``word, toxic, clean, example``: documents of each class and examples that hold the word (its hash); added up in tasks first."""
 
     def count(batches):
         for part in slices(batches, 2048):
             row, word, _, words = _word_counts(part["text"])
-            toxic = part["toxic"].to_numpy()[row] if len(row) else np.empty(0, int)
-            a = np.bincount(word[toxic == 1], minlength=len(words))
-            b = np.bincount(word[toxic == 0], minlength=len(words))
-            yield pa.record_batch([pa.array(words, pa.string()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["word", "toxic", "clean"])
+            toxic, example = (part[c].to_numpy()[row] if len(row) else np.empty(0, int) for c in ("toxic", "example"))
+            found = [np.bincount(word[x], minlength=len(words)).astype(np.int64) for x in (toxic == 1, toxic == 0, example == 1)]
+            yield pa.record_batch([pa.array(_hashes(words)), *map(pa.array, found)], names=["word", "toxic", "clean", "example"])
 
-    found = labelled.select("text", "toxic").mapInArrow(count, "word string, toxic long, clean long")
-    return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = labelled.select("text", "toxic", "example").mapInArrow(count, "word long, toxic long, clean long, example long")
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "example")])
 
 
 @dataclass
 class Index:
-    """A block-max inverted index over unit vectors, sorted so that like examples share blocks."""
+    """A block-max inverted index over unit vectors, sorted so that like examples share blocks.
 
-    words: dict[str, int]
+    Postings lie by word, then place; a word's entry for a block begins at ``entry_at`` among them.
+    """
+
+    words: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    block_max: np.ndarray
     base_rate: float
     k: int
+    place: np.ndarray
+    weight: np.ndarray
+    raised: np.ndarray
     curve: tuple[np.ndarray, np.ndarray] | None = None
 
+    def __post_init__(self) -> None:
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+
+    def build(self, word: np.ndarray, place: np.ndarray, weight: np.ndarray) -> None:
+        order = np.lexsort((place, word))
+        word, self.place, self.weight = word[order], place[order].astype(np.int32), weight[order].astype(np.float32)
+        block = self.place // BLOCK
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.block = block[first]
+        self.block_max = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.entry_at = np.append(first, len(word)).astype(np.int32)
+        self.word_at = np.searchsorted(word[first], np.arange(len(self.words) + 1))
+
+    @property
+    def postings(self):
+        """Places and weights of each word."""
+        return ((self.place[a:b], self.weight[a:b]) for a, b in zip(self.entry_at[self.word_at[:-1]], self.entry_at[self.word_at[1:]], strict=True))
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the vocabulary; -1 for others."""
+        h = _hashes(words)
+        if not len(self.words) or not len(h):
+            return np.full(max(1, len(h)), -1)
+        spot = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[spot] == h, spot, -1)
+
     def vector(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[words]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, words: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, exact; ties by place."""
-        bound = weights @ self.block_max[words]
+        entry, of = B.spread(self.word_at[words], self.word_at[words + 1] - self.word_at[words])
+        q = weights[of]
+        bound = np.bincount(self.block[entry], weights=q * self.block_max[entry], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         at, kept, cosines, step = 0, np.empty(0, np.int64), np.empty(0), 4
         while at < len(order):
             if len(kept) == self.k and bound[order[at]] < cosines[-1] - 1e-12:
                 break
-            now = np.zeros(self.block_max.shape[1], bool)
+            now = np.zeros(self.n_blocks, bool)
             now[order[at : at + step]] = True
-            score = np.zeros(len(self.ids))
-            for w, q in zip(words, weights, strict=True):
-                place, weight = self.postings[w]
-                use = now[place // BLOCK]
-                score[place[use]] += q * weight[use]
+            use = now[self.block[entry]]
+            e = entry[use]
+            i, of = B.spread(self.entry_at[e].astype(np.int64), self.entry_at[e + 1] - self.entry_at[e])
+            score = np.bincount(self.place[i], weights=q[use][of] * self.weight[i], minlength=len(self.ids))
             if without is not None:
                 score[self.ids == without] = 0
             found = np.flatnonzero(score)
@@ -134,69 +171,72 @@ def _scorer(shared, without_self: bool):
         for part in slices(batches):
             ids = part["doc_id"].to_pylist()
             row, word, count, words = _word_counts(part["text"])
-            known = np.array([index.words.get(w, -1) for w in words] or [-1])
-            w = known[word] if len(word) else word
-            row, w, count = row[w >= 0], w[w >= 0], count[w >= 0]
+            w = index.known(words)[word] if len(word) else word
+            row, word, w, count = row[w >= 0], word[w >= 0], w[w >= 0], count[w >= 0]
             ends = np.searchsorted(row, np.arange(len(ids) + 1))
-            names = list(index.words)
             out = {"doc_id": ids, "score": [], "neighbours": [], "words": []}
             for i in range(len(ids)):
                 a, b = ends[i], ends[i + 1]
                 places, cosines = index.nearest(w[a:b], index.vector(w[a:b], count[a:b]), ids[i] if without_self else None) if b > a else (np.empty(0, np.int64), np.empty(0))
                 out["score"].append(index.score(index.vote(places, cosines)) if b > a else index.base_rate)
                 out["neighbours"].append(index.ids[places[:5]].tolist())
-                out["words"].append([names[x] for x in w[a:b]])
+                raised = np.flatnonzero(index.raised[w[a:b]])
+                out["words"].append([words[word[a + x]] for x in raised])
             yield from B.rows(OUT, **out).to_batches()
 
     return score
 
 
-def build_index(labelled: DataFrame, k: int = 15, max_words: int = 4000, max_examples: int = 30_000, z: float = 5.5, lift: float = 4.0) -> Index:
+def build_index(labelled: DataFrame, k: int = 15, max_examples: int = 30_000) -> Index:
     """Vocabulary, examples and calibration from ``(doc_id, text, toxic)``."""
-    statistics = cut(word_statistics(labelled))
+    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    kept = cut(ids.withColumn("example", F.lit(1)))
+    marked = labelled.select("doc_id", "text", "toxic").join(bounded_broadcast(kept, max_examples), "doc_id", "left").withColumn("example", F.coalesce("example", F.lit(0)))
     n1, n0 = (labelled.agg(F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") == 0).cast("long"))).first())
     n1, n0 = n1 or 0, n0 or 0
-    p = (F.col("toxic") + F.col("clean")) / (n1 + n0 or 1)
-    apart = (F.col("toxic") / max(1, n1) - F.col("clean") / max(1, n0)) / F.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)))
-    chosen = statistics.where("toxic >= 4").withColumn("z", apart).where((F.col("z") >= z) & (F.col("toxic") / max(1, n1) >= lift * (F.col("clean") + 0.5) / max(1, n0)))
-    chosen = chosen.orderBy(F.desc("z"), "word").limit(max_words).collect()  # at most max_words rows
-    words = {r["word"]: i for i, r in enumerate(chosen)}
-    idf = np.array([np.log((n1 + n0 + 1) / (r["toxic"] + r["clean"] + 1)) + 1 for r in chosen])
+    held = word_statistics(marked).where("example > 0").select("word", "toxic", "clean").toArrow()  # the words of at most max_examples documents
+    by = np.argsort(held["word"].to_numpy())
+    words, a, c = (held[x].to_numpy()[by] for x in ("word", "toxic", "clean"))
+    p = (a + c) / (n1 + n0 or 1)
+    others = np.maximum(0, a - 1)  # a word is not raised by the document itself
+    apart = (others / max(1, n1) - c / max(1, n0)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)))
+    z = np.maximum(0, apart)
+    idf = (np.log((n1 + n0 + 1) / (a + c + 1)) + 1) * (1 + z) ** 2
     names = labelled.sparkSession.sparkContext.broadcast(words)
 
     def vectors(batches):
         for part in slices(batches):
             row, word, count, own = _word_counts(part["text"])
-            known = np.array([names.value.get(w, -1) for w in own] or [-1])
-            w = known[word] if len(word) else word
-            row, w, count = row[w >= 0], w[w >= 0], count[w >= 0]
-            ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-            full = np.flatnonzero(np.diff(ends))
-            for batch in pa.table([part["doc_id"].combine_chunks().take(full), part["toxic"].combine_chunks().take(full), pa.array([w[ends[i] : ends[i + 1]] for i in full], pa.list_(pa.int64())), pa.array([count[ends[i] : ends[i + 1]] for i in full], pa.list_(pa.int64()))], names=["doc_id", "toxic", "w", "c"]).to_batches():
-                yield batch
-
-    examples = cut(labelled.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic long, w array<long>, c array<long>"))
-    seen = examples.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    rest = n1 + n0 - seen[0]
-    base_rate = ((n1 - (seen[1] or 0)) + 0.5) / (rest + 1.0) if rest else 0.5
-    sample = examples.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect()  # at most max_examples rows
-    index = Index(words, idf, np.empty(0, np.int64), np.empty(0), [], np.zeros((len(words), 0)), float(min(base_rate, 0.49)), k)
-    units = [index.vector(np.array(r["w"]), np.array(r["c"])) for r in sample]
-    order = sorted(range(len(sample)), key=lambda i: (sample[i]["w"][int(np.argmax(units[i]))], -float(units[i].max()), sample[i]["doc_id"]))
-    index.ids = np.array([sample[i]["doc_id"] for i in order], np.int64)
-    index.toxic = np.array([sample[i]["toxic"] for i in order], float)
-    lists: list[list[tuple[int, float]]] = [[] for _ in words]
-    for place, i in enumerate(order):
-        for w, x in zip(sample[i]["w"], units[i], strict=True):
-            lists[w].append((place, x))
-    index.postings = [(np.array([p for p, _ in x], np.int64), np.array([v for _, v in x])) for x in lists]
-    index.block_max = np.zeros((len(words), -(-len(order) // BLOCK)))
-    for w, (place, weight) in enumerate(index.postings):
-        np.maximum.at(index.block_max[w], place // BLOCK, weight)
-    if sample:
+            w = np.searchsorted(names.value, _hashes(own))[word] if len(word) else word
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (w, count)]
+            yield pa.record_batch([part["doc_id"].combine_chunks(), part["toxic"].combine_chunks(), *lists], names=["doc_id", "toxic", "w", "c"])
+
+    found = marked.where("example = 1").select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic long, w array<int>, c array<int>").where("size(w) > 0")
+    sample = found.toArrow().combine_chunks()  # at most max_examples documents
+    base_rate = n1 / (n1 + n0) if n1 + n0 else 0.5
+    none = np.empty(0, np.int64)
+    index = Index(words, idf, none, np.empty(0), float(min(base_rate, 0.49)), k, none, np.empty(0), z >= 2)
+    if sample.num_rows:
+        lists = [sample[x].combine_chunks() for x in ("w", "c")]
+        lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+        w, c = (x.flatten().to_numpy() for x in lists)
+        n = pc.list_value_length(lists[0]).to_numpy()
+        start = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(n)), n)
+        x = (1 + np.log(c)) * idf[w]
+        x /= np.sqrt(np.add.reduceat(x * x, start))[row]
+        top = np.maximum.reduceat(x, start)
+        best = np.flatnonzero(x == top[row])
+        best = best[np.unique(row[best], return_index=True)[1]]
+        ids_ = sample["doc_id"].to_numpy()
+        order = np.lexsort((ids_, -top, w[best]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        index.ids, index.toxic, index.n_blocks = ids_[order], sample["toxic"].to_numpy()[order].astype(float), -(-len(order) // BLOCK)
+        index.build(w, place[row], x)
         shared = labelled.sparkSession.sparkContext.broadcast(index)
-        kept = labelled.sparkSession.createDataFrame([(int(i),) for i in index.ids], "doc_id long").distinct()
-        again = labelled.join(bounded_broadcast(kept, max_examples), "doc_id", "left_semi").select("doc_id", "text")
+        again = marked.where("example = 1").select("doc_id", "text")
         votes = {r["doc_id"]: r["score"] for r in again.mapInArrow(_scorer(shared, True), OUT).select("doc_id", "score").collect()}  # at most max_examples rows
         index.curve = _monotone(np.array([votes[int(i)] for i in index.ids]), index.toxic)
     return index
@@ -206,12 +246,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``doc_id, held_out, score, predicted, neighbours, words`` for every document.
 
     score: 0 to 1, the calibrated share of toxic neighbours; predicted: score >= 0.5;
-    neighbours: up to five nearest examples; words: what the document was found by.
+    neighbours: up to five nearest examples; words: those of the document's that toxic
+    examples hold more often than others (z of 2 or more).
     Labels are broadcast up to ``max_labels_broadcast`` rows (counted), else joined
     by shuffle.
 
     Defined cases: null, empty or unknown texts get the share of toxic rows among
-    labelled documents without vocabulary words; without labels every score is that
+    labelled documents (0.49 at most); without labels every score is that
     prior (0.49); null labels are ignored, several labels of one id count as toxic
     if one does; a null id counts as held out; repeated rows are scored each;
     an empty table gives an empty result; other columns are ignored.
