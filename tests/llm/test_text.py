@@ -7,7 +7,6 @@ from collections import Counter
 import numpy as np
 
 from tests.llm import brute
-from tidewright.llm.decontaminate import contaminated, decontaminate
 from tidewright.llm.mixing import mix_sources, source_targets
 from tidewright.llm.page_differencing import extract_pages, lines_of, main_text, shared_lines
 from tidewright.llm.spotsigs import edited_text, near_copies, pruned_jaccard, spot_fingerprints
@@ -200,28 +199,6 @@ def test_language_model_contexts_of_frequent_words(spark):
     assert exact > 0.5 * len(tokens)
 
 
-def test_decontamination(spark, edge_docs, no_docs):
-    item = "A train leaves Boston at 45 km per hour and meets Alice after 3 hours near the old stone bridge by the river"
-    other = "A train leaves Denver at 80 km per hour and meets Maria after 7 hours near the old stone bridge by the river"
-    mixed = "A train leaves Denver at 80 km per hour and meets Maria after 7 hours"
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, f"intro words here. {item} and an end."), (2, f"So {other}"), (3, mixed), (4, "nothing of the kind at all in here"), (5, None), (5, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in decontaminate(docs, bench).collect()}
-    assert got[1].contaminated and got[2].contaminated and got[2].items == [1]
-    assert not got[3].contaminated and not got[4].contaminated and not got[5].contaminated
-    assert decontaminate(docs, bench).count() == 6
-    assert decontaminate(edge_docs, bench).count() == edge_docs.count()
-    assert contaminated(no_docs, bench).count() == 0 and contaminated(docs, bench.where("false")).count() == 0
-
-
-def test_decontamination_without_broadcast_is_the_same(spark, small):
-    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
-    a, b = (sorted(map(tuple, contaminated(docs, bench, broadcast_hashes=n).collect())) for n in (2_000_000, 1))
-    texts = [r.text for r in bench.collect()]
-    exact = {r.doc_id for r in docs.collect() if any(t in r.text for t in texts)}
-    assert a == b and exact <= {x[0] for x in a}
-
-
 def test_mix(spark, edge_docs, no_docs):
     got = mix_sources(edge_docs).collect()
     assert len(got) == edge_docs.count() and all(r.taken == r.copies * r.size <= 3 * r.size for r in got)

@@ -79,11 +79,6 @@ def word_codes(column: pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray
     return words.indices.to_numpy(), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), words.dictionary
 
 
-def word_hashes(vocabulary: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every process."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()), U64, len(vocabulary))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit of ``x``."""
     x = (x ^ (x >> U64(32))) * MULTIPLIERS[4]
@@ -91,6 +86,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+class Stretches:
+    """Hashes of any stretch of ``x`` from prefix sums of ``x[i] * base**i``."""
+
+    BASE = MULTIPLIERS[0]
+    BACK = U64(pow(int(MULTIPLIERS[0]), -1, 2**64))
+    _powers = _backs = np.ones(1, U64)
+
+    def __init__(self, x: np.ndarray):
+        if len(Stretches._powers) <= len(x):
+            n = 2 * len(x) + 1
+            Stretches._powers, Stretches._backs = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n, f)])) for f in (self.BASE, self.BACK))
+        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(x * self._powers[: len(x)])])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self._backs[start] + (end - start).astype(U64) * MULTIPLIERS[5])
+
+
+#: Words from so many bytes on are hashed one by one.
+LONG_WORD = 128
+_BYTES = mix(np.arange(1, 257, dtype=U64) * MULTIPLIERS[7])
+
+
+def word_hashes(vocabulary: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    if not len(vocabulary):
+        return np.empty(0, U64)
+    data, at = text_bytes(pa.chunked_array([vocabulary]))
+    out = Stretches(_BYTES[data]).hashes(at[:-1], at[1:])
+    for i in np.flatnonzero(np.diff(at) >= LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i + 1]].tobytes())
+    return out
+
+
 def rolling(base: np.ndarray, *sizes: int) -> list[np.ndarray]:
     """For each size the hash of ``base[i:i+size]`` for every i, by doubling: log2(size) passes."""
     powers, spans, level = [base], [1], 0
@@ -166,7 +194,7 @@ def unpack48(data: bytes | memoryview) -> np.ndarray:
 
 def rows(schema: str, **columns) -> pa.Table:
     """A table for the Spark types named in ``schema``."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     return pa.table([pa.array(columns[n], kinds[t]) for n, t in (c.strip().split(" ") for c in schema.split(","))], names=[c.strip().split(" ")[0] for c in schema.split(",")])
 
 

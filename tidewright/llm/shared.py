@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset a temporary one serves a session on one machine, as in tests;
+    on a cluster executors couldn't see it, so there it is an error.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -33,11 +42,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Table]:
-    """Small tables, so that work arrays stay small beside a batch of long texts."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 4_000_000) -> Iterator[pa.Table]:
+    """Small tables, so that work arrays stay small beside a batch of long texts: up to ``rows``, and up to ``most_bytes`` of text or one text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield pa.Table.from_batches([batch.slice(at, rows)])
+        texts = [c for c in batch.columns if pa.types.is_string(c.type)]
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in texts:
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right"))
+            n = min(rows, max(1, upto - at))
+            yield pa.Table.from_batches([batch.slice(at, n)])
+            at += n
 
 
 def n_words(text: Column) -> Column:

@@ -38,7 +38,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +46,7 @@ from . import blocks as B
 from .shared import cut, slices
 
 END = " "  # no word is a space
-END_HASH = B.U64(xxhash.xxh3_64_intdigest(END))
+END_HASH = B.word_hashes(pa.array([END]))[0]
 DEPTH = 5
 #: Contexts with more than one in SHARDS tokens (and this many) are dealt over SHARDS keys.
 SHARDS, SHARDED_FROM = 64, 1000
