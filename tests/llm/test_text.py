@@ -102,15 +102,17 @@ def test_toxicity_meets_neighbours_at_every_size(spark, small):
 def test_block_max_neighbours_are_exact(spark):
     sf = "/root/testdata/sf0.01"
     labelled = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").selectExpr("doc_id", "text", "cast(toxic as long) as toxic")
-    index = build_index(labelled, k=7)
+    index = build_index(labelled, k=7)[0].value
     dense = np.zeros((len(index.ids), len(index.words)))
     for w, (place, weight) in enumerate(index.postings):
         dense[place, w] = weight
-    for q in dense[:40]:
-        words = np.flatnonzero(q)
-        _, cosines = index.nearest(words, q[words])
-        want = np.sort(dense @ q)[::-1][:7]
-        assert np.allclose(cosines, want[want > 0][: len(cosines)])
+    row, words = np.nonzero(dense[:40])
+    places, cosines = index.nearest(row, words, dense[:40][row, words], 40)
+    _, alone = index.nearest(row, words, dense[:40][row, words], 40, index.ids[:40])
+    for i, q in enumerate(dense[:40]):
+        every = dense @ q
+        assert np.allclose(cosines[i], np.sort(every)[::-1][:7], atol=1e-5) and np.allclose(every[places[i]], cosines[i], atol=1e-5)
+        assert np.allclose(alone[i], np.sort(np.delete(every, i))[::-1][:7], atol=1e-5)
 
 
 def test_shared_lines_are_longest():
