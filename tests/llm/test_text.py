@@ -214,6 +214,29 @@ def test_targets_stop_at_three_times_a_source(spark):
     assert math.isclose(sum(got.values()), 2000) and got["b"] == 30 and got["c"] == 30 and math.isclose(got["a"], got[None])
 
 
+def test_inclusion_follows_size(spark):
+    """Factors by bisection; over many seeds a document is included as often as its probability says."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 7 * (1 + i % 3))), "ab"[i % 5 == 0]) for i in range(120)], "doc_id long, text string, source string")
+    sizes, targets, times = {}, {}, Counter()
+    for seed in range(6):
+        for r in mix_sources(docs, seed=f"s{seed}").collect():
+            sizes[r.doc_id] = (r.source, r.size)
+            targets[r.source] = (r.target, r.source_size)
+            times[r.doc_id] += r.copies
+    for source, (target, total) in targets.items():
+        base, rest = divmod(target, total)
+        own = [i for i, (s, _) in sizes.items() if s == source]
+        low, high = 0.0, 1.0
+        for _ in range(100):
+            f = (low + high) / 2
+            low, high = (f, high) if sum(sizes[i][1] * min(1, f * sizes[i][1]) for i in own) < rest else (low, f)
+        for size in {sizes[i][1] for i in own}:
+            same = [i for i in own if sizes[i][1] == size]
+            p = min(1, low * size)
+            got = sum(times[i] for i in same) / 6 / len(same) - base
+            assert abs(got - p) <= 0.03 + 4 * math.sqrt(p * (1 - p) / 6 / len(same)), (source, size, got, p)
+
+
 def test_every_source_comes_near_its_target(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     per = {}

@@ -3,9 +3,11 @@
 Each source gets a word target by its weight, at most ``max_repeats`` times its
 size; what is above is shared again by weight (a water level over the sources).  A
 source whose target is ``e`` times its size gives every document floor(e) whole
-copies; the rest of the target is a fixed-size sample: documents are ranked by
-odds(u) / odds(p), with u a hash of the id and p the inclusion probability, and
-taken in that order until the rest is met.
+copies; the rest of the target is a sample of fixed size in words.  A document's
+inclusion probability p is proportional to its size; where that reaches 1 the document
+is taken for certain, and the others' factor is raised until the expected words are the
+rest.  Documents are ranked by odds(u) / odds(p), u a hash of the id, and taken in that
+order until the rest is met.
 
 The cut in the order is found from a histogram of ranks, so that a source with a
 third of all rows is never sorted in one task: whole bins below the cut are taken,
@@ -42,6 +44,16 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     return per.select("source", "source_size", "weight", F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
+def inclusion_factors(rows: DataFrame) -> DataFrame:
+    """``(source, factor)`` from ``(source, size, rest)``: sum(size * min(1, factor * size)) is ``rest``; by distinct sizes, not by documents."""
+    per = rows.where((F.col("size") > 0) & (F.col("rest") > 0)).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
+    down, up = W.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy("source").orderBy("size")
+    certain = F.coalesce(F.sum(F.col("n") * F.col("size")).over(down), F.lit(0))
+    squares = F.sum(F.col("n") * F.col("size") * F.col("size")).over(up)
+    per = per.select("source", "size", ((F.col("rest") - certain) / squares).alias("factor"))
+    return per.where(F.col("factor") * F.col("size") <= 1).groupBy("source").agg(F.max_by("factor", "size").alias("factor"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1", max_repeats: int = MAX_REPEATS) -> DataFrame:
     """How many whole copies of each document the mix takes.
 
@@ -60,10 +72,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     rows = rows.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rows = rows.withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
-    p = F.col("rest") / F.col("source_size")
-    rows = rows.withColumn("p", F.when(F.col("source_size") > 0, p).otherwise(F.lit(0.0)))
+    factors = bounded_broadcast(cut(inclusion_factors(rows)), BROADCAST_SOURCES).withColumnRenamed("source", "of")
+    rows = rows.join(factors, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    rows = rows.withColumn("p", F.coalesce(F.least(F.lit(1.0), F.col("factor") * F.col("size")), F.lit(0.0))).drop("factor")
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    rows = rows.withColumn("rank", F.when(F.col("p") > 0, rank))
+    rows = rows.withColumn("rank", F.when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, rank))
     rows = rows.withColumn("bin", F.when(F.col("rank").isNotNull(), F.floor(F.col("rank") / (1 + F.col("rank")) * BINS)).otherwise(F.lit(BINS)).cast("int"))
     bins = rows.where(F.col("rank").isNotNull()).groupBy("source", "bin").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
     bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("bin")))
@@ -102,10 +115,18 @@ with d as (
 ), r as (
   select d.*, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as base
   from d join t on d.source is not distinct from t.source
+), q as (
+  select *, target - base * source_size as rest from r
+), f as (
+  select source, arg_max(factor, size) as factor from (
+    select source, size, (rest - coalesce(sum(n * size) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0)::double)
+      / (sum(n * size * size) over (partition by source order by size))::double as factor
+    from (select source, size, count(*) as n, first(rest) as rest from q where size > 0 and rest > 0 group by source, size)
+  ) where factor * size <= 1 group by source
 ), p as (
-  select *, target - base * source_size as rest, case when source_size > 0 then (target - base * source_size) / source_size else 0.0 end as p from r
+  select q.*, coalesce(least(1.0::double, factor * size), 0.0::double) as p from q left join f on q.source is not distinct from f.source
 ), k as (
-  select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank from p
+  select *, case when p >= 1 then 0.0::double when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank from p
 ), c as (
   select *, coalesce(sum(size) over (partition by source order by rank, doc_id, size rows between unbounded preceding and 1 preceding), 0) as earlier
   from k where rank is not null
