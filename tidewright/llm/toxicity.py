@@ -207,7 +207,7 @@ def _scorer(shared, curve: tuple[np.ndarray, np.ndarray] | None):
 
     def score(batches):
         index: Index = shared.value
-        for part in slices(batches, 1024):
+        for part in slices(batches, 512):
             n = part.num_rows
             row, word, count, words = _word_counts(part["text"])
             w = index.known(words)[word] if len(word) else word
@@ -225,7 +225,7 @@ def _scorer(shared, curve: tuple[np.ndarray, np.ndarray] | None):
     return score
 
 
-def build_index(labelled: DataFrame, k: int = 15, max_examples: int = 6_000):
+def build_index(labelled: DataFrame, k: int = 15, max_examples: int = 4_000):
     """The index over examples of ``(doc_id, text, toxic)``, sent to the tasks, and the calibration curve (None without examples)."""
     spark = labelled.sparkSession
     by_hash = lambda toxic, n: labelled.where(F.col("toxic") == toxic).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
