@@ -1,6 +1,7 @@
 from collections import Counter
 
 from tests.llm import brute
+from tidewright.llm import blocks as B
 from tidewright.llm.components import components
 from tidewright.llm.minhash import bands_for, least_matches, near_duplicates
 from tidewright.llm.substring_dedup import substring_dedup
@@ -13,7 +14,7 @@ def texts(df):
 
 def test_suffix_dedup_equals_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_docs=16, batch_windows=500).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_bytes=20_000, batch_windows=500).collect()}
     assert got == brute.suffix_dedup(texts(docs))
 
 
@@ -33,7 +34,7 @@ def test_suffix_dedup_edges(spark, edge_docs, no_docs):
 def test_substring_dedup_equals_brute_force(spark, small, edge_docs, no_docs):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for df in (docs, edge_docs):
-        got = Counter(tuple(r)[:4] for r in substring_dedup(df, block_docs=16).collect())
+        got = Counter(tuple(r)[:4] for r in substring_dedup(df, block_bytes=20_000).collect())
         assert got == Counter(brute.substring_dedup(texts(df)))
     assert substring_dedup(no_docs).collect() == []
 
@@ -78,10 +79,29 @@ def test_components_of_a_long_path(spark):
     assert {got[i] for i in range(41)} == {0} and got[101] == 100
 
 
+def test_common_grams_with_different_surroundings(spark):
+    """More blocks than HOT share a phrase below the window, and some share more: hot names are split, nothing is lost."""
+    phrase = "a phrase of words that is on every page of it"
+    rows = [(i, f"{i * 7919 % 1009:04} {i * 31:06} " * 3 + phrase + f" {i % 40:03} of the {i % 40} pages with some more words after " * 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_bytes=400).collect()}
+    assert got == brute.suffix_dedup(rows)
+    words = [(i, " ".join([f"x{i}y{j}" for j in range(30)] + [f"w{j}" for j in range(20)] + [f"z{i % 40}y{j}" for j in range(30)])) for i in range(200)]
+    docs = spark.createDataFrame(words, "doc_id long, text string")
+    assert Counter(tuple(r)[:4] for r in substring_dedup(docs, block_bytes=900).collect()) == Counter(brute.substring_dedup(words))
+
+
+def test_one_far_id_and_many_null_ids(spark):
+    """Blocks don't follow ids: neither an outlier nor a null key gathers the rows in one block."""
+    docs = spark.createDataFrame([(i if i % 3 else None, f"text {i} " * 20) for i in range(600)] + [(10**15, "far")], "doc_id long, text string")
+    sizes = [r["count"] for r in B.text_blocks(docs, 4000).rows.groupBy("block").count().collect()]
+    assert max(sizes) < 80 and sum(sizes) == 601
+
+
 def test_ids_with_wide_gaps_and_below_zero(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(i * 10**15 - 5 * 10**15, f"{text} {i}") for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_docs=4).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_bytes=1000).collect()}
     assert got == brute.suffix_dedup(rows)
-    assert Counter(tuple(r)[:4] for r in substring_dedup(docs, block_docs=4).collect()) == Counter(brute.substring_dedup(rows))
+    assert Counter(tuple(r)[:4] for r in substring_dedup(docs, block_bytes=1000).collect()) == Counter(brute.substring_dedup(rows))

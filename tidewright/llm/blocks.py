@@ -1,16 +1,22 @@
 """Blocks of documents, rolling hashes and the block/bucket exchange.
 
 Operators that must compare every stretch of text with every other one share a
-plan.  Documents are dealt into *blocks* by ``doc_id`` range.  A block sends one
-packed row to each *bucket* (a range of hash values), the bucket answers with one
+plan.  Documents are dealt into *blocks* of about ``block_bytes`` of text by a hash.
+A block sends one packed row to each *bucket* (a range of hash values; as many buckets
+as the text needs at ``bucket_bytes`` each), the bucket answers with one
 packed row for each block, and the answer meets the block again.  A stretch that
 a third of all documents hold reaches its bucket once for each block, never once
-for each document, so no bucket is hot.  The three uses of the document exchange
-have the same plan, so Spark shuffles the texts once.
+for each document; from HOT blocks on it is split (see ``names_in_blocks``).  The three
+uses of the document exchange have the same plan, so Spark shuffles the texts once.
+
+On a cluster with much memory for each core larger blocks and buckets mean fewer rows:
+16 MB and 512 MB send about 50 names a row from 100 TB.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,29 +36,37 @@ NULL_ID = -(2**63)
 EXCHANGE = "bucket int, block long, kind int, payload binary"
 
 
-def text_blocks(docs: DataFrame, block_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(block, doc_id, text)``: neighbouring ids share a block of about ``block_docs``, and blocks rise with the ids.
+#: Names that so many blocks hold are hot.
+HOT = 64
 
-    Ids with gaps get wider ranges, by one aggregate of the id column.
-    """
-    own = F.col(id_col).cast("long")
-    low, high, n = docs.agg(F.min(own), F.max(own), F.count(own)).first()
-    width = block_docs * max(1, -(-(high - low + 1) // n)) if n else block_docs
-    key = F.coalesce(own, F.lit(NULL_ID))
-    return docs.select(F.floor(key / F.lit(width)).cast("long").alias("block"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+@dataclass
+class Dealt:
+    """``(block, doc_id, text)`` and the number of buckets."""
 
-def buckets_for(docs: DataFrame) -> int:
-    """Buckets follow the session's shuffle partitions, which follow the size of the data."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows: DataFrame
+    buckets: int
 
 
-def sorted_block(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The block's rows in (doc_id, text) order, their ids, and the rank of each id in the block."""
+def text_blocks(docs: DataFrame, block_bytes: int, bucket_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> Dealt:
+    """Rows dealt to blocks by a hash of id, text and input partition, whatever the ids are: null, repeated or far apart.
+
+    A block holds about ``block_bytes``, and one text more where texts are longer.
+    """
+    text = F.col(text_col).cast("string")
+    total, n = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
+    blocks = 1 + max((total or 0) // block_bytes, n // 4096)
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    # repeated rows are told apart by the partition that they come from
+    block = F.pmod(F.xxhash64(own, text, F.spark_partition_id()), F.lit(blocks))
+    return Dealt(docs.select(block.cast("long").alias("block"), own.alias("doc_id"), text.alias("text")), 4 + (total or 0) // bucket_bytes)
+
+
+def sorted_block(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The block's rows in (doc_id, text) order, and their ids."""
     table = table.set_column(table.schema.get_field_index("text"), "text", pc.fill_null(table["text"], ""))
     table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
-    ids = table["doc_id"].to_numpy()
-    return table, ids, np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]).astype(np.int64)])) if len(ids) else ids
+    return table, table["doc_id"].to_numpy()
 
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,30 +228,43 @@ def gram_rows(block: int, names: np.ndarray, n_buckets: int) -> pa.Table:
     return rows(EXCHANGE, bucket=full, block=[block] * len(full), kind=[0] * len(full), payload=[pack48(names[at[b] : at[b + 1]]) for b in full])
 
 
-def repeated_grams(table: pa.Table) -> pa.Table:
-    """For each block's row of a bucket one bit for each name: does another block have it."""
+def names_in_blocks(table: pa.Table) -> pa.Table:
+    """For each block's row of a bucket two bits for each name: does another block have it; do HOT blocks have it.
+
+    A hot name is only the place where a stretch is cut: blocks send its windows one by
+    one under names of their own, so that no bucket gathers all that surrounds it.
+    """
     parts = [unpack48(x) for x in table["payload"].to_pylist()]
     _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    bits, at, out = counts[inverse] > 1, 0, []
+    bits, at, out = np.stack([counts[inverse] > 1, counts[inverse] >= HOT], axis=1), 0, []
     for p in parts:
-        out.append(np.packbits(bits[at : at + len(p)]).tobytes())
+        out.append(np.packbits(bits[at : at + len(p)].ravel()).tobytes())
         at += len(p)
     n = len(out)
     return rows(EXCHANGE, bucket=table["bucket"].to_pylist(), block=table["block"].to_pylist(), kind=[1] * n, payload=out)
 
 
-def answer(table: pa.Table, kind: int, lengths: np.ndarray) -> np.ndarray:
-    """The bits that buckets sent back, in the order in which the block sent its items.
+def answer(table: pa.Table, kind: int, lengths: np.ndarray, width: int = 1) -> np.ndarray:
+    """The bits that buckets sent back, ``width`` for each item, in the order in which the block sent its items.
 
     ``lengths``: how many items the block sent to each bucket.
     """
     own = table.filter(pc.equal(table["kind"], kind))
-    bits = np.zeros(int(lengths.sum()), bool)
+    bits = np.zeros((int(lengths.sum()), width), bool)
     at = np.concatenate([[0], np.cumsum(lengths)])
     for b, data in zip(own["bucket"].to_pylist(), own["payload"].to_pylist(), strict=True):
         n = int(lengths[b])
-        bits[at[b] : at[b] + n] = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
-    return bits
+        bits[at[b] : at[b] + n] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
+    return bits[:, 0] if width == 1 else bits
+
+
+def split_hot(name: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, hot: np.ndarray, whole: np.ndarray):
+    """Stretches ``(name, lo, hi, pos)`` with those of hot names cut into their windows, each named by its own hash."""
+    if not hot.any():
+        return name, lo, hi, pos
+    at, which = spread(lo[hot], (hi - lo + 1)[hot])
+    own = mix(whole[at] ^ MULTIPLIERS[4])
+    return (*(np.concatenate([x[~hot], y]) for x, y in ((name, own), (lo, at), (hi, at), (pos, pos[hot][which]))),)
 
 
 def exchange(docs_by_block: DataFrame, first, second, repeated, last, out_schema: str) -> DataFrame:
@@ -248,7 +275,7 @@ def exchange(docs_by_block: DataFrame, first, second, repeated, last, out_schema
     """
     by_block = docs_by_block.groupBy("block")
     grams = by_block.applyInArrow(first, EXCHANGE)
-    known = grams.groupBy("bucket").applyInArrow(repeated_grams, EXCHANGE)
+    known = grams.groupBy("bucket").applyInArrow(names_in_blocks, EXCHANGE)
     stretches = by_block.cogroup(known.groupBy("block")).applyInArrow(second, EXCHANGE)
     found = stretches.groupBy("bucket").applyInArrow(repeated, EXCHANGE)
     return by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(last, out_schema)

@@ -94,7 +94,7 @@ def edited_text(text: str, following: str) -> str:
 def _with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows dealt to ranges of ids; each range also gets, as ``tail``, the first row of the next one."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = 4 * B.buckets_for(docs)
+    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("at")).first()["at"] or []
     splits = [-math.inf, *sorted({float(x) for x in at} or {0.0}), math.inf]
     split = Bucketizer(splits=splits, inputCol="_id", outputCol="range")

@@ -29,7 +29,7 @@ class _Block:
     """A block's word codes, sampled grams and the distinct stretches around recurring grams."""
 
     def __init__(self, table: pa.Table, window: int, gram: int, n_buckets: int):
-        self.table, self.ids, _ = B.sorted_block(table)
+        self.table, self.ids = B.sorted_block(table)
         self.codes, self.at, self.vocabulary = B.word_codes(self.table["text"])
         symbols = B.word_hashes(self.vocabulary)[self.codes] if len(self.codes) else np.empty(0, B.U64)
         grams, self.whole = B.rolling(symbols, gram, window) if len(symbols) >= window else (np.empty(0, B.U64), np.empty(0, B.U64))
@@ -39,9 +39,9 @@ class _Block:
         self.sent = np.diff(B.bucket_slices(self.names, n_buckets))
 
     def stretches(self, answers: pa.Table, n_buckets: int) -> None:
-        again = B.answer(answers, 1, self.sent) | (self.counts > 1)
-        keep = again[self.inverse]
-        self.lo, self.hi, self.name = (x[keep] for x in (self.lo, self.hi, self.name))
+        told = B.answer(answers, 1, self.sent, 2)
+        keep = (told[:, 0] | (self.counts > 1))[self.inverse]
+        self.name, self.lo, self.hi, _ = B.split_hot(self.name[keep], self.lo[keep], self.hi[keep], self.lo[keep], told[:, 1][self.inverse][keep], self.whole)
         self.n = self.hi - self.lo + 1
         key = B.mix(self.whole[self.lo] * B.MULTIPLIERS[2] + self.whole[self.hi]) + self.n.astype(B.U64)
         order = np.lexsort((key, self.name))
@@ -141,7 +141,7 @@ def _cut(block: _Block, answers: pa.Table, window: int, schema: str) -> pa.Table
     return B.rows(schema, **out)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, block_docs: int = 256, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, block_bytes: int = 600_000, texts: bool = True) -> DataFrame:
     """Remove every word covered by a ``window``-word passage that also starts anywhere else.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept``
@@ -152,7 +152,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words is kept; a null ``doc_id`` stays null; repeated rows count as occurrences
     of their own; an empty table gives an empty result; other columns are ignored.
     """
-    n = B.buckets_for(docs)
+    dealt = B.text_blocks(docs, block_bytes, id_col=id_col, text_col=text_col)
+    n = dealt.buckets
     schema = f"{OUT}, kept string" if texts else OUT
 
     def first(key, table):
@@ -168,7 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block.stretches(right, n)
         return _cut(block, right, window, schema)
 
-    return B.exchange(B.text_blocks(docs, block_docs, id_col, text_col), first, second, _confirm, last, schema)
+    return B.exchange(dealt.rows, first, second, _confirm, last, schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,16 +8,21 @@ blockwise over suffix buckets:
    suffixes different phases; a content-defined sample gives them the same offset,
    and keeps the property that any two suffixes which tie for ``window`` bytes
    meet a sampled position at a common offset.
-2. *Cover ranks.* Sampled grams are named and counted in hash buckets.  Suffixes
+2. *Candidates.* Sampled grams are named and counted in hash buckets.  Suffixes
    whose sampled gram occurs once can't tie for ``window`` bytes and go no further.
-3. *Bucket sort.* The other suffixes go to the bucket of their gram's name with
-   the bytes around it.  A bucket sorts a bounded batch at a time: name and offset
-   first (this settles the tie over the gram), then the words of the window.
-   Neighbours are compared byte for byte, and the smallest document of each run of
-   equal windows is known.
-4. The verdicts return to the documents as one bit for each window.
-
-Memory: a block (``block_docs`` texts) or a batch (``batch_windows`` suffixes).
+3. *Cover ranks.* The others go to the bucket of their gram's name.  A bucket sorts a
+   bounded batch at a time: the sampled suffixes in byte order and, for what precedes
+   them, the reversed prefixes in byte order, each with the longest common prefixes of
+   neighbours.  The rank of a sample at a depth is the number of neighbours before it
+   that part earlier.
+4. *Ties.* A suffix that begins ``p`` bytes before its sample ties with another for
+   ``window`` bytes if their samples have one prefix rank at depth ``p`` and one suffix
+   rank at depth ``window - p``: two numbers stand for the bytes, which are never
+   compared again.  Suffixes are sorted by these ranks, and the smallest document of
+   each tie is known.
+5. The verdicts return to the documents as one bit for each window.
+
+Memory: a block (``block_bytes`` of text) or a batch (``batch_windows`` suffixes).
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ class _Block:
     """A block's bytes, its cover sample and the distinct stretches around repeated grams."""
 
     def __init__(self, table: pa.Table, window: int, gram: int, n_buckets: int):
-        self.table, self.ids, self.rank = B.sorted_block(table)
+        self.table, self.ids = B.sorted_block(table)
         self.data, self.at = B.text_bytes(self.table["text"])
         symbols = B.mix(np.arange(1, 257, dtype=B.U64) * B.MULTIPLIERS[0])[self.data]
         grams, self.whole = B.rolling(symbols, gram, window) if len(symbols) >= window else (np.empty(0, B.U64), np.empty(0, B.U64))
@@ -49,9 +54,10 @@ class _Block:
 
     def stretches(self, answers: pa.Table, n_buckets: int) -> None:
         """Sampled positions whose gram occurs again; equal stretches of the block share a record."""
-        again = B.answer(answers, 1, self.sent) | (self.counts > 1)
-        keep = again[self.inverse]
-        self.pos, self.lo, self.hi, self.name = (x[keep] for x in (self.pos, self.lo, self.hi, self.name))
+        told = B.answer(answers, 1, self.sent, 2)
+        keep = (told[:, 0] | (self.counts > 1))[self.inverse]
+        hot = told[:, 1][self.inverse][keep]
+        self.name, self.lo, self.hi, self.pos = B.split_hot(self.name[keep], self.lo[keep], self.hi[keep], self.pos[keep], hot, self.whole)
         self.n = self.hi - self.lo + 1
         self.doc = np.searchsorted(self.at, self.pos, "right") - 1
         key = B.mix(self.whole[self.lo] * B.MULTIPLIERS[2] + self.whole[self.hi]) + (self.n * 64 + self.pos - self.lo).astype(B.U64)
@@ -72,33 +78,74 @@ def _pieces(block: _Block, number: int, window: int, n_buckets: int) -> pa.Table
             continue
         at, _ = B.spread(block.lo[own], block.n[own] + window - 1)
         head = np.array([len(own)], "<i8").tobytes() + B.pack48(block.name[own]) + (block.pos - block.lo)[own].astype("u1").tobytes()
-        head += block.n[own].astype("u1").tobytes() + block.rank[block.doc[own]].astype("<u4").tobytes()
+        head += block.n[own].astype("u1").tobytes() + block.ids[block.doc[own]].astype("<i8").tobytes()
         full.append(b)
         payload.append(zstandard.ZstdCompressor(level=1).compress(head + block.data[at].tobytes()))
     return B.rows(B.EXCHANGE, bucket=full, block=[number] * len(full), kind=[0] * len(full), payload=payload)
 
 
+class _Sorted:
+    """Strings of ``width`` bytes in byte order, and the common prefixes of neighbours."""
+
+    def __init__(self, strings: np.ndarray):
+        wide = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
+        wide[:, : strings.shape[1]] = strings
+        words = wide.view(">u8").astype(B.U64)
+        order = np.lexsort(words.T[::-1])
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        differ = wide[order][1:] != wide[order][:-1]
+        self.common = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), wide.shape[1])])
+
+    def rank(self, depth: int) -> np.ndarray:
+        """Ranks of the strings cut to ``depth`` bytes, in the order given: equal ones have one rank."""
+        return np.cumsum(self.common < depth)[self.place]
+
+
+def _flags(name: np.ndarray, offset: np.ndarray, count: np.ndarray, doc: np.ndarray, start: np.ndarray, data: np.ndarray, window: int):
+    """Place of each record's windows among all of the batch, and whether a smaller document has the same."""
+    ends = np.cumsum(count)
+    out = np.zeros(int(ends[-1]), bool)
+    reach = start + count + window - 1
+    deep = int(offset.max())
+    sample = start + offset
+    after = sample[:, None] + np.arange(window)
+    suffixes = _Sorted(np.where(after < reach[:, None], data[np.minimum(after, len(data) - 1)], 0))
+    before = sample[:, None] - 1 - np.arange(max(1, deep))
+    prefixes = _Sorted(np.where(before >= start[:, None], data[np.maximum(before, 0)], 0))
+    _, code = np.unique(name, return_inverse=True)
+    for p in range(deep + 1):
+        own = np.flatnonzero((p <= offset) & (p > offset - count))
+        if len(own) < 2:
+            continue
+        size = len(name) + 1
+        left = np.unique(code[own] * size + prefixes.rank(p)[own], return_inverse=True)[1]
+        tie = left * size + suffixes.rank(window - p)[own]
+        order = np.lexsort((doc[own], tie))
+        new = np.ones(len(own), bool)
+        new[1:] = tie[order][1:] != tie[order][:-1]
+        least = doc[own][order][new][np.cumsum(new) - 1]
+        out[(ends - count + offset)[own[order]] - p] = least < doc[own][order]
+    return out
+
+
 def _sort_bucket(table: pa.Table, window: int, batch_windows: int) -> pa.Table:
     """One bit for each window of each record: a smaller document has the same window."""
-    names, offset, count, doc, data, source, sizes = [], [], [], [], [], [], []
-    numbers = table["block"].to_numpy()
-    for i, packed in enumerate(table["payload"].to_pylist()):
+    names, offset, count, doc, data, sizes = [], [], [], [], [], []
+    for packed in table["payload"].to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(packed)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         names.append(B.unpack48(raw[8 : 8 + 6 * n]))
         offset.append(np.frombuffer(raw, "u1", n, 8 + 6 * n))
         count.append(np.frombuffer(raw, "u1", n, 8 + 7 * n))
-        doc.append(np.frombuffer(raw, "<u4", n, 8 + 8 * n))
-        data.append(np.frombuffer(raw, "u1", offset=8 + 12 * n))
-        source.append(np.full(n, numbers[i]))
+        doc.append(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
+        data.append(np.frombuffer(raw, "u1", offset=8 + 16 * n))
         sizes.append(int(count[-1].sum()))
-    names, offset, count, doc, source = map(np.concatenate, (names, offset, count, doc, source))
-    data = np.concatenate([*data, np.zeros(8, np.uint8)])
-    count = count.astype(np.int64)
+    names, offset, count, doc, data = map(np.concatenate, (names, offset, count, doc, data))
+    count, offset = count.astype(np.int64), offset.astype(np.int64)
     start = np.cumsum(count + window - 1) - (count + window - 1)
     bit_at = np.cumsum(count) - count
     flags = np.zeros(int(count.sum()), bool)
-    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
     order = np.argsort(names, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1], [True]]))
     done = np.concatenate([[0], np.cumsum(count[order])])
@@ -106,29 +153,12 @@ def _sort_bucket(table: pa.Table, window: int, batch_windows: int) -> pa.Table:
     while at < len(edges) - 1:  # whole names, as many as a batch holds
         to = max(at + 1, int(np.searchsorted(done[edges], done[edges[at]] + batch_windows, "right")) - 1)
         own = order[edges[at] : edges[to]]
-        where, which = B.spread(start[own], count[own])
-        shift = where - start[own][which]
-        rank = names[own][which] * B.MULTIPLIERS[3] + (offset[own][which] - shift).astype(np.int64).astype(B.U64)
-        parts = [words[where + o] for o in [*range(0, window - 7, 8), window - 8]]
-        key = rank
-        for p in parts:
-            key = B.mix(key * B.MULTIPLIERS[0] + p)
-        by = np.argsort(key, kind="stable")
-        new = np.ones(len(by), bool)
-        new[1:] = rank[by][1:] != rank[by][:-1]
-        for p in parts:
-            new[1:] |= p[by][1:] != p[by][:-1]
-        run = np.cumsum(new) - 1
-        block_of, doc_of = source[own][which][by], doc[own][which][by].astype(np.int64)
-        least = np.minimum.reduceat(block_of, np.flatnonzero(new))[run]
-        least_doc = np.minimum.reduceat(np.where(block_of == least, doc_of, 2**40), np.flatnonzero(new))[run]
-        out = np.empty(len(by), bool)
-        out[by] = (least < block_of) | (least_doc < doc_of)
-        flags[bit_at[own][which] + shift] = out
+        where, _ = B.spread(bit_at[own], count[own])
+        flags[where] = _flags(names[own], offset[own], count[own], doc[own], start[own], data, window)
         at = to
     ends = np.cumsum(sizes)
     bits = [np.packbits(flags[e - s : e]).tobytes() for e, s in zip(ends, sizes, strict=True)]
-    return B.rows(B.EXCHANGE, bucket=table["bucket"].to_pylist(), block=numbers, kind=[2] * len(bits), payload=bits)
+    return B.rows(B.EXCHANGE, bucket=table["bucket"].to_pylist(), block=table["block"].to_pylist(), kind=[2] * len(bits), payload=bits)
 
 
 def _cut(block: _Block, answers: pa.Table, window: int, n_buckets: int, schema: str) -> pa.Table:
@@ -137,8 +167,8 @@ def _cut(block: _Block, answers: pa.Table, window: int, n_buckets: int, schema:
     ends = np.concatenate([[0], np.cumsum(per_record)])
     flags = B.answer(answers, 2, np.diff(ends[block.bounds]))
     inside, which = B.spread(ends[:-1][block.record], block.n)
-    rank = block.rank[block.doc]
-    later = rank > rank[block.first][block.record]
+    own = block.ids[block.doc]
+    later = own > own[block.first][block.record]
     removed = flags[inside] | later[which]
     start = (block.lo[which] + inside - ends[:-1][block.record][which])[removed]
     step = np.zeros(len(block.data) + 1, np.int32)
@@ -158,7 +188,7 @@ def _cut(block: _Block, answers: pa.Table, window: int, n_buckets: int, schema:
     return B.rows(schema, **out)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24, block_docs: int = 256, batch_windows: int = 250_000, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24, block_bytes: int = 600_000, batch_windows: int = 250_000, texts: bool = True) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that starts in a smaller document too.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``,
@@ -171,7 +201,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``window`` bytes is kept; an empty table gives an empty result; other columns
     are ignored, whatever their names.
     """
-    n = B.buckets_for(docs)
+    dealt = B.text_blocks(docs, block_bytes, id_col=id_col, text_col=text_col)
+    n = dealt.buckets
     schema = f"{OUT}, kept binary" if texts else OUT
 
     def first(key, table):
@@ -191,7 +222,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         block.stretches(right, n)
         return _cut(block, right, window, n, schema)
 
-    return B.exchange(B.text_blocks(docs, block_docs, id_col, text_col), first, second, repeated, last, schema)
+    return B.exchange(dealt.rows, first, second, repeated, last, schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

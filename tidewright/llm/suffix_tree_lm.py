@@ -202,7 +202,7 @@ def byte_tree(grams: DataFrame, max_contexts: int, divergence: float) -> ByteTre
 
 class _Block:
     def __init__(self, table: pa.Table, n_buckets: int):
-        self.table, self.ids, _ = B.sorted_block(table)
+        self.table, self.ids = B.sorted_block(table)
         self.tokens, self.at, self.vocabulary, hashes = _tokens(self.table["text"])
         self.names, self.place = np.unique(self.tokens, return_inverse=True)
         self.word_of = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
@@ -355,7 +355,7 @@ def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
     return B.rows(B.EXCHANGE, bucket=table["bucket"].to_pylist(), block=table["block"].to_pylist(), kind=[kind] * len(payload), payload=payload)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256, max_contexts: int = 8000, divergence: float = 12.0, depth: int = 3, context_discount: float = 0.5, unseen: str = "class") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 600_000, max_contexts: int = 8000, divergence: float = 12.0, depth: int = 3, context_discount: float = 0.5, unseen: str = "class") -> DataFrame:
     """Scores of all documents by a model of those whose crc32(id) mod 5 is not 1; returns OUT.
 
     score: log10 probability of the document's words and its end; base_score: the
@@ -366,7 +366,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (base_score is defined by its formula); repeated rows count each time; an
     empty table gives an empty result; other columns are ignored.
     """
-    n = B.buckets_for(docs)
+    dealt = B.text_blocks(docs, block_bytes, id_col=id_col, text_col=text_col)
+    n = dealt.buckets
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = cut(word_counts(rows, n))
     grams, (total, types, once) = _statistics(counts)
@@ -435,7 +436,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             train_tokens=[total] * len(m), base_score=sums(base) - m * math.log10(total + 0.5 * (types + 1)), score=sums(value),
         )
 
-    by_block = B.text_blocks(docs, block_docs, id_col, text_col).groupBy("block")
+    by_block = dealt.rows.groupBy("block")
     known = by_block.applyInArrow(ask, B.EXCHANGE).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(tell, B.EXCHANGE)
     told = known.repartition(n, "block")  # parts of one partitioning: their union is not shuffled again
     for length in range(1, depth + 1):
