@@ -10,7 +10,9 @@ else from the root.
 
 One length is one round of the exchange: blocks send their distinct (context, next)
 pairs, added up, with the shorter run's probability; buckets answer with the pairs'
-counts in all training text.  These counts are also how often the contexts of the
+counts in all training text.  A pair whose next word occurs in training once, here, and
+nowhere else occurs once; a context's such pairs travel as their number and the sum of
+their shorter runs' log probabilities, and need no answer.  These counts are also how often the contexts of the
 next length occur, so that contexts seen once are left out without asking.  Contexts
 with more than 1/SHARDS of all tokens are dealt over SHARDS keys by their next word;
 a block adds the shards' answers up.
@@ -60,14 +62,6 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id in (None, B.NULL_ID) else str(doc_id).encode()) % 5 == 1
 
 
-def _tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Hashes of the rows' words with an end token each, offsets, the words and their hashes."""
-    codes, at, vocabulary = B.word_codes(column, lower=True)
-    names = B.word_hashes(vocabulary)
-    h = names[codes] if len(codes) else np.empty(0, B.U64)
-    return np.insert(h, at[1:], END_HASH), at + np.arange(len(at)), vocabulary, names
-
-
 # -- counts of training tokens, in buckets -----------------------------------------
 
 
@@ -82,15 +76,16 @@ def _unpack(data: bytes) -> tuple[list[str], np.ndarray]:
 
 
 def word_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """One row per bucket with its distinct training words and their counts."""
+    """One row per bucket with its distinct training words and, of each, twice its count, and one more if held-out texts have it too."""
 
     def count(batches):
         for part in slices(batches, 2048):
             train = np.array([not held_out(i) for i in part["doc_id"].to_pylist()])
-            part = part.filter(pa.array(train))
             codes, at, vocabulary = B.word_codes(part["text"], lower=True)
             words = [*vocabulary.to_pylist(), END]
-            counts = np.concatenate([np.bincount(codes, minlength=len(vocabulary)), [part.num_rows]]).astype(np.int64)
+            own = np.repeat(train, np.diff(at))
+            outside = np.append(np.bincount(codes[~own], minlength=len(vocabulary)), (~train).sum()) > 0
+            counts = 2 * np.append(np.bincount(codes[own], minlength=len(vocabulary)), train.sum()).astype(np.int64) + outside
             names = np.concatenate([B.word_hashes(vocabulary), [END_HASH]])
             order = np.argsort(names)
             bounds = B.bucket_slices(names[order], n_buckets)
@@ -102,8 +97,9 @@ def word_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
         total: dict[str, int] = {}
         for data in table["payload"].to_pylist():
             for w, c in zip(*(lambda x: (x[0], x[1].tolist()))(_unpack(data)), strict=True):
-                total[w] = total.get(w, 0) + c
-        words = sorted(total)
+                before = total.get(w, 0)
+                total[w] = before + c - (before & c & 1)
+        words = sorted(w for w, c in total.items() if c > 1)
         return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([_pack(words, np.array([total[w] for w in words], np.int64))], pa.binary())], names=["bucket", "payload"])
 
     return rows.mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(merge, PACKED)
@@ -138,7 +134,7 @@ def _statistics(counts: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
     def totals(batches):
         for batch in batches:
             for data in batch.column("payload").to_pylist():
-                _, c = _unpack(data)
+                c = _unpack(data)[1] >> 1
                 yield pa.record_batch([pa.array([int(x)], pa.int64()) for x in (c.sum(), len(c), (c == 1).sum())], names=["n", "v", "one"])
 
     one = counts.mapInArrow(totals, "n long, v long, one long").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "one")]).first()
@@ -203,11 +199,15 @@ def byte_tree(grams: DataFrame, max_contexts: int, divergence: float) -> ByteTre
 class _Block:
     def __init__(self, table: pa.Table, n_buckets: int):
         self.table, self.ids = B.sorted_block(table)
-        self.tokens, self.at, self.vocabulary, hashes = _tokens(self.table["text"])
-        self.names, self.place = np.unique(self.tokens, return_inverse=True)
-        self.word_of = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
+        codes, at, self.vocabulary = B.word_codes(self.table["text"], lower=True)
+        hashes = np.append(B.word_hashes(self.vocabulary), END_HASH)
+        self.words = np.argsort(hashes)  # of each name, by its rank
+        self.names, rank = hashes[self.words], np.empty(len(hashes), np.int64)
+        rank[self.words] = np.arange(len(hashes))
+        self.place, self.at = np.insert(rank[codes], at[1:], rank[-1]), at + np.arange(len(at))
         self.sent = np.diff(B.bucket_slices(self.names, n_buckets))
         self.train = np.array([not held_out(int(i)) for i in self.ids])
+        self.learns = np.repeat(self.train, np.diff(self.at))
 
     def learn(self, answers: pa.Table, tree: ByteTree | None, stats: tuple) -> None:
         """Counts and root probabilities of the block's tokens."""
@@ -221,7 +221,8 @@ class _Block:
             c[ends[b] - n : ends[b]] = np.frombuffer(raw, "<i8", n)
             if tree is not None:
                 spelled[ends[b] - n : ends[b]] = np.frombuffer(raw, "<f4", n, 8 * n)
-        self.c = c
+        self.c, self.outside = c >> 1, (c & 1) > 0
+        c = self.c
         if not total:
             self.root = np.zeros(len(c))
             return
@@ -231,7 +232,7 @@ class _Block:
             return
         new = np.flatnonzero((c == 0) & (self.names != END_HASH))
         vocabulary = self.vocabulary.to_pylist() if len(new) else []
-        spelled[new] = tree.spell([vocabulary[self.word_of[int(h)]] for h in self.names[new]])
+        spelled[new] = tree.spell([vocabulary[i] for i in self.words[new]])
         spelled = np.where(self.names == END_HASH, -np.inf, spelled)
         self.root = np.log10(np.maximum(np.maximum(c - discount, 0) / total + left * 10.0**spelled, 1e-300))
 
@@ -241,6 +242,7 @@ class _Block:
         self.hashed = np.zeros(len(self.place), B.U64)
         self.parent = self.root[self.place].astype(float)  # log10 P(token | the run of the length before)
         self.value = self.parent.copy()
+        self.once = self.learns & ((self.c == 1) & ~self.outside)[self.place]  # the word's only place at all
         self.seen = np.concatenate([[0], self.c[self.place][:-1]])[: len(self.place)]  # of the run before each token, in training
 
     def pairs(self, length: int, n_buckets: int, total: int) -> None:
@@ -249,31 +251,48 @@ class _Block:
         self.t = t = np.flatnonzero((self.back >= length) & (self.seen >= 2))
         self.hashed[t] = B.mix(self.hashed[t] * B.MULTIPLIERS[0] + name[t - length] + B.U64(length))
         # Names travel as 48 bits; so do these, that blocks and buckets cut them alike.
-        context, count, symbol = self.hashed[t] >> B.U64(16) << B.U64(16), self.seen[t], self.place[t]
-        hot = count > max(total // SHARDS, SHARDED_FROM)
+        short = self.hashed[t] >> B.U64(16) << B.U64(16)
+        if length == 1:  # a context is a word: no sort of the tokens
+            word = np.full(len(self.names), -1)
+            word[self.place[t - 1]] = np.arange(len(t))
+            used = np.flatnonzero(word >= 0)
+            by = np.argsort(short[word[used]])
+            self.contexts = short[word[used]][by]
+            word[used[by]] = np.arange(len(used))
+            self.context_of = word[self.place[t - 1]]
+        else:
+            self.contexts, self.context_of = np.unique(short, return_inverse=True)
+        symbol, size = self.place[t], len(self.contexts)
+        self.count = np.zeros(size, np.int64)
+        self.count[self.context_of] = self.seen[t]
+        often = np.flatnonzero(self.count > max(total // SHARDS, SHARDED_FROM))
         shards = np.arange(1, SHARDS + 1, dtype=B.U64) * B.MULTIPLIERS[1]
-        key = context.copy()
-        key[hot] = B.mix(context[hot] ^ shards[(name[t[hot]] % B.U64(SHARDS)).astype(np.int64)]) >> B.U64(16) << B.U64(16)
-        often = np.unique(context[hot])  # all their shards are asked, also those without a pair here
-        every = (B.mix(often[:, None] ^ shards[None, :]) >> B.U64(16) << B.U64(16)).ravel()
-        self.keys = np.unique(np.concatenate([key, every]))
-        self.hot = np.isin(self.keys, every)
-        self.contexts, self.context_of = np.unique(context, return_inverse=True)
-        self.count = np.zeros(len(self.contexts), np.int64)
-        self.count[self.context_of] = count
+        every = (B.mix(self.contexts[often][:, None] ^ shards[None, :]) >> B.U64(16) << B.U64(16)).ravel()  # all shards are asked, also those without a pair here
+        whole = np.ones(size, bool)
+        whole[often] = False
+        self.keys = np.unique(np.concatenate([self.contexts[whole], every]))
+        at_shard, at_context = np.searchsorted(self.keys, every), np.searchsorted(self.keys, self.contexts)
+        self.hot = np.zeros(len(self.keys), bool)
+        self.hot[at_shard] = True
         self.owner = np.full(len(self.keys), -1)
-        self.owner[np.searchsorted(self.keys, every)] = np.repeat(np.searchsorted(self.contexts, often), SHARDS)
-        self.owner[np.searchsorted(self.keys, key)] = self.context_of
-        by = np.lexsort((symbol, key))
-        k, s = key[by], symbol[by]
+        self.owner[at_context[whole]] = np.flatnonzero(whole)
+        self.owner[at_shard] = np.repeat(often, SHARDS)
+        place = at_context[self.context_of] if size else self.context_of
+        hot = np.flatnonzero(~whole[self.context_of]) if size else self.context_of
+        place[hot] = at_shard[np.searchsorted(often, self.context_of[hot]) * SHARDS + (name[t[hot]] % B.U64(SHARDS)).astype(np.int64)]
+        self.single = self.once[t]
+        self.singles = np.bincount(place[self.single], minlength=len(self.keys))
+        self.single_logs = np.bincount(place[self.single], weights=-self.parent[t[self.single]], minlength=len(self.keys))
+        rest = np.flatnonzero(~self.single)
+        both = place[rest] * len(self.names) + symbol[rest]
+        by = np.argsort(both)
         new = np.ones(len(by), bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        self.pair = np.empty(len(by), np.int64)
-        self.pair[by] = np.cumsum(new) - 1
-        train = self.train[np.searchsorted(self.at, t, "right") - 1] if len(t) else np.zeros(0)
-        self.n = np.bincount(self.pair, weights=train, minlength=int(new.sum())).astype(np.int64)
-        self.symbol, self.shorter = s[new], self.parent[t[by][new]]
-        self.width = np.bincount(np.searchsorted(self.keys, k[new]), minlength=len(self.keys))
+        new[1:] = both[by][1:] != both[by][:-1]
+        self.pair = np.zeros(len(t), np.int64)
+        self.pair[rest[by]] = np.cumsum(new) - 1
+        self.n = np.bincount(self.pair[rest], weights=self.learns[t[rest]], minlength=int(new.sum())).astype(np.int64)
+        self.symbol, self.shorter = symbol[rest[by][new]], self.parent[t[rest[by][new]]]
+        self.width = np.bincount(place[rest[by][new]], minlength=len(self.keys))
         self.bounds = B.bucket_slices(self.keys, n_buckets)
         self.pair_at = np.concatenate([[0], np.cumsum(self.width)])[self.bounds]
 
@@ -297,7 +316,8 @@ class _Block:
         if self.hot.any():
             gain = np.bincount(self.owner[self.hot], weights=raw[self.hot], minlength=size) - self.count * np.log(self.count)
             stays[self.owner[self.hot]] = (gain >= types * math.log(max(2, total)))[self.owner[self.hot]]
-        t, own_n, c = self.t, n[self.pair], self.context_of
+        t, c = self.t, self.context_of
+        own_n = np.where(self.single, 1, n[self.pair] if len(n) else 1)
         p = np.maximum(own_n - discount, 0) / self.count[c] + discount * types[c] / self.count[c] * 10.0 ** self.parent[t]
         self.parent[t] = np.log10(p)
         self.value[t] = np.where(stays[c], self.parent[t], self.value[t])
@@ -312,6 +332,7 @@ def _ask_pairs(block: _Block, number: int, n_buckets: int) -> pa.Table:
         s, m = slice(block.bounds[b], block.bounds[b + 1]), slice(block.pair_at[b], block.pair_at[b + 1])
         if s.stop > s.start:
             raw = np.array([s.stop - s.start, m.stop - m.start], "<i8").tobytes() + B.pack48(block.keys[s]) + block.width[s].astype("<u4").tobytes() + np.packbits(block.hot[s]).tobytes()
+            raw += block.singles[s].astype("<u4").tobytes() + block.single_logs[s].astype("<f4").tobytes()
             raw += (block.names[block.symbol[m]] >> B.U64(32)).astype("<u4").tobytes() + roots[m].tobytes() + block.n[m].astype("<u4").tobytes()
             full.append(b)
             payload.append(zstandard.ZstdCompressor(level=1).compress(raw))
@@ -320,7 +341,7 @@ def _ask_pairs(block: _Block, number: int, n_buckets: int) -> pa.Table:
 
 def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
     """To each block: its keys' branches and whether they pass, its pairs' counts, its hot keys' share of the likelihood."""
-    names, widths, hots, symbols, roots, counts = [], [], [], [], [], []
+    names, widths, hots, singles, single_logs, symbols, roots, counts = ([] for _ in range(8))
     for data in table["payload"].to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(data)
         k, m = np.frombuffer(raw, "<i8", 2).tolist()
@@ -329,21 +350,27 @@ def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
         at = 16 + 10 * k
         hots.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-k // 8), at), count=k).astype(bool))
         at += -(-k // 8)
+        singles.append(np.frombuffer(raw, "<u4", k, at))
+        single_logs.append(np.frombuffer(raw, "<f4", k, at + 4 * k))
+        at += 8 * k
         symbols.append(np.frombuffer(raw, "<u4", m, at))
         roots.append(np.frombuffer(raw, "<u2", m, at + 4 * m))
         counts.append(np.frombuffer(raw, "<u4", m, at + 6 * m))
     key_ends, pair_ends = np.cumsum([len(x) for x in names]), np.cumsum([len(x) for x in symbols])
     keys, code = np.unique(np.concatenate(names), return_inverse=True)
     k, s, c = np.repeat(code, np.concatenate(widths)), np.concatenate(symbols), np.concatenate(counts)
-    order = np.lexsort((s, k))
+    both = k.astype(B.U64) << B.U64(32) | s
+    order = np.argsort(both)
     new = np.ones(len(order), bool)
-    new[1:] = (k[order][1:] != k[order][:-1]) | (s[order][1:] != s[order][:-1])
+    new[1:] = both[order][1:] != both[order][:-1]
     first = np.flatnonzero(new)
     n = np.add.reduceat(c[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
     group, shorter = k[order][first], np.concatenate(roots)[order][first] / -ROOT_STEPS * math.log(10)
-    t = np.bincount(group, weights=n, minlength=len(keys))
-    types = np.bincount(group, weights=n > 0, minlength=len(keys)).astype(np.int64)
+    alone = np.bincount(code, weights=np.concatenate(singles), minlength=len(keys))
+    t = np.bincount(group, weights=n, minlength=len(keys)) + alone
+    types = (np.bincount(group, weights=n > 0, minlength=len(keys)) + alone).astype(np.int64)
     raw = np.bincount(group, weights=n * (np.log(np.maximum(n, 1)) - shorter), minlength=len(keys))
+    raw += np.bincount(code, weights=np.concatenate(single_logs).astype(float), minlength=len(keys)) * math.log(10)
     kept = (t >= 2) & (raw - t * np.log(np.maximum(t, 1)) >= types * math.log(max(2, total)))
     told, of_pair = (types * 2 + kept).astype("<u4"), np.empty(len(order), "<u4")
     of_pair[order] = n[np.cumsum(new) - 1]
@@ -355,7 +382,7 @@ def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
     return B.rows(B.EXCHANGE, bucket=table["bucket"].to_pylist(), block=table["block"].to_pylist(), kind=[kind] * len(payload), payload=payload)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 600_000, max_contexts: int = 8000, divergence: float = 12.0, depth: int = 3, context_discount: float = 0.5, unseen: str = "class") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_500_000, max_contexts: int = 8000, divergence: float = 12.0, depth: int = 3, context_discount: float = 0.5, unseen: str = "class") -> DataFrame:
     """Scores of all documents by a model of those whose crc32(id) mod 5 is not 1; returns OUT.
 
     score: log10 probability of the document's words and its end; base_score: the
