@@ -109,13 +109,15 @@ class Rollup:
         return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, path: str) -> Rollup:
-        """A new store with one folder for all batches so far, without groups that are empty."""
+        """A new store with one folder for all batches so far, without groups that are empty.
+
+        Its commits are written last: until then the new store is empty, and compacting again writes it anew.
+        """
         self.totals().where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{path}/batch=compacted")
-        store = Rollup(self.spark, path)
-        store.spark.createDataFrame([("compacted",), *((b,) for b in self.batches())], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits")
         for batch in self.batches():  # their counts are in the compacted folder
             self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        return store
+        self.spark.createDataFrame([("compacted",), *((b,) for b in self.batches())], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits")
+        return Rollup(self.spark, path)
 
 
 def later_copies(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
@@ -131,17 +133,29 @@ def later_copies(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     return docs.withColumn("digest", digest).join(bounded_broadcast(copies, broadcast_rows), ["doc_id", "digest"], "left_semi").select(docs.columns)
 
 
+def tidied(text: Column) -> Column:
+    """Runs of white space become one space; none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
 def _maintained(spark: SparkSession, sf_dir: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All documents enter; later exact copies leave; both batches are sent twice, as after a failure."""
+    """All documents enter; later exact copies leave; texts with untidy white space, copies included, are revised before that.  Every batch is sent twice, as after a failure."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     store = Rollup(spark, shared_path(spark, "token-counts"))
-    for batch, rows in (("0001-load", changes(inserted=docs)), ("0002-copies", changes(deleted=later_copies(docs))), ("0001-load", changes(inserted=docs)), ("0002-copies", changes(deleted=later_copies(docs)))):
+    untidy = docs.where(tidied(F.col("text")) != F.col("text"))
+    tidy = docs.withColumn("text", tidied(F.col("text")))
+    batches = {
+        "0001-load": changes(inserted=docs),
+        "0002-tidied": changes(revised=(untidy, untidy.withColumn("text", tidied(F.col("text"))))),
+        "0003-copies": changes(deleted=later_copies(tidy)),
+    }
+    for batch, rows in [*batches.items(), *batches.items()]:
         store.commit(batch, count(rows))
     return store.totals()
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Totals by source, language and tokenizer version after a load and the removal of later copies."""
+    """Totals by source, language and tokenizer version after a load, revisions and the removal of later copies."""
     return _maintained(spark, sf_dir, built_in_counts)
 
 
@@ -151,8 +165,10 @@ def op3_token_counts_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-with f as (
-  select source, lang, text, row_number() over () as k, doc_id > min(doc_id) over (partition by coalesce(text, '')) as copy from documents
+with n as (
+  select doc_id, source, lang, trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')) as text from documents
+), f as (
+  select source, lang, text, row_number() over () as k, doc_id > min(doc_id) over (partition by coalesce(text, '')) as copy from n
 ), c as (
   select source, lang, copy, unnest([
     {{'tokenizer': 'words@1', 'tokens': coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint}},
