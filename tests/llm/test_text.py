@@ -9,7 +9,7 @@ import numpy as np
 from tests.llm import brute
 from tidewright.llm.mixing import mix_sources, source_targets
 from tidewright.llm.page_differencing import extract_pages, lines_of, main_text, shared_lines
-from tidewright.llm.spotsigs import edited_text, near_copies, pruned_jaccard, spot_fingerprints
+from tidewright.llm.spotsigs import COMMON, edited_text, near_copies, pruned_jaccard, spot_fingerprints
 from tidewright.llm.suffix_tree_lm import SHARDED_FROM, SHARDS, held_out, score_texts
 from tidewright.llm.token_counts import Rollup, bpe_counts, built_in_counts, changes
 from tidewright.llm.toxicity import build_index, score_toxicity
@@ -48,6 +48,26 @@ def test_bpe_counts_round_trip(spark, small):
     assert got == sum(map(len, parts)) and all(coder.decode(p) == r.text for p, r in zip(parts, docs.collect(), strict=True))
 
 
+def spots(text):
+    """Anchor and up to two content words, a word at a time."""
+    words = re.findall(brute.WORD, brute.lower(text))
+    content = [(i, w) for i, w in enumerate(words) if w not in COMMON]
+    out = {("", *[w for _, w in content][:2])} if words else set()
+    return out | {(a, *[w for j, w in content if j > i][:2]) for i, a in enumerate(words) if a in COMMON}
+
+
+def test_fingerprint_likeness_by_brute_force(spark, small):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60").collect())
+    rows += [(90, ""), (91, None), (92, "one"), (93, "the"), (94, "one of the two")]
+    got = {r.doc_id: r for r in spot_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    like = lambda a, b: float(a == b) if not a or not b else len(a & b) / len(a | b)
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1] or ""
+        assert math.isclose(got[i].near_edited, like(spots(text), spots(edited_text(text or "", after))))
+        assert math.isclose(got[i].near_next, like(spots(text), spots(after)))
+        assert len(got[i].fingerprint) == 8 * len(spots(text))
+
+
 def test_fingerprints(spark, small, edge_docs, no_docs):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())

@@ -1,10 +1,9 @@
 """Document fingerprints by SpotSigs.
 
-A signature is an anchor (a common word of the language) with the chain of the next
-two content words.  Runs of text without common words get anchors from a hash of
-the word and at the head of the text, and texts below 400 characters also get
-pieces of four characters (two below 32), so that every text has signatures.  A fingerprint holds the size of the set and its 64
-smallest hashes; likeness is the Jaccard estimate from those, exact below 64.
+A signature is an anchor with the chain of the next two content words, or of as many as
+the text still has.  Anchors are the common words of the language and the beginning of
+the text, so every text with words has signatures, whatever its length.  A fingerprint is
+the whole sorted set, and likeness is the exact Jaccard of two sets.
 
 ``near_copies`` joins documents: sets are partitioned by length so that a pair can
 only meet in equal or neighbouring partitions, prefixes of the sets make the
@@ -32,47 +31,39 @@ COMMON = """a an and are as at be but by for from had has have he her his in is
 this to was were which will with you der die das den dem des ein eine einen einer und oder ist sind war in im mit von zu
 auf für nicht es sich auch als an bei nach aus wie le la les un une des du de et ou est sont dans que qui sur pour pas par
 plus avec au aux ce il elle en ne se el los las una y o es son en que no con por para del al lo su como más pero sus""".split()
-SKETCH, SHORT = 64, 400
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def signatures(texts: list[str]) -> list[np.ndarray]:
     """The sorted set of 32-bit signature hashes of each text."""
     codes, at, vocabulary = B.word_codes(pa.chunked_array([pa.array(texts, pa.large_string())]), lower=True)
-    n = len(codes)
+    n, names = len(codes), B.word_hashes(vocabulary)
+    if not n:
+        return [np.empty(0, B.U64)] * len(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    names = B.word_hashes(vocabulary)
-    common = np.isin(names, B.word_hashes(pa.array(COMMON)))
-    h, is_common = names[codes] if n else names[:0], common[codes] if n else np.zeros(0, bool)
-    content = np.flatnonzero(~is_common)
-    head = np.arange(n) - at[row] < 8 if n else is_common
-    anchors = np.flatnonzero(is_common | head | (h % B.U64(4) == 0))
-    one = np.searchsorted(content, anchors, "right")
-    has = one + 1 < len(content)
-    anchors, one = anchors[has], one[has]
-    a, b = (content[one], content[one + 1]) if len(one) else (one, one)
-    same = row[b] == row[anchors] if len(one) else np.zeros(0, bool)
-    anchors, a, b = anchors[same], a[same], b[same]
-    spots = B.mix(h[anchors] * B.MULTIPLIERS[0] + h[a] * B.MULTIPLIERS[1] + h[b] * B.MULTIPLIERS[2]) >> B.U64(32)
-    ends = np.searchsorted(row[anchors], np.arange(len(texts) + 1))
-    out = []
-    for i, text in enumerate(texts):
-        own = spots[ends[i] : ends[i + 1]]
-        if len(text) < SHORT and text:
-            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(B.U64)
-            size = 4 if len(text) >= 32 else min(2, len(text))
-            own = np.concatenate([own, B.rolling(points * B.MULTIPLIERS[3], size)[0] >> B.U64(32)])
-        out.append(np.unique(own))
-    return out
+    h, common = names[codes], np.isin(names, B.word_hashes(pa.array(COMMON)))[codes]
+    content = np.append(np.flatnonzero(~common), [n, n])
+    starts = at[:-1][np.diff(at) > 0]
+    anchors = np.concatenate([np.flatnonzero(common), starts])
+    anchor = np.concatenate([h[common], np.zeros(len(starts), B.U64)])
+    own = row[anchors]
+    after = np.searchsorted(content, np.concatenate([np.flatnonzero(common) + 1, starts]))
+    chain = anchor * B.MULTIPLIERS[0]
+    for k, place in enumerate((content[after], content[after + 1])):
+        inside = place < at[own + 1]
+        chain += np.where(inside, h[np.minimum(place, n - 1)], B.U64(k)) * B.MULTIPLIERS[k + 1]
+    spots = B.mix(chain) >> B.U64(32)
+    order = np.argsort(own, kind="stable")
+    return [np.unique(x) for x in np.split(spots[order], np.searchsorted(own[order], np.arange(1, len(texts))))]
 
 
 def fingerprint(signature: np.ndarray) -> str:
-    """Length of the set, then its smallest hashes, as hexadecimal digits."""
-    return f"{len(signature):08x}" + signature[:SKETCH].astype(">u4").tobytes().hex()
+    """The set in order, eight hexadecimal digits each."""
+    return signature.astype(">u4").tobytes().hex()
 
 
 def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard from two sorted sets by their smallest hashes; 0 if their lengths rule ``threshold`` out.
+    """Jaccard of two sorted sets; 0 if their lengths rule ``threshold`` out, without a comparison.
 
     Two empty sets are alike (1.0).
     """
@@ -80,9 +71,8 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> floa
         return float(len(a) == len(b))
     if min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return 0.0
-    union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
-    both = np.isin(union, a[:SKETCH], assume_unique=True) & np.isin(union, b[:SKETCH], assume_unique=True)
-    return float(both.sum() / len(union))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def edited_text(text: str, following: str) -> str:
