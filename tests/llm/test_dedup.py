@@ -1,7 +1,9 @@
+import random
 from collections import Counter
 
 from tests.llm import brute
 from tidewright.llm import blocks as B
+from tidewright.llm import minhash
 from tidewright.llm.components import components
 from tidewright.llm.minhash import bands_for, least_matches, near_duplicates
 from tidewright.llm.substring_dedup import substring_dedup
@@ -68,6 +70,23 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert {c for _, c, _ in got.values()} == {0}
 
 
+def test_band_values_of_many_chunks(spark, monkeypatch):
+    """Chunks of three members: every pair across components still meets."""
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    r, rows = random.Random(5), []
+    for group in range(4):
+        words = [f"g{group}w{i}" for i in range(80)]
+        for copy in range(14):
+            own = list(words)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(80)] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, percent in ((3, 85), (5, 80)):
+        got = {x.doc_id: tuple(x)[1:] for x in near_duplicates(docs, size=size, percent=percent).collect()}
+        assert got == brute.near_duplicates(rows, size, percent)
+
+
 def test_bands_and_posterior():
     assert (1 - 0.8**3) ** bands_for(0.8, 3, 1e-6) <= 1e-6
     assert least_matches(45, 0.85, 1e-8) < 30 and least_matches(1000, 0.85, 1e-8) > 750

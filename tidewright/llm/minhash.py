@@ -158,16 +158,21 @@ def _sweep(members: DataFrame, rule: list[tuple[int, int]], percent: int) -> Dat
     """Links ``a, b`` that join components of ``(key, set_id, label, n, signature, shingles)``.
 
     Members of a band value meet in chunks of bounded size, each pair of chunks in
-    a task of its own.  Pairs of one component, or of two that the task has joined,
-    are passed over; signatures go by the sequential rule, survivors by their full
-    sets, one member against all at once.  Only links that join are returned, fewer
-    than members.
+    a task of its own.  Members of its largest component (part 0) don't meet each
+    other, only the rest (part 1): they are copied once for each chunk of the rest.
+    Pairs of one component, or of two that the task has joined, are passed over;
+    signatures go by the sequential rule, survivors by their full sets, one member
+    against all at once.  Only links that join are returned, fewer than members.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("total") / CHUNK_SHINGLES)).cast("int")
-    placed = members.drop("n").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("set_id"), chunks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "label", "signature", "shingles")
+    per = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    sizes = per.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.sum("m").alias("all_m"), F.sum("total").alias("all_total"), F.max_by("m", F.struct("m", "label")).alias("m0"), F.max_by("total", F.struct("m", "label")).alias("total0"))
+    chunks = lambda m, total: F.greatest(F.lit(1), F.ceil(F.greatest(m / CHUNK, total / CHUNK_SHINGLES))).cast("int")
+    sizes = sizes.select("key", "major", chunks(F.col("m0"), F.col("total0")).alias("c0"), chunks(F.col("all_m") - F.col("m0"), F.col("all_total") - F.col("total0")).alias("c1"))
+    placed = members.drop("n").join(sizes, "key").withColumn("major", F.col("label") == F.col("major"))
+    placed = placed.withColumn("at", F.when(F.col("major"), F.pmod(F.xxhash64("set_id"), F.col("c0"))).otherwise(F.pmod(F.xxhash64("set_id"), F.col("c1")) + F.col("c0")).cast("int"))
+    rest = F.sequence(F.col("c0"), F.col("c0") + F.col("c1") - 1)
+    placed = placed.withColumn("other", F.explode(F.when(F.col("major"), rest).otherwise(F.concat(F.sequence(F.lit(0), F.col("c0") - 1), rest))))
+    placed = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.col("at").alias("own"), "set_id", "label", "signature", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, own = table["set_id"].to_pylist(), table["own"].to_numpy()
