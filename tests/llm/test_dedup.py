@@ -99,15 +99,15 @@ def test_components_of_a_long_path(spark):
 
 
 def test_common_grams_with_different_surroundings(spark):
-    """More blocks than HOT share a phrase below the window, and some share more: hot names are split, nothing is lost."""
+    """More blocks than ``hot_blocks`` share a phrase below the window, and some share more: hot names are split, nothing is lost."""
     phrase = "a phrase of words that is on every page of it"
     rows = [(i, f"{i * 7919 % 1009:04} {i * 31:06} " * 3 + phrase + f" {i % 40:03} of the {i % 40} pages with some more words after " * 2) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_bytes=400).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup(docs, block_bytes=400, hot_blocks=8).collect()}
     assert got == brute.suffix_dedup(rows)
     words = [(i, " ".join([f"x{i}y{j}" for j in range(30)] + [f"w{j}" for j in range(20)] + [f"z{i % 40}y{j}" for j in range(30)])) for i in range(200)]
     docs = spark.createDataFrame(words, "doc_id long, text string")
-    assert Counter(tuple(r)[:4] for r in substring_dedup(docs, block_bytes=900).collect()) == Counter(brute.substring_dedup(words))
+    assert Counter(tuple(r)[:4] for r in substring_dedup(docs, block_bytes=900, hot_blocks=8).collect()) == Counter(brute.substring_dedup(words))
 
 
 def test_one_far_id_and_many_null_ids(spark):

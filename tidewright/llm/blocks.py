@@ -36,8 +36,8 @@ NULL_ID = -(2**63)
 EXCHANGE = "bucket int, block long, kind int, payload binary"
 
 
-#: Names that so many blocks hold are hot.
-HOT = 64
+#: Names that so many blocks hold are hot; a name below that brings a bucket some megabytes at most.
+HOT = 4096
 
 
 @dataclass
@@ -228,15 +228,15 @@ def gram_rows(block: int, names: np.ndarray, n_buckets: int) -> pa.Table:
     return rows(EXCHANGE, bucket=full, block=[block] * len(full), kind=[0] * len(full), payload=[pack48(names[at[b] : at[b + 1]]) for b in full])
 
 
-def names_in_blocks(table: pa.Table) -> pa.Table:
-    """For each block's row of a bucket two bits for each name: does another block have it; do HOT blocks have it.
+def names_in_blocks(table: pa.Table, hot: int) -> pa.Table:
+    """For each block's row of a bucket two bits for each name: does another block have it; do ``hot`` blocks have it.
 
     A hot name is only the place where a stretch is cut: blocks send its windows one by
     one under names of their own, so that no bucket gathers all that surrounds it.
     """
     parts = [unpack48(x) for x in table["payload"].to_pylist()]
     _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    bits, at, out = np.stack([counts[inverse] > 1, counts[inverse] >= HOT], axis=1), 0, []
+    bits, at, out = np.stack([counts[inverse] > 1, counts[inverse] >= hot], axis=1), 0, []
     for p in parts:
         out.append(np.packbits(bits[at : at + len(p)].ravel()).tobytes())
         at += len(p)
@@ -267,7 +267,7 @@ def split_hot(name: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray,
     return (*(np.concatenate([x[~hot], y]) for x, y in ((name, own), (lo, at), (hi, at), (pos, pos[hot][which]))),)
 
 
-def exchange(docs_by_block: DataFrame, first, second, repeated, last, out_schema: str) -> DataFrame:
+def exchange(docs_by_block: DataFrame, first, second, repeated, last, out_schema: str, hot: int) -> DataFrame:
     """The two rounds: grams to buckets and back, stretches to buckets and back, result.
 
     ``first(block)``, ``second(block, answers)`` and ``last(block, answers)`` see the
@@ -275,7 +275,7 @@ def exchange(docs_by_block: DataFrame, first, second, repeated, last, out_schema
     """
     by_block = docs_by_block.groupBy("block")
     grams = by_block.applyInArrow(first, EXCHANGE)
-    known = grams.groupBy("bucket").applyInArrow(names_in_blocks, EXCHANGE)
+    known = grams.groupBy("bucket").applyInArrow(lambda table: names_in_blocks(table, hot), EXCHANGE)
     stretches = by_block.cogroup(known.groupBy("block")).applyInArrow(second, EXCHANGE)
     found = stretches.groupBy("bucket").applyInArrow(repeated, EXCHANGE)
     return by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(last, out_schema)

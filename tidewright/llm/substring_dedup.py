@@ -141,7 +141,7 @@ def _cut(block: _Block, answers: pa.Table, window: int, schema: str) -> pa.Table
     return B.rows(schema, **out)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, block_bytes: int = 600_000, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, block_bytes: int = 600_000, texts: bool = True, hot_blocks: int = B.HOT) -> DataFrame:
     """Remove every word covered by a ``window``-word passage that also starts anywhere else.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept``
@@ -169,7 +169,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block.stretches(right, n)
         return _cut(block, right, window, schema)
 
-    return B.exchange(dealt.rows, first, second, _confirm, last, schema)
+    return B.exchange(dealt.rows, first, second, _confirm, last, schema, hot_blocks)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -188,7 +188,7 @@ def _cut(block: _Block, answers: pa.Table, window: int, n_buckets: int, schema:
     return B.rows(schema, **out)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24, block_bytes: int = 600_000, batch_windows: int = 250_000, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 24, block_bytes: int = 600_000, batch_windows: int = 250_000, texts: bool = True, hot_blocks: int = B.HOT) -> DataFrame:
     """Remove every byte covered by a ``window``-byte string that starts in a smaller document too.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``,
@@ -222,7 +222,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         block.stretches(right, n)
         return _cut(block, right, window, n, schema)
 
-    return B.exchange(dealt.rows, first, second, repeated, last, schema)
+    return B.exchange(dealt.rows, first, second, repeated, last, schema, hot_blocks)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
