@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -62,15 +63,17 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
 def newest_file_wins(rows: DataFrame, order: Sequence[str] = ("mtime", "_source_file"), valid: Column | None = None) -> DataFrame:
     """Of each key only rows of the newest valid file that has it; a file's own duplicates stay.
 
-    The newest file of a key is a maximum taken before the shuffle, so a hot key
-    sends one row per task; ties in time go to the later path.  Rows without a hash
-    all stay.
+    The newest file of a key is a maximum taken before the shuffle, one row per task
+    for a hot key; the rows themselves meet it in an inner join, whose skewed
+    partitions adaptive execution splits.  Ties in time go to the later path.  Rows
+    without a hash all stay and are not shuffled.
     """
     rows = rows if valid is None else rows.where(valid)
     rank = F.struct(*order)
-    newest = rows.where(F.col(HASH).isNotNull()).groupBy(HASH).agg(F.max(rank).alias("_newest"))
-    kept = rows.join(newest, HASH, "left").where(F.col("_newest").isNull() | (rank == F.col("_newest")))
-    return kept.select(rows.columns)
+    keyed = rows.where(F.col(HASH).isNotNull())
+    newest = keyed.groupBy(HASH).agg(F.max(rank).alias("_newest"))
+    kept = keyed.join(newest, HASH).where(rank == F.col("_newest")).select(rows.columns)
+    return kept.unionByName(rows.where(F.col(HASH).isNull()))
 
 
 def route(inventory: DataFrame) -> DataFrame:
@@ -81,37 +84,56 @@ def route(inventory: DataFrame) -> DataFrame:
 class VersionedTable:
     """A Parquet table as numbered versions with a pointer, for stores without MERGE.
 
-    A load writes a new version folder and then the pointer; readers never see a
-    half-written version and nothing is overwritten while it is read.  A job that
-    dies before the pointer leaves the old version in force.
+    A version is a list of folders.  An append writes one folder and a pointer to it and
+    the former ones; replace and upsert write one that stands alone.  Folders have names
+    of their own and the pointer is written last: readers never see a half-written
+    version, nothing is overwritten while it is read, and a job that dies before the
+    pointer leaves the old version in force.  One writer at a time.
     """
 
+    POINTER = "version long, parts array<string>, batch string"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def version(self) -> int:
+    def _pointers(self) -> DataFrame | None:
         try:
-            found = self.spark.read.schema("version long").parquet(f"{self.path}/pointer").agg(F.max("version")).first()[0]
+            return self.spark.read.schema(self.POINTER).parquet(f"{self.path}/pointer")
         except AnalysisException:
-            found = None
-        return -1 if found is None else found
+            return None
+
+    def _now(self) -> tuple[int, list[str]]:
+        pointers = self._pointers()
+        found = None if pointers is None else pointers.agg(F.max("version"), F.max_by("parts", "version")).first()
+        return (-1, []) if found is None or found[0] is None else (found[0], found[1])
+
+    def version(self) -> int:
+        return self._now()[0]
+
+    def committed(self, batch: str) -> bool:
+        """Whether a load under this name is in the table."""
+        pointers = self._pointers()
+        return pointers is not None and pointers.where(F.col("batch") == batch).limit(1).count() > 0
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v < 0 else self.spark.read.parquet(f"{self.path}/v={v}")
+        v, parts = self._now()
+        return None if v < 0 else self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{p}" for p in parts])
 
-    def _commit(self, df: DataFrame) -> int:
+    def _commit(self, df: DataFrame, before: Sequence[str] = (), batch: str | None = None) -> int:
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        self.spark.range(v, v + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        part = f"v{v}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{part}")
+        self.spark.createDataFrame([(v, [*before, part], batch)], self.POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return v
 
     def replace(self, df: DataFrame) -> int:
         return self._commit(df)
 
-    def append(self, df: DataFrame) -> int:
-        old = self.read()
-        return self._commit(df if old is None else append(old, df))
+    def append(self, df: DataFrame, batch: str | None = None) -> int:
+        """Only the new rows are written; a ``batch`` that is in the table is not written again."""
+        if batch is not None and self.committed(batch):
+            return self.version()
+        return self._commit(df, self._now()[1], batch)
 
     def upsert(self, df: DataFrame, force_recreate: bool = False) -> int:
         old = None if force_recreate else self.read()

@@ -30,8 +30,7 @@ def auto_ingest(spark: SparkSession, folder: str, spec: FileTypeSpec, table: Ver
     """Load the folder's new CSV files once and stop; a second run finds nothing new.
 
     The checkpoint remembers files.  A batch that is replayed after a failure upserts
-    the same rows again; an append skips files that the table already has from the
-    same batch.  A column that a file lacks fails the stream.
+    the same rows again; an append skips a batch that the table's pointer names.  A column that a file lacks fails the stream.
     """
     reader = spark.readStream.option("header", True).option("escape", '"').option("enforceSchema", False).schema(", ".join(f"`{c}` string" for c in spec.targets))
     if archive:
@@ -43,9 +42,9 @@ def auto_ingest(spark: SparkSession, folder: str, spec: FileTypeSpec, table: Ver
             return
         at = F.coalesce(F.lit(loaded_at).cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz"))
         typed = intake(batch.withColumn("_loaded_at", at).withColumn("_created_at", at), spec, str(number))
-        old = table.read()
-        if spec.strategy != "upsert" and old is not None:
-            typed = typed.join(old.select("_source_file", "_batch_id").distinct(), ["_source_file", "_batch_id"], "left_anti").select(typed.columns)
-        table.load(typed, "upsert" if spec.strategy == "upsert" else "append", spec.keys)
+        if spec.strategy == "upsert":
+            table.load(typed, "upsert", spec.keys)
+        else:
+            table.append(typed, f"{checkpoint}#{number}")
 
     rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
