@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.operators.folder import load_declared, load_files
 from tidewright.operators.load import VersionedTable
 from tidewright.operators.names import detect_file_type, missing_extra_columns
 from tidewright.plans.spec import FileTypeSpec, spec_rows
@@ -95,3 +96,60 @@ def test_stream_takes_each_file_once_and_the_newest_wins(spark, tmp_path):
     (d / "c.csv").write_text("id,v\n1,c\n")
     run()
     assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, "c"), (2, "b"), (3, "b")]
+
+
+def test_a_folder_is_loaded_and_bad_files_are_reported(spark, folder):
+    (folder / "empty.csv").write_text("")
+    (folder / "broken.xlsx").write_bytes(b"no workbook")
+    (folder / "old.xls").write_bytes(b"x")
+    (folder / "header only.csv").write_text("id,name,amount\n")
+    (folder / "lacking.csv").write_text("ID,Name\n1,x\n")
+    (folder / "twice.csv").write_text("id, ID ,name,amount\n1,1,x,1\n")
+    (folder / "bad [1] ไทย.csv").write_text("id,name,amount\nx,b,c\n")
+    (folder / "spelled.csv").write_text("Amount , extra,NAME,Id\n7,z,s,11\n")
+    spec = FileTypeSpec("sales", {"id": "id", "name": "name", "amount": "amount"}, {"id": "INT", "amount": "FLOAT"}, strategy="upsert", keys=("id",))
+    table = VersionedTable(spark, f"file://{folder.parent}/table")
+    run = lambda batch: load_files(spark, f"file://{folder}", [spec], {"sales": table}, batch, multi_line=True)
+    report = {r.filename: (r.status, r.problem, r["rows"]) for r in run("one").collect()}
+    bad = {
+        "empty.csv": "empty", "broken.xlsx": "undetected", "old.xls": "unsupported", "header only.csv": "no_rows", "lacking.csv": "missing_column:amount",
+        "twice.csv": "duplicate_column:id", "sales_cp874.csv": "undetected",
+    }
+    assert {k: v[1] for k, v in report.items() if k in bad} == bad
+    assert report.pop("bad [1] ไทย.csv") == ("failed", "validation", 1)
+    assert {k: v[2] for k, v in report.items() if v[0] == "success"} == {"sales_utf8.csv": 2, "sales_bom.csv": 1, "sales_header_row2.csv": 1, "UPPER.CSV": 1, "book.xlsx": 2, "spelled.csv": 1}
+    want = [(1, 'say "hi"', None), (2, "b", 3.0), (3, "c", 9.0), (4, "d", 5.0), (5, "e", 6.0), (8, None, 15.0), (9, "z", 2.0), (11, "s", 7.0)]
+    assert sorted((r.id, r["name"], r.amount) for r in table.read().collect()) == want
+    version = table.version()
+    run("one")
+    assert table.version() == version  # sent again
+
+
+def test_a_table_with_other_columns_starts_anew_and_one_of_a_family_is_cast(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    old = FileTypeSpec("t", {"a": "a"}, {"a": "INT"}, strategy="append")
+    wider = FileTypeSpec("t", {"a": "a"}, {"a": "FLOAT"}, strategy="append")
+    other = FileTypeSpec("t", {"a": "a", "b": "b"}, {"a": "FLOAT"}, strategy="upsert", keys=("a",))
+    load_declared(table, spark.createDataFrame([(1,)], "a int"), old, "1")
+    load_declared(table, spark.createDataFrame([(2.5,)], "a double"), wider, "2")
+    load_declared(table, spark.createDataFrame([(2.5,)], "a double"), wider, "2")
+    assert sorted(r.a for r in table.read().collect()) == [1.0, 2.5]
+    load_declared(table, spark.createDataFrame([(3.0, "x", b"k")], "a double, b string, _upsert_hash binary"), other, "3")
+    assert [(r.a, r.b) for r in table.read().collect()] == [(3.0, "x")]
+    load_declared(table, spark.createDataFrame([(4.0, "y", b"l")], "a double, b string, _upsert_hash binary"), other, "4", force_recreate=True)
+    assert [(r.a, r.b) for r in table.read().collect()] == [(4.0, "y")]
+
+
+def test_the_stream_skips_files_with_other_headers(spark, tmp_path):
+    d = tmp_path / "drop"
+    d.mkdir()
+    spec = FileTypeSpec("t", {"Id": "id", "V": "v"}, {"id": "INT"}, strategy="append")
+    table = VersionedTable(spark, f"file://{tmp_path}/table")
+    (d / "a.csv").write_text("ID,v\n1,a\n")
+    (d / "lacking.csv").write_text("id\n2\n")
+    (d / "other.csv").write_text("x,y\n2,b\n")
+    (d / "thai.csv").write_bytes("V,id\nไทย,3\n".encode("cp874"))
+    auto_ingest(spark, f"file://{d}", spec, table, f"file://{tmp_path}/checkpoint", report=f"file://{tmp_path}/report")
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, "a"), (3, "ไทย")]
+    report = {r.filename: r.problem for r in spark.read.parquet(f"file://{tmp_path}/report").collect()}
+    assert report == {"a.csv": None, "thai.csv": None, "lacking.csv": "missing_column:v", "other.csv": "undetected"}

@@ -126,8 +126,8 @@ class VersionedTable:
         self.spark.createDataFrame([(v, [*before, part], batch)], self.POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return v
 
-    def replace(self, df: DataFrame) -> int:
-        return self._commit(df)
+    def replace(self, df: DataFrame, batch: str | None = None) -> int:
+        return self._commit(df, batch=batch)
 
     def append(self, df: DataFrame, batch: str | None = None) -> int:
         """Only the new rows are written; a ``batch`` that is in the table is not written again."""

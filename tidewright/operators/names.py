@@ -60,6 +60,17 @@ def rename_by_mapping(df: DataFrame, spec: FileTypeSpec) -> DataFrame:
     return df.withColumnsRenamed(rename_plan(df.columns, spec))
 
 
+def target_names(columns: Sequence[str], spec: FileTypeSpec) -> list[str | None]:
+    """The target of each column, None for one that the spec doesn't know.
+
+    Names are matched with sources or, if targets match more columns, with targets.
+    """
+    keys, values = {normalized(k): v for k, v in spec.columns.items()}, {normalized(v): v for v in spec.columns.values()}
+    own = {normalized(c) for c in columns}
+    known = keys if len(own & keys.keys()) >= len(own & values.keys()) else values
+    return [known.get(normalized(c)) for c in columns]
+
+
 def threshold(n: Column) -> Column:
     """The share of names a file type must match, by its number of columns."""
     return F.when(n >= 50, F.greatest(F.lit(0.1), 5 / n)).when(n >= 20, F.greatest(F.lit(0.2), 5 / n)).otherwise(F.lit(0.3))

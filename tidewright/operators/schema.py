@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.clean import INTEGER_PATTERN, NUMBER_PATTERN
 from ..functions.convert import to_date
 from ..plans.spec import FileTypeSpec
+from ..sources.files import source_file
 from .load import HASH, key_hash
 
 #: Families of types: within one a column is altered, across two the table is recreated (fixed values).
@@ -86,5 +87,5 @@ def add_lineage(df: DataFrame, batch_id: str, loaded_at: str, source_file: str |
     Without ``source_file`` it is the file that a row was read from.
     """
     at = F.lit(loaded_at).cast("timestamp_ntz")
-    file = F.col("_metadata.file_name") if source_file is None else F.regexp_extract(F.lit(source_file), r"([^/\\]*)$", 1)
+    file = source_file() if source_file is None else F.regexp_extract(F.lit(source_file), r"([^/\\]*)$", 1)
     return df.select("*", at.alias("_loaded_at"), at.alias("_created_at"), file.alias("_source_file"), F.lit(batch_id).alias("_batch_id"), (key_hash(keys) if keys else F.lit(None).cast("binary")).alias(HASH))

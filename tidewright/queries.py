@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean, convert
-from .operators import load, mapping, names, report, schema, steps, validate
+from .operators import folder, load, mapping, names, report, schema, steps, validate
 from .plans.paths import shared_path
 from .plans.spec import FileTypeSpec, spec_rows
+from .sources.files import cp874_pairs
 from .streaming.ingest import auto_ingest
 
 TEXT = "cast({} as string)"
@@ -425,6 +426,55 @@ def auto_ingest_orders(spark, sf_dir):
     return newest.select(F.col("origin").alias("_source_file"), F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
 
 
+#: Thai words for the order states of the folder's Thai file.
+_THAI = {"F": "เสร็จ", "O": "เปิด", "P": "บางส่วน"}
+_DROP = FileTypeSpec("orders", {"Order Key": "o_orderkey", "Status": "status", "Total": "total"}, {"o_orderkey": "INT", "total": "FLOAT"}, strategy="upsert", keys=("o_orderkey",))
+
+
+def _folder_load(spark, sf_dir):
+    """Orders as files of six kinds, loaded in two batches: the table and the report.
+
+    First plain files; then files with another spelling of the header, Thai ones, ones
+    without a column, ones with bad totals, and revisions of rows of the first load.
+    """
+    base = shared_path(spark, "folder")
+    kind = F.col("o_orderkey") % 5
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_orderstatus").alias("Status"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("Total"), kind.alias("kind"))
+    own = lambda k: rows.where(F.col("kind") == k).drop("kind")
+    thai = F.create_map(*[F.lit(x) for pair in _THAI.items() for x in pair])[F.col("Status")]
+    single, wide = cp874_pairs()
+    files = {
+        "plain": own(0),
+        "spelled": own(1).toDF("ORDER  KEY", "status", "TOTAL"),
+        "thai": own(2).withColumn("Status", F.translate(thai, wide, single)),
+        "lacking": own(3).drop("Total"),
+        "bad": own(4).withColumn("Total", F.lit("abc")),
+        "revised": own(0).where(F.col("Order Key") % 10 == 0).withColumn("Status", F.lit("revised")),
+    }
+    for name, df in files.items():
+        df.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/{name}")
+    target = load.VersionedTable(spark, f"{base}/table")
+    run = lambda names, batch: folder.load_files(spark, [f"{base}/{n}" for n in names], [_DROP], {"orders": target}, batch, "2024-01-01 00:00:00")
+    return target, run(["plain"], "1").unionByName(run([n for n in files if n != "plain"], "2"))
+
+
+_STATUS = f"case when o_orderkey % 10 = 0 then 'revised' when o_orderkey % 5 = 2 then case o_orderstatus {' '.join(f'when {k!r} then {v!r}' for k, v in _THAI.items())} end else o_orderstatus end"
+
+
+@query(f"select cast(o_orderkey as int) as o_orderkey, {_STATUS} as status, cast(cast(o_totalprice as decimal(18,2)) as double) as total, case when o_orderkey % 5 = 0 and o_orderkey % 10 <> 0 then '1' else '2' end as batch from orders where o_orderkey % 5 < 3")
+def load_folder(spark, sf_dir):
+    """From folders of files to the table; files that can't be loaded are left out."""
+    target, _ = _folder_load(spark, sf_dir)
+    return target.read().select("o_orderkey", "status", "total", F.col("_batch_id").alias("batch"))
+
+
+@query("""select status, problem, sum(n)::bigint as rows from (
+  select case when o_orderkey % 5 < 3 then 'success' else 'failed' end as status, case o_orderkey % 5 when 3 then 'missing_column:total' when 4 then 'validation' end as problem, case when o_orderkey % 5 = 3 then 0 when o_orderkey % 10 = 0 then 2 else 1 end as n from orders) group by 1, 2""")
+def load_folder_report(spark, sf_dir):
+    """Rows of the loaded and the failed files; a file that lacks a column isn't read."""
+    return _folder_load(spark, sf_dir)[1].groupBy("status", "problem").agg(F.sum("rows").alias("rows"))
+
+
 # -- schema, names, detection ------------------------------------------------------
 
 

@@ -6,12 +6,12 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".xlsx", ".xls", ".csv")
@@ -23,13 +23,23 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def discover_files(spark: SparkSession, folder: str) -> DataFrame:
+def discover_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
     """``path, filename, extension, size_bytes, mtime`` of the folder's tables; contents aren't read.  Not recursive."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "modificationTime", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder if isinstance(folder, str) else list(folder)).select("path", "modificationTime", "length")
     extension = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
     return found.where(extension.isin(*EXTENSIONS)).select("path", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("filename"), extension.alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
 
 
+def literal_path(path: str) -> str:
+    """One file's path for a reader that takes patterns: their marks stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def source_file() -> Column:
+    """Base name of the file that a row was read from; Spark's own column has it encoded as in a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def decode(content: bytes) -> tuple[str, str]:
     """The text and the first encoding that reads it; a byte-order mark goes."""
     for e in ENCODINGS:
@@ -75,7 +85,10 @@ def workbook_rows(content: bytes, most: int | None = None) -> Iterator[list[str]
 
 
 def peek_headers(spark: SparkSession, paths: Sequence[str] | str, rows: int = 2) -> DataFrame:
-    """``path, encoding, header_row, position, cell`` of the first rows of each file, read without a header."""
+    """``path, encoding, header_row, position, cell`` of the first rows of each file, read without a header.
+
+    A workbook that can't be opened has no cells.
+    """
 
     def peek(batches):
         for batch in batches:
@@ -86,7 +99,11 @@ def peek_headers(spark: SparkSession, paths: Sequence[str] | str, rows: int = 2)
                     text, encoding = decode(content)
                     first = [r for _, r in zip(range(rows), csv.reader(io.StringIO(text)), strict=False)]
                 else:
-                    encoding, first = None, list(workbook_rows(content, rows))
+                    encoding = None
+                    try:
+                        first = list(workbook_rows(content, rows))
+                    except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError):
+                        first = []
                 out += [(path, encoding, i, j, cell) for i, row in enumerate(first) for j, cell in enumerate(row)]
             yield pd.DataFrame(out, columns=["path", "encoding", "header_row", "position", "cell"])
 
@@ -94,12 +111,17 @@ def peek_headers(spark: SparkSession, paths: Sequence[str] | str, rows: int = 2)
     return files.where(F.lower("path").rlike(r"\.(csv|xlsx)$")).mapInPandas(peek, "path string, encoding string, header_row int, position int, cell string")
 
 
+def headers_of(heads: DataFrame) -> DataFrame:
+    """``path, header_row, encoding, header``: the cells of each peeked row in order, as distinct names are made of them."""
+    return heads.groupBy("path", "header_row", "encoding").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "cell"))), lambda x: x["cell"]).alias("header"))
+
+
 def nulls(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Cells that mean no value become NULL."""
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) if t == "string" and not c.startswith("_") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def _cp874() -> tuple[str, str]:
+def cp874_pairs() -> tuple[str, str]:
     """Characters of bytes 0x80-0xFF in latin1, and what the Thai code page makes of them."""
     pairs = []
     for b in range(0x80, 0x100):
@@ -110,32 +132,34 @@ def _cp874() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def read_csv_strings(spark: SparkSession, paths: Sequence[str], multi_line: bool = False, na_tokens: Sequence[str] = NA_TOKENS, skip_rows: int = 0) -> DataFrame:
+def read_csv_strings(spark: SparkSession, paths: Sequence[str], multi_line: bool = False, na_tokens: Sequence[str] = NA_TOKENS, skip_rows: int = 0, rename: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
     """All rows of all files as text with ``_source_file``.
 
     Files are read in groups of one header and encoding, since one read takes the
     first file's header for all; groups are joined by name.  Thai files are read as
     single bytes, which split and stay line by line, and translated.  A file without
     a header is an error.  ``skip_rows``: rows above the header; a file that has them
-    is read whole by one task, since Spark's reader can't leave them out.
+    is read whole by one task, since Spark's reader can't leave them out.  ``rename``
+    names a file's columns before files are joined; columns without a name are not read.
     """
-    heads = peek_headers(spark, paths, skip_rows + 1).where(F.col("header_row") == skip_rows).groupBy("path", "encoding").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "cell"))), lambda x: x["cell"]).alias("header"))
+    heads = headers_of(peek_headers(spark, paths, skip_rows + 1).where(F.col("header_row") == skip_rows))
     groups: dict[tuple, list[str]] = {}
     for r in heads.collect():  # one row per file
-        groups.setdefault((tuple(r["header"]), r["encoding"]), []).append(r["path"])
+        groups.setdefault((tuple(r["header"]), r["encoding"]), []).append(literal_path(r["path"]))
     if not groups:
         raise ValueError("no file has a header")
     parts = []
     for (header, encoding), own in sorted(groups.items(), key=lambda g: g[1]):
-        names = _distinct(header)
+        columns = _distinct(header)
+        names = rename(columns) if rename else columns
         if skip_rows:
             parts.append(_named(spark.read.format("binaryFile").load(sorted(own)).select("path", "content").mapInPandas(_after(skip_rows + 1), "path string, cells array<string>"), names))
             continue
         reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True)
         reader = reader.option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
         df = reader.schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(sorted(own))
-        cells = [F.translate(F.col(f"c{i}"), *_cp874()) if encoding == "cp874" else F.col(f"c{i}") for i in range(len(names))]
-        parts.append(df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)], F.col("_metadata.file_name").alias("_source_file")))
+        cells = [F.translate(F.col(f"c{i}"), *cp874_pairs()) if encoding == "cp874" else F.col(f"c{i}") for i in range(len(names))]
+        parts.append(df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True) if n is not None], source_file().alias("_source_file")))
     return nulls(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), na_tokens)
 
 
@@ -157,9 +181,9 @@ def _after(rows: int):
     return read
 
 
-def _named(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+def _named(rows: DataFrame, names: Sequence[str | None]) -> DataFrame:
     """``path, cells`` as columns with ``_source_file``."""
-    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], F.regexp_extract("path", r"([^/\\]*)$", 1).alias("_source_file"))
+    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names) if n is not None], F.regexp_extract("path", r"([^/\\]*)$", 1).alias("_source_file"))
 
 
 def _distinct(header: Sequence[str]) -> list[str]:
@@ -175,10 +199,10 @@ def _distinct(header: Sequence[str]) -> list[str]:
     return out
 
 
-def read_excel_strings(spark: SparkSession, paths: Sequence[str], na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+def read_excel_strings(spark: SparkSession, paths: Sequence[str], na_tokens: Sequence[str] = NA_TOKENS, skip_rows: int = 0, rename: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
     """All rows of the first sheets as text with ``_source_file``; one task reads a workbook.
 
-    Workbooks with one header make a group, as for CSV.
+    Workbooks with one header make a group, and ``skip_rows`` and ``rename`` act, as for CSV.
     """
 
     def read(batches):
@@ -186,21 +210,22 @@ def read_excel_strings(spark: SparkSession, paths: Sequence[str], na_tokens: Seq
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
                 for i, row in enumerate(workbook_rows(bytes(content))):
-                    if i:
+                    if i > skip_rows:
                         rows.append((path, row))
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["path", "cells"])
                         rows = []
                 yield pd.DataFrame(rows, columns=["path", "cells"])
 
-    heads = peek_headers(spark, paths, 1).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "cell"))), lambda x: x["cell"]).alias("header"))
+    heads = headers_of(peek_headers(spark, paths, skip_rows + 1).where(F.col("header_row") == skip_rows))
     groups: dict[tuple, list[str]] = {}
     for r in heads.collect():  # one row per workbook
-        groups.setdefault(tuple(r["header"]), []).append(r["path"])
+        groups.setdefault(tuple(r["header"]), []).append(literal_path(r["path"]))
     if not groups:
         raise ValueError("no workbook has a header")
     parts = []
     for header, own in groups.items():
         rows = spark.read.format("binaryFile").load(own).select("path", "content").mapInPandas(read, "path string, cells array<string>")
-        parts.append(_named(rows, _distinct(header)))
+        columns = _distinct(header)
+        parts.append(_named(rows, rename(columns) if rename else columns))
     return nulls(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), na_tokens)

@@ -3,48 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.convert import typed_select
-from ..operators.load import HASH, VersionedTable, key_hash, newest_file_wins
-from ..operators.validate import checks_for, gate, issues
+from ..operators.folder import load_files
+from ..operators.load import VersionedTable
 from ..plans.spec import FileTypeSpec
+from ..sources.files import literal_path
 
 
-def intake(batch: DataFrame, spec: FileTypeSpec, batch_id: str) -> DataFrame:
-    """One batch of staged text to typed rows: files that fail the gate stay out, newer files win.
+def auto_ingest(spark: SparkSession, folder: str, spec: FileTypeSpec, table: VersionedTable, checkpoint: str, archive: str | None = None, loaded_at: str | None = None, report: str | None = None) -> None:
+    """Load the folder's new files once and stop; a second run finds nothing new.
 
-    Files are validated in one aggregation by file.
+    The stream carries file names only; the files of a batch are detected, renamed,
+    validated and loaded together.  Files that fail are left out and don't stop the
+    others: their rows in ``report`` (a folder; see ``load_files``) say why.  The
+    checkpoint remembers files, and the table's pointer names the batches it has, so
+    a batch that is replayed after a failure changes nothing.
     """
-    staged = batch.withColumn(HASH, key_hash(spec.keys) if spec.keys else F.lit(None).cast("binary")).withColumn("_batch_id", F.lit(batch_id))
-    checks = checks_for(spec)
-    if checks:
-        good = gate(issues(staged, checks, ["_source_file"]), ["_source_file"]).where("is_valid").select("_source_file")
-        staged = staged.join(good, "_source_file", "left_semi")
-    if spec.strategy == "upsert" and spec.keys:
-        staged = newest_file_wins(staged)
-    return typed_select(staged, spec)
-
-
-def auto_ingest(spark: SparkSession, folder: str, spec: FileTypeSpec, table: VersionedTable, checkpoint: str, archive: str | None = None, loaded_at: str | None = None) -> None:
-    """Load the folder's new CSV files once and stop; a second run finds nothing new.
-
-    The checkpoint remembers files.  A batch that is replayed after a failure upserts
-    the same rows again; an append skips a batch that the table's pointer names.  A column that a file lacks fails the stream.
-    """
-    reader = spark.readStream.option("header", True).option("escape", '"').option("enforceSchema", False).schema(", ".join(f"`{c}` string" for c in spec.targets))
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    rows = reader.csv(folder).select("*", F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_modification_time").alias("mtime"))
 
     def load(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        at = F.coalesce(F.lit(loaded_at).cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz"))
-        typed = intake(batch.withColumn("_loaded_at", at).withColumn("_created_at", at), spec, str(number))
-        if spec.strategy == "upsert":
-            table.load(typed, "upsert", spec.keys)
-        else:
-            table.append(typed, f"{checkpoint}#{number}")
-
-    rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        paths = [literal_path(r["path"]) for r in batch.collect()]  # one name per file
+        if paths:
+            done = load_files(spark, paths, [spec], {spec.name: table}, f"{checkpoint}#{number}", loaded_at)
+            if report:
+                done.write.mode("overwrite").parquet(f"{report}/batch={number}")
+
+    reader.load(folder).select("path").writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
