@@ -123,14 +123,15 @@ class Rollup:
 def later_copies(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows whose exact text an earlier document has.
 
-    Only ids and digests are shuffled; the rows themselves are found by a semi-join
-    with the copies' ids and digests, broadcast up to ``broadcast_rows`` (counted).
+    Per digest one row with its smallest id is made before the shuffle; rows meet the
+    repeated digests in a join, broadcast up to ``broadcast_rows`` of them (counted).
+    Beyond that a digest that very many rows share relies on adaptive execution's
+    skew split.  A row without an id is no later copy.
     """
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    keys = docs.select("doc_id", digest.alias("digest"))
-    first = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = cut(keys.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest").distinct())
-    return docs.withColumn("digest", digest).join(bounded_broadcast(copies, broadcast_rows), ["doc_id", "digest"], "left_semi").select(docs.columns)
+    first = docs.select("doc_id", digest.alias("_digest")).groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    repeated = cut(first.where("_n > 1").drop("_n"))
+    return docs.withColumn("_digest", digest).join(bounded_broadcast(repeated, broadcast_rows), "_digest").where(F.col("doc_id") > F.col("_first")).select(docs.columns)
 
 
 def tidied(text: Column) -> Column:
