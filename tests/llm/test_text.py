@@ -11,7 +11,7 @@ from tidewright.llm.mixing import mix_sources, source_targets
 from tidewright.llm.page_differencing import extract_pages, lines_of, main_text, shared_lines
 from tidewright.llm.spotsigs import COMMON, edited_text, near_copies, pruned_jaccard, spot_fingerprints
 from tidewright.llm.suffix_tree_lm import SHARDED_FROM, SHARDS, held_out, score_texts
-from tidewright.llm.token_counts import Rollup, bpe_counts, built_in_counts, changes
+from tidewright.llm.token_counts import Rollup, bpe_counts, built_in_counts, changes, later_copies
 from tidewright.llm.toxicity import build_index, score_toxicity
 
 
@@ -264,3 +264,12 @@ def test_every_source_comes_near_its_target(spark):
         t = per.setdefault(r.source, [r.target, 0, 0])
         t[1], t[2] = t[1] + r.taken, max(t[2], r.size)
     assert all(abs(taken - target) <= largest for target, taken, largest in per.values())
+
+
+def test_later_copies(spark):
+    rows = [(3, "a", 0), (1, "a", 0), (1, "a", 1), (2, None, 0), (4, "", 0), (None, "a", 0), (5, "b", 0), (6, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _first long")  # a null text counts as empty
+    for broadcast_rows in (100, 0):
+        got = later_copies(docs, broadcast_rows)
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [3, 4, 6]
+    assert later_copies(docs.where("false")).count() == 0

@@ -131,7 +131,8 @@ def later_copies(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     first = docs.select("doc_id", digest.alias("_digest")).groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     repeated = cut(first.where("_n > 1").drop("_n"))
-    return docs.withColumn("_digest", digest).join(bounded_broadcast(repeated, broadcast_rows), "_digest").where(F.col("doc_id") > F.col("_first")).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), digest.alias("_digest"))
+    return rows.join(bounded_broadcast(repeated, broadcast_rows), "_digest").where(F.col("_row.doc_id") > F.col("_first")).select("_row.*")
 
 
 def tidied(text: Column) -> Column:
