@@ -62,6 +62,34 @@ def text_blocks(docs: DataFrame, block_bytes: int, bucket_bytes: int = 16_000_00
     return Dealt(docs.select(block.cast("long").alias("block"), own.alias("doc_id"), text.alias("text")), 4 + (total or 0) // bucket_bytes)
 
 
+def packed(dealt: Dealt) -> DataFrame:
+    """The dealt rows with the documents that a task has for one block compressed together.
+
+    They are partitioned by block, the same for all uses: Spark shuffles the texts once.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows.take(pc.sort_indices(rows, [("block", "ascending")])).combine_chunks()
+            number = rows["block"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.empty(0, np.int64)
+            for a, b in zip(first, np.append(first[1:], len(number)), strict=True):
+                sink = pa.BufferOutputStream()
+                own = rows.slice(a, b - a).select(["doc_id", "text"])
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                    out.write_table(own)
+                yield pa.record_batch([pa.array([number[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+
+    return dealt.rows.mapInArrow(pack, "block long, payload binary").repartition(dealt.buckets, "block")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """``doc_id, text`` of a block's packed rows."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    return pa.concat_tables([kinds.empty_table(), *(pa.ipc.open_stream(x.as_buffer()).read_all().cast(kinds) for x in table["payload"])])
+
+
 def sorted_block(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     """The block's rows in (doc_id, text) order, and their ids."""
     table = table.set_column(table.schema.get_field_index("text"), "text", pc.fill_null(table["text"], ""))
