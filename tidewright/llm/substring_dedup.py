@@ -3,12 +3,13 @@
 1. *Candidates.* Of every window of ``window`` words the gram of least hash is
    sampled and counted in hash buckets; a window that recurs has a gram that recurs.
 2. *Confirm.* The windows around recurring grams meet in buckets and are counted.
-   Runs of recurring windows make the recurring passages.
+   Runs of recurring windows make the recurring passages; a block reads each once,
+   from the first of its equal stretches.
 3. *Automata.* Each block of documents is a shard: its recurring passages are
    compiled to an Aho-Corasick automaton over word codes.  Its size is bounded by
    the block, however many passages the corpus has.
-4. *Stream.* Every document of the shard runs through the automaton, which locates
-   every occurrence of every passage; covered words go.
+4. *Stream.* Every document of the shard runs whole through the automaton, which alone
+   locates the occurrences: buckets confirm passages, they don't say where these are.
 """
 
 from __future__ import annotations
@@ -95,16 +96,14 @@ def _confirm(table: pa.Table) -> pa.Table:
 
 
 def _passages(block: _Block, answers: pa.Table, window: int) -> set[tuple[int, ...]]:
-    """The block's confirmed passages: maximal runs of recurring windows."""
-    per_record = block.n[block.first]
-    ends = np.concatenate([[0], np.cumsum(per_record)])
+    """The block's confirmed passages: runs of recurring windows in each distinct stretch, read where it occurs first."""
+    ends = np.concatenate([[0], np.cumsum(block.n[block.first])])
     flags = B.answer(answers, 2, np.diff(ends[block.bounds]))
-    inside, which = B.spread(ends[:-1][block.record], block.n)
-    start = np.sort((block.lo[which] + inside - ends[:-1][block.record][which])[flags[inside]])
+    at, record = B.spread(block.lo[block.first], block.n[block.first])
+    start, record = at[flags], record[flags]
     if not len(start):
         return set()
-    doc = np.searchsorted(block.at, start, "right")
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(start) > 1) | (np.diff(doc) > 0)]))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(record) > 0)]))
     last = np.concatenate([first[1:], [len(start)]]) - 1
     return {tuple(block.codes[start[a] : start[b] + window].tolist()) for a, b in zip(first, last, strict=True)}
 
