@@ -11,12 +11,13 @@ from .spotsigs import op4_spot_fingerprints
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .suffix_tree_lm import op8_score_texts
+from .token_alignment import op12_token_alignment
 from .toxicity import op6_toxicity
 from .token_counts import OP3_SQL, op3_token_counts, op3_token_counts_bpe
 
 
 def queries() -> dict:
-    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op5_near_duplicates, op6_toxicity, op7_extract_pages, op8_score_texts, op9_decontaminate, op10_mix_sources, op11_line_dedup, op13_conversation_trie)
+    found = (op1_suffix_dedup, op2_substring_dedup, op3_token_counts, op3_token_counts_bpe, op4_spot_fingerprints, op5_near_duplicates, op6_toxicity, op7_extract_pages, op8_score_texts, op9_decontaminate, op10_mix_sources, op11_line_dedup, op12_token_alignment, op13_conversation_trie)
     return {f.__name__: f for f in found}
 
 
