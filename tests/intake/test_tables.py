@@ -183,3 +183,67 @@ def test_rows_without_a_hash_stay_out_of_the_shuffle(spark):
     rows = spark.createDataFrame([(None, 1, "f", i) for i in range(50)] + [(b"k", 1, "f", 1), (b"k", 2, "g", 2)], "_upsert_hash binary, mtime long, _source_file string, v long")
     got = load.newest_file_wins(rows)
     assert got.count() == 51 and got.where("_upsert_hash is not null").collect()[0].v == 2
+
+
+def _files(folder):
+    return {str(p.relative_to(folder)): (p.stat().st_mtime_ns, p.stat().st_size) for p in folder.rglob("_bucket=*/*.parquet")}
+
+
+def test_an_upsert_reads_and_writes_only_the_buckets_that_it_touches(spark, tmp_path):
+    rows = lambda lo, hi, v: spark.range(lo, hi).select(F.col("id").cast("string").alias("id"), F.lit(v).alias("v")).withColumn("_upsert_hash", load.key_hash(["id"]))
+    table = load.VersionedTable(spark, f"file://{tmp_path}/t", buckets=32)
+    table.upsert(rows(0, 2000, "a"))
+    before = _files(tmp_path / "t")
+    table.upsert(rows(0, 3, "b"))
+    after = _files(tmp_path / "t")
+    assert {k: after[k] for k in before} == before
+    touched = set(table.log()[-1]["replaced"])
+    assert 1 <= len(touched) <= 3 and {int(k.split("_bucket=")[1].split("/")[0]) for k in set(after) - set(before)} == touched
+    assert sum(v[1] for k, v in after.items() if k not in before) < sum(v[1] for v in before.values()) / 5
+    # the next one lists only the live folders of its bucket
+    log = table.log()
+    one = {next(iter(touched))}
+    assert all(p.endswith(f"/_bucket={b}") for b in one for paths in table.folders(log, one).values() for p in paths)
+    got = {r.id: r.v for r in table.read().collect()}
+    assert len(got) == 2000 and [got[str(i)] for i in range(5)] == ["b", "b", "b", "a", "a"]
+    table.append(rows(5000, 5001, "c"))
+    table.upsert(rows(5000, 5001, "d"))
+    table.compact()
+    assert table.read().count() == 2001 and len(table.folders(table.log())) == 1 and table.read().where("v = 'd'").count() == 1
+
+
+def test_a_log_names_each_part_once(spark, tmp_path):
+    table = load.VersionedTable(spark, f"file://{tmp_path}/t")
+    for i in range(6):
+        table.append(spark.createDataFrame([(i,)], "i int"), str(i))
+    log = table.log()
+    assert [r["version"] for r in log] == list(range(6)) and len({r["part"] for r in log}) == 6 and table.read().count() == 6
+    empty = spark.createDataFrame([], "i int")
+    assert table.append(empty, "none") == 6 and table.read().count() == 6
+    assert table.replace(empty) == 7 and table.read().count() == 0 and table.read().columns == ["i"]
+
+
+def test_types_widen(spark):
+    from pyspark.sql import types as T
+
+    schema_of = lambda text: T._parse_datatype_string(text)
+    got = load.evolved(schema_of("a int, b date, c double, d string, e int, f boolean"), schema_of("x int, a bigint, b timestamp_ntz, c int, d int, e date, f boolean"))
+    assert [(f.name, f.dataType.simpleString()) for f in got] == [("a", "bigint"), ("b", "timestamp_ntz"), ("c", "double"), ("d", "string"), ("e", "string"), ("f", "boolean"), ("x", "int")]
+
+
+def test_a_hot_key_is_not_shuffled_to_one_task(spark):
+    """Nine rows in ten share a key; no adaptive execution."""
+    rows = spark.range(0, 40_000, numPartitions=8).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).cast("string").alias("k"), (F.col("id") % 3).alias("mtime"), F.concat(F.lit("f"), F.col("id") % 3).alias("_source_file"))
+    rows = rows.withColumn("_upsert_hash", load.key_hash(["k"]))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = load.newest_file_wins(rows, hot_share=100)
+        per_task = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+        want = rows.join(rows.groupBy("k").agg(F.max("mtime").alias("m")), "k").where("m = mtime").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == want and max(per_task) < want / 6

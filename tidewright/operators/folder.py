@@ -3,43 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.convert import typed_select
-from ..plans.paths import shared_path
-from ..plans.spec import FileTypeSpec, spec_rows
-from ..sources.files import EXTENSIONS, discover_files, headers_of, literal_path, peek_headers, read_csv_strings, read_excel_strings
-from .load import HASH, VersionedTable, append, key_hash, newest_file_wins, upsert, write_staging
+from ..plans.paths import shared_path, written
+from ..plans.spec import LINEAGE, FileTypeSpec, spec_rows
+from ..sources.files import EXTENSIONS, discover_files, headers_of, peek_headers, read_csv_strings, read_excel_strings
+from .load import HASH, VersionedTable, key_guard, key_hash, newest_file_wins, write_staging
 from .names import detect_file_type, target_names
-from .schema import needs_recreate, schema_diff
 from .validate import checks_for, gate, issues
 
-PLAN = "path string, filename string, size_bytes long, mtime timestamp, file_type string, header_row int, problem string"
+PLAN = "path string, filename string, size_bytes long, mtime timestamp, file_type string, header_row int, problem string, file string, encoding string, header array<string>"
 REPORT = "path string, filename string, file_type string, status string, problem string, rows long"
 
 
 def plan_files(spark: SparkSession, paths: str | Sequence[str], specs: Sequence[FileTypeSpec]) -> DataFrame:
     """What each file is, and why it can't be loaded: one row per file, held by the driver.
 
-    Problems: ``unsupported`` (no reader for .xls), ``empty``, ``undetected`` (no header
-    row matches a type, or nothing could be read), ``missing_column:<name>`` and
+    Problems: ``unsupported`` (no reader for .xls), ``empty``, ``unreadable:<error>``,
+    ``undetected`` (no header row matches a type), ``missing_column:<name>`` and
     ``duplicate_column:<name>`` (two columns with one target).  Columns that nobody
-    declared are no problem; they are not read.
+    declared are no problem; they are not read.  The header, encoding and path of a
+    planned file are carried along, so that readers don't look again.
     """
     found = discover_files(spark, paths)
-    path = shared_path(spark, "headers")
-    peek_headers(spark, paths).write.parquet(path)
-    heads = spark.read.parquet(path)
-    types = detect_file_type(heads, spec_rows(spark, list(specs))).drop("score")
+    heads = written(peek_headers(spark, paths), "headers")
+    broken = heads.where("error is not null").groupBy("path").agg(F.min("error").alias("error"))
+    types = detect_file_type(heads.where("error is null"), spec_rows(spark, list(specs))).drop("score")
     by_name = {s.name: s for s in specs}
     rows = []
-    for r in found.join(types, "path", "left").join(headers_of(heads), ["path", "header_row"], "left").orderBy("path").collect():
+    for r in found.join(types, "path", "left").join(headers_of(heads), ["path", "header_row"], "left").join(broken, "path", "left").orderBy("path").collect():
         problem = None
         if r["extension"] == ".xls":
             problem = "unsupported"
+        elif r["error"] is not None:
+            problem = f"unreadable:{r['error']}"
         elif r["file_type"] is None:
             problem = "undetected"
         else:
@@ -48,52 +50,67 @@ def plan_files(spark: SparkSession, paths: str | Sequence[str], specs: Sequence[
             missing, twice = [t for t in spec.targets if t not in own], [t for t in spec.targets if own.count(t) > 1]
             if missing or twice:
                 problem = f"missing_column:{missing[0]}" if missing else f"duplicate_column:{twice[0]}"
-        rows.append((r["path"], r["filename"], r["size_bytes"], r["mtime"], r["file_type"], r["header_row"], problem))
+        rows.append((r["path"], r["filename"], r["size_bytes"], r["mtime"], r["file_type"], r["header_row"], problem, r["file"], r["encoding"], r["header"]))
     read = {r[1] for r in rows}
     for url in found.inputFiles():  # Spark lists files without bytes, but makes no rows of them
         name = unquote(url.rsplit("/", 1)[-1])
         if name.lower().endswith(EXTENSIONS) and name not in read:
-            rows.append((unquote(url), name, 0, None, None, None, "empty"))
+            rows.append((unquote(url), name, 0, None, None, None, "empty", None, None, None))
     return spark.createDataFrame(rows, PLAN)
 
 
 def read_files(spark: SparkSession, planned: DataFrame, spec: FileTypeSpec, multi_line: bool = False) -> DataFrame:
-    """All rows of the planned files of one type as text under its target names, with ``_source_file``.
+    """All rows of the planned files of one type as text under its target names, with ``_source_file`` and ``_read_error``.
 
     ``planned``: rows of ``plan_files``, at least one of this type without a problem.
+    A file that breaks off while it is read has a row with ``_read_error``.
     """
-    kinds: dict[tuple[int, bool], list[str]] = {}
+    kinds: dict[tuple[int, bool], list[Row]] = {}
     for r in planned.where((F.col("file_type") == spec.name) & F.col("problem").isNull()).collect():  # one row per file
-        kinds.setdefault((r["header_row"], r["path"].lower().endswith(".csv")), []).append(literal_path(r["path"]))
+        kinds.setdefault((r["header_row"], r["path"].lower().endswith(".csv")), []).append(r)
     rename = lambda names: target_names(names, spec)
-    parts = [read_csv_strings(spark, own, multi_line, skip_rows=row, rename=rename) if csv else read_excel_strings(spark, own, skip_rows=row, rename=rename) for (row, csv), own in sorted(kinds.items())]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows
+    parts = []
+    for (row, is_csv), own in sorted(kinds.items(), key=lambda k: k[0]):
+        if is_csv:
+            parts.append(read_csv_strings(spark, [], multi_line, skip_rows=row, rename=rename, heads=own, errors=True))
+        else:
+            parts.append(read_excel_strings(spark, [], skip_rows=row, rename=rename, heads=own, errors=True))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_declared(table: VersionedTable, rows: DataFrame, spec: FileTypeSpec, batch: str | None = None, force_recreate: bool = False) -> int:
     """Typed rows into the table by the type's strategy; a ``batch`` that is in the table isn't loaded again.
 
-    A table whose columns aren't the declared ones, or whose types are of another
-    family, starts anew, even in an upsert: its rows are lost.  Within a family its
-    rows are cast to the declared types, which writes them again.
+    A table that lacks declared columns, or has them in another type, keeps its rows: its
+    columns evolve (see ``evolved``).  Only a replacement or ``force_recreate`` starts it
+    anew with the declared columns alone.
     """
     if batch is not None and table.committed(batch):
         return table.version()
-    old = None if force_recreate or spec.strategy == "replace" else table.read()
-    if old is None:
-        return table.replace(rows, batch)
-    diff = schema_diff(table.spark, old.schema, spec.schema())
-    if needs_recreate(diff):
+    if force_recreate or spec.strategy == "replace":
         return table.replace(rows, batch)
-    by_key = spec.strategy == "upsert" and spec.keys
-    altered = {r["column"]: r["required"] for r in diff.where("action = 'alter'").collect()}
-    if not altered and not by_key:
-        return table.append(rows, batch)
-    old = old.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in altered.items()})
-    return table.replace((upsert if by_key else append)(old, rows), batch)
+    return table.upsert(rows, batch=batch) if spec.strategy == "upsert" and spec.keys else table.append(rows, batch)
+
+
+def judge_files(staged: DataFrame, spec: FileTypeSpec) -> DataFrame:
+    """``_source_file, problem, n`` of staged rows; the problem is NULL for a file that may load.
+
+    In this order: ``unreadable:<error>`` (it broke off), ``null_keys:<rows>`` (rows
+    without an upsert key, which would all replace one another), ``validation``.
+    """
+    rows, checks = staged.where("_read_error is null"), checks_for(spec)
+    if checks:
+        judged = gate(issues(rows, checks, ["_source_file"]), ["_source_file"]).select("_source_file", "is_valid", F.col("total").alias("n"))
+    else:
+        judged = rows.groupBy("_source_file").agg(F.lit(True).alias("is_valid"), F.count(F.lit(1)).alias("n"))
+    broken = staged.where("_read_error is not null").groupBy("_source_file").agg(F.min("_read_error").alias("error"))
+    judged = judged.join(broken, "_source_file", "full")
+    if spec.strategy == "upsert" and spec.keys:
+        judged = judged.join(key_guard(rows, spec.keys, ["_source_file"]).drop("total"), "_source_file", "left")
+    else:
+        judged = judged.withColumn("null_keys", F.lit(0))
+    problem = F.when(F.col("error").isNotNull(), F.concat(F.lit("unreadable:"), F.col("error"))).when(F.col("null_keys") > 0, F.concat(F.lit("null_keys:"), F.col("null_keys").cast("string"))).when(~F.col("is_valid"), "validation")
+    return judged.select("_source_file", problem.alias("problem"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def load_files(
@@ -102,40 +119,36 @@ def load_files(
 ) -> DataFrame:
     """Load all files of a folder (or list of paths) and report on each: ``path, filename, file_type, status, problem, rows``.
 
-    A file that can't be read as its type, fails validation (``validation``) or has no
-    rows (``no_rows``) is left out and reported as failed; the others are loaded.  Each
-    type's files are staged as text in one table, validated in one aggregation by file
-    and loaded at once: by replacement all files together, by upsert for each key the
-    rows of the newest file that has it.  ``batch`` names the load; sent again after a
-    failure it leaves tables that have it as they are.  ``staging``: a folder for the
-    staging tables, by default a new one.  File names in one call are distinct.
+    A file that can't be read as its type (``plan_files``), breaks off, has rows without a
+    key or fails validation (``judge_files``), or has no rows (``no_rows``), is left out
+    as a whole and reported as failed; the others are loaded.  Each type's files are
+    staged as text in one table, judged by file in one aggregation and loaded at once: by
+    replacement all files together, by upsert for each key the rows of the newest file
+    that has it.  ``batch`` names the load; sent again after a failure it leaves tables
+    that have it as they are.  ``staging``: a folder for the staging tables, by default a
+    new one.  File names in one call are distinct.
     """
     planned = plan_files(spark, paths, specs)
+    report = ["path", "filename", "file_type", "status", "problem", "rows"]
     out = planned.where("problem is not null").select("path", "filename", "file_type", F.lit("failed").alias("status"), "problem", F.lit(0).cast("long").alias("rows"))
     ready = {r["file_type"] for r in planned.where("problem is null").select("file_type").distinct().collect()}
     for spec in specs:
         if spec.name not in ready:
             continue
-        own = planned.where((F.col("file_type") == spec.name) & F.col("problem").isNull())
+        own = planned.where((F.col("file_type") == spec.name) & F.col("problem").isNull()).select("path", "filename", "file_type", "mtime")
         at = F.coalesce(F.lit(loaded_at).cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz"))
         rows = read_files(spark, planned, spec, multi_line)
         rows = rows.withColumns({"_loaded_at": at, "_created_at": at, "_batch_id": F.lit(batch), HASH: key_hash(spec.keys) if spec.keys else F.lit(None).cast("binary")})
         path = shared_path(spark, spec.staging_table) if staging is None else f"{staging}/{spec.staging_table}"
-        write_staging(rows, spec.targets, path)
+        write_staging(rows, spec.targets, path, [*LINEAGE.names, "_read_error"])
         staged = spark.read.parquet(path)
-        checks = checks_for(spec)
-        if checks:
-            judged = gate(issues(staged, checks, ["_source_file"]), ["_source_file"]).select("_source_file", "is_valid", F.col("total").alias("n"))
-        else:
-            judged = staged.groupBy("_source_file").agg(F.lit(True).alias("is_valid"), F.count(F.lit(1)).alias("n"))
-        verdicts = spark.createDataFrame([tuple(r) for r in judged.collect()], "_source_file string, is_valid boolean, n long")  # one row per file
-        good = own.join(verdicts.where("is_valid"), own["filename"] == F.col("_source_file")).select("_source_file", "mtime")
+        verdicts = spark.createDataFrame([tuple(r) for r in judge_files(staged, spec).collect()], "_source_file string, problem string, n long")  # one row per file
+        good = own.join(verdicts.where("problem is null"), own["filename"] == F.col("_source_file")).select("_source_file", "mtime")
         if not good.isEmpty():
-            valid = staged.join(good, "_source_file")
+            valid = staged.drop("_read_error").join(F.broadcast(good), "_source_file")
             if spec.strategy == "upsert" and spec.keys:
                 valid = newest_file_wins(valid)
             load_declared(tables[spec.name], typed_select(valid, spec), spec, f"{batch}#{spec.name}", force_recreate)
-        problem = F.when(F.col("n").isNull(), "no_rows").when(~F.col("is_valid"), "validation")
-        own = own.drop("problem").join(verdicts, own["filename"] == F.col("_source_file"), "left").withColumn("problem", problem)
-        out = out.unionByName(own.select("path", "filename", "file_type", F.when(F.col("problem").isNull(), "success").otherwise("failed").alias("status"), "problem", F.coalesce("n", F.lit(0)).alias("rows")))
+        own = own.join(verdicts, own["filename"] == F.col("_source_file"), "left").withColumn("problem", F.when(F.col("n").isNull(), "no_rows").otherwise(F.col("problem")))
+        out = out.unionByName(own.select("path", "filename", "file_type", F.when(F.col("problem").isNull(), "success").otherwise("failed").alias("status"), "problem", F.coalesce("n", F.lit(0)).alias("rows")).select(report))
     return out

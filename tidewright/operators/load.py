@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.paths import written
 
 SEPARATOR, SAFE_SEPARATOR = "|", "\x1f"
 HASH = "_upsert_hash"
 #: Staged key hashes up to this number are broadcast to the target (16 bytes each; counted first).
 BROADCAST_HASHES = 1_000_000
+#: Keys of more than one in so many rows are hot; there can't be more of them than this.
+HOT_SHARE = 10_000
 
 
 def key_hash(keys: Sequence[str], safe: bool = False, charset: str = "UTF-8") -> Column:
@@ -60,20 +67,24 @@ def combine(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def newest_file_wins(rows: DataFrame, order: Sequence[str] = ("mtime", "_source_file"), valid: Column | None = None) -> DataFrame:
+def newest_file_wins(rows: DataFrame, order: Sequence[str] = ("mtime", "_source_file"), valid: Column | None = None, hot_share: int = HOT_SHARE) -> DataFrame:
     """Of each key only rows of the newest valid file that has it; a file's own duplicates stay.
 
-    The newest file of a key is a maximum taken before the shuffle, one row per task
-    for a hot key; the rows themselves meet it in an inner join, whose skewed
-    partitions adaptive execution splits.  Ties in time go to the later path.  Rows
-    without a hash all stay and are not shuffled.
+    The newest file of a key and its number of rows are taken before the shuffle, one
+    row per task and key.  Keys that more than one in ``hot_share`` rows have (so at
+    most ``hot_share`` keys) are broadcast and their rows aren't shuffled; the others
+    meet their rows by a shuffle in which no key has more than that share.  Ties in time
+    go to the later path.  Rows without a hash all stay and are not shuffled.
     """
     rows = rows if valid is None else rows.where(valid)
     rank = F.struct(*order)
     keyed = rows.where(F.col(HASH).isNotNull())
-    newest = keyed.groupBy(HASH).agg(F.max(rank).alias("_newest"))
-    kept = keyed.join(newest, HASH).where(rank == F.col("_newest")).select(rows.columns)
-    return kept.unionByName(rows.where(F.col(HASH).isNull()))
+    newest = written(keyed.groupBy(HASH).agg(F.max(rank).alias("_newest"), F.count(F.lit(1)).alias("_n")), "newest-files")
+    total = newest.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot, cold = (newest.where(c).drop("_n") for c in (F.col("_n") * hot_share > total, F.col("_n") * hot_share <= total))
+    hot = F.broadcast(hot)
+    met = keyed.join(hot, HASH).unionByName(keyed.join(hot.select(HASH), HASH, "left_anti").join(cold, HASH))
+    return met.where(rank == F.col("_newest")).select(rows.columns).unionByName(rows.where(F.col(HASH).isNull()))
 
 
 def route(inventory: DataFrame) -> DataFrame:
@@ -81,63 +92,153 @@ def route(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("file_type", F.coalesce("strategy", F.lit("replace")).alias("strategy")).agg(F.count(F.lit(1)).alias("files"))
 
 
-class VersionedTable:
-    """A Parquet table as numbered versions with a pointer, for stores without MERGE.
+#: Of two numeric types the later one holds both (fixed values).
+_WIDER = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of both: the wider number, the timestamp of a date and a timestamp, else text."""
+    names = [x.simpleString() for x in (a, b)]
+    if names[0] == names[1]:
+        return a
+    if all(n in _WIDER for n in names):
+        wide = max(names, key=_WIDER.index)
+        return T.DoubleType() if wide == "float" and {"int", "bigint"} & set(names) else (a, b)[names.index(wide)]
+    times = {"date", "timestamp", "timestamp_ntz"}
+    if set(names) <= times:
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
+def evolved(old: T.StructType, new: T.StructType) -> T.StructType:
+    """The columns of ``old`` in their order, then those that only ``new`` has; types that differ are widened."""
+    also = {f.name: f.dataType for f in new}
+    kept = [T.StructField(f.name, common_type(f.dataType, also[f.name]) if f.name in also else f.dataType) for f in old]
+    return T.StructType(kept + [T.StructField(f.name, f.dataType) for f in new if f.name not in old.names])
+
+
+def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of ``schema``: missing ones NULL, others cast to the wider type."""
+    return df.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
-    A version is a list of folders.  An append writes one folder and a pointer to it and
-    the former ones; replace and upsert write one that stands alone.  Folders have names
-    of their own and the pointer is written last: readers never see a half-written
-    version, nothing is overwritten while it is read, and a job that dies before the
-    pointer leaves the old version in force.  One writer at a time.
+
+class VersionedTable:
+    """Parquet folders and a log of versions, for stores without MERGE.
+
+    Rows with a key hash lie in buckets by it (``part/_bucket=n``), rows without one in
+    bucket -1.  A version writes one part: an append its own rows; an upsert the buckets
+    that staged hashes fall into, made of their old rows and the staged ones, while the
+    files of other buckets are neither read nor written; a replacement stands alone.
+    The log has one row a version with the part, the buckets in it, those it replaces
+    and the table's columns.  Columns evolve: a load may bring new ones or wider types;
+    older parts stay as they are and are aligned when read.
+
+    Parts have names of their own and the log row is written last: readers never see a
+    half-written version, and a job that dies before it leaves the old version in force.
+    One writer at a time.
     """
 
-    POINTER = "version long, parts array<string>, batch string"
+    LOG = "version long, part string, held array<int>, replaced array<int>, columns string, n_buckets int, batch string"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def _pointers(self) -> DataFrame | None:
+    def log(self) -> list[Row]:
+        """One short row a version, oldest first."""
         try:
-            return self.spark.read.schema(self.POINTER).parquet(f"{self.path}/pointer")
+            found = self.spark.read.schema(self.LOG).parquet(f"{self.path}/log").orderBy("version").collect()
         except AnalysisException:
-            return None
-
-    def _now(self) -> tuple[int, list[str]]:
-        pointers = self._pointers()
-        found = None if pointers is None else pointers.agg(F.max("version"), F.max_by("parts", "version")).first()
-        return (-1, []) if found is None or found[0] is None else (found[0], found[1])
+            return []
+        if found:
+            self.buckets = found[-1]["n_buckets"]
+        return found
 
     def version(self) -> int:
-        return self._now()[0]
+        return max((r["version"] for r in self.log()), default=-1)
 
     def committed(self, batch: str) -> bool:
         """Whether a load under this name is in the table."""
-        pointers = self._pointers()
-        return pointers is not None and pointers.where(F.col("batch") == batch).limit(1).count() > 0
+        return any(r["batch"] == batch for r in self.log())
+
+    def schema(self, log: Sequence[Row] | None = None) -> T.StructType | None:
+        log = self.log() if log is None else log
+        return T.StructType.fromJson(json.loads(log[-1]["columns"])) if log else None
+
+    def folders(self, log: Sequence[Row], buckets: set[int] | None = None) -> dict[str, list[str]]:
+        """The live folders, all or some buckets, by the columns that they were written with."""
+        live: dict[str, tuple[str, set[int]]] = {}
+        for r in log:
+            if r["replaced"] is None:
+                live = {}
+            live = {part: (columns, held - set(r["replaced"] or ())) for part, (columns, held) in live.items()}
+            live[r["part"]] = r["columns"], set(r["held"])
+        out: dict[str, list[str]] = {}
+        for part, (columns, held) in live.items():
+            own = sorted(held if buckets is None else held & buckets)
+            if own:
+                out.setdefault(columns, []).extend(f"{self.path}/{part}/_bucket={b}" for b in own)
+        return out
+
+    def _read(self, log: Sequence[Row], schema: T.StructType, buckets: set[int] | None = None) -> DataFrame:
+        frames = [aligned(self.spark.read.schema(T.StructType.fromJson(json.loads(columns))).parquet(*paths), schema) for columns, paths in self.folders(log, buckets).items()]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame | None:
-        v, parts = self._now()
-        return None if v < 0 else self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{p}" for p in parts])
+        """All rows with the columns of the newest version, one scan for each set of columns that parts were written with."""
+        log = self.log()
+        return self._read(log, self.schema(log)) if log else None
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        bucket = F.when(F.col(HASH).isNotNull(), F.pmod(F.hash(HASH), F.lit(self.buckets))).otherwise(F.lit(-1)) if HASH in df.columns else F.lit(-1)
+        return df.withColumn("_bucket", bucket.cast("int"))
 
-    def _commit(self, df: DataFrame, before: Sequence[str] = (), batch: str | None = None) -> int:
-        v = self.version() + 1
+    def _commit(self, rows: DataFrame, log: Sequence[Row], schema: T.StructType, replaced: Sequence[int] | None, batch: str | None) -> int:
+        v = log[-1]["version"] + 1 if log else 0
         part = f"v{v}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{part}")
-        self.spark.createDataFrame([(v, [*before, part], batch)], self.POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        rows = self._bucketed(rows)
+        if HASH in rows.columns:
+            rows = rows.hint("rebalance", F.col("_bucket"))  # adaptive execution splits large buckets and joins small ones
+        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{part}")
+        try:
+            files = self.spark.read.schema(schema).parquet(f"{self.path}/{part}").inputFiles()
+        except AnalysisException:  # no rows, no files
+            files = []
+        held = sorted({int(re.search(r"/_bucket=(-?\d+)/", f)[1]) for f in files if "/_bucket=" in f})
+        self.spark.createDataFrame([(v, part, held, None if replaced is None else list(replaced), schema.json(), self.buckets, batch)], self.LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return v
 
+    def _evolved(self, log: Sequence[Row], df: DataFrame) -> T.StructType:
+        return evolved(self.schema(log), df.schema) if log else T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+
     def replace(self, df: DataFrame, batch: str | None = None) -> int:
-        return self._commit(df, batch=batch)
+        """The rows and their columns alone."""
+        return self._commit(df, self.log(), self._evolved([], df), None, batch)
 
     def append(self, df: DataFrame, batch: str | None = None) -> int:
         """Only the new rows are written; a ``batch`` that is in the table is not written again."""
-        if batch is not None and self.committed(batch):
-            return self.version()
-        return self._commit(df, self._now()[1], batch)
-
-    def upsert(self, df: DataFrame, force_recreate: bool = False) -> int:
-        old = None if force_recreate else self.read()
-        return self._commit(df if old is None else upsert(old, df))
+        log = self.log()
+        if batch is not None and any(r["batch"] == batch for r in log):
+            return log[-1]["version"]
+        schema = self._evolved(log, df)
+        return self._commit(aligned(df, schema), log, schema, [], batch)
+
+    def upsert(self, df: DataFrame, force_recreate: bool = False, batch: str | None = None) -> int:
+        """Rows of staged hashes go, the staged ones come; only their buckets are read and written."""
+        log = self.log()
+        if batch is not None and any(r["batch"] == batch for r in log):
+            return log[-1]["version"]
+        if force_recreate or not log:
+            return self.replace(df, batch)
+        schema = self._evolved(log, df)
+        staged = aligned(df, schema)
+        touched = {r[0] for r in self._bucketed(staged).select("_bucket").distinct().collect()} - {-1}  # at most one row for each bucket
+        rows = not_replaced(self._read(log, schema, touched), staged).unionByName(staged)
+        return self._commit(rows, log, schema, sorted(touched), batch)
+
+    def compact(self) -> int:
+        """All rows in one part, so that reads list few folders."""
+        log = self.log()
+        return self._commit(self._read(log, self.schema(log)), log, self.schema(log), None, None)
 
     def load(self, df: DataFrame, strategy: str = "replace", keys: Sequence[str] = ()) -> int:
         """By strategy; an upsert without keys appends."""
