@@ -78,22 +78,34 @@ def test_equals_whole_texts(spark, coders, hot):
 
 
 def test_memory_that_starts_anew(spark, coders, monkeypatch):
-    monkeypatch.setattr(token_alignment, "REMEMBERED", 2)
-    memory = token_alignment._Memory(Aligner())
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 8)
+    aligner = Aligner()
+    memory, sizes = token_alignment._Memory(aligner), []
     for _ in range(3):
-        for text in ODD[:8]:
-            (n, _, pairs), own = next(memory.texts([text])), tokens(text, coders)
-            assert n[:2] == [len(own[0]), len(own[1])] and len(pairs) == n[3]
+        for text in [*ODD, *ODD[:3], "a a b b", "a b c", "b b b d"]:
+            (n, digest, pairs), own = next(memory.texts([text])), tokens(text or "", coders)
+            fresh = next(token_alignment._Memory(aligner).texts([text]))
+            assert n[:2] == [len(own[0]), len(own[1])] and (n, digest, pairs.tolist()) == (fresh[0], fresh[1], fresh[2].tolist())
+            sizes.append(len(memory.groups))
+    assert min(sizes[3:]) < max(sizes) / 4
 
 
 def test_ends_from_offsets_are_those_of_decoded_bytes(coders):
     aligner = Aligner()
     for text in ODD:
-        for stretch in _CUT.split(" " + text) if text and "▁" not in text else []:
-            ids, ends, whole = aligner.a_ends(stretch, aligner.a.encode(stretch, add_special_tokens=False))
-            assert whole and ends == [sum(len(aligner.a_bytes[i]) for i in ids[: k + 1]) for k in range(len(ids))], stretch
-            ids, ends, whole = aligner.b_ends(stretch, aligner.b.encode(stretch[1:], return_type="proto"))
-            assert whole and ends == [sum(len(aligner.b_bytes[i]) for i in ids[: k + 1]) for k in range(len(ids))], stretch
+        for stretch in [*_CUT.split(" " + text), " " + text] if text and "▁" not in text else []:
+            for ids, ends, whole, known in ((*aligner.a_ends(stretch, stretch.encode()), aligner.a_bytes), (*aligner.b_ends(stretch, stretch.encode()), aligner.b_bytes)):
+                assert whole and ends.tolist() == [sum(len(known[i]) for i in ids[: k + 1]) for k in range(len(ids))], stretch
+
+
+def test_stretches_together_are_those_one_by_one():
+    aligner = Aligner()
+    stretches = list(dict.fromkeys(s for t in ODD if t for s in _CUT.split(" " + t) if not s[-1].isspace()))
+    assert any("▁" in s for s in stretches)
+    groups, counts, pairs = aligner.align(stretches)
+    each = [aligner.align([s]) for s in stretches]
+    assert groups == [e[0][0] for e in each] and counts.tolist() == [e[1][0].tolist() for e in each] and pairs.tolist() == [x for e in each for x in e[2].tolist()]
+    assert sum(counts[:, 4]) >= 1
 
 
 def test_byte_alphabet(coders):

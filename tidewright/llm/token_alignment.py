@@ -26,6 +26,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ BYTE_BPE, PIECE_BPE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.mo
 #: Pairs held by more than one in so many rows of (text, pair) are hot; there can't be more of them.
 HOT = 200_000
 #: Stretches that a task remembers, and the characters in them: beyond either it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 4_000_000
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
+#: Stretches that are tokenized together.
+TOGETHER = 256
 #: A pair is ``a * SHIFT + b``.
 SHIFT = 1 << 20
 #: Before a space after a character that isn't white space; a text's last character stays with what is before it.
@@ -66,63 +69,79 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         alphabet = byte_alphabet()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode() for token, i in vocabulary.items()}
+        vocabulary = {i: token for token, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in (vocabulary.get(i, "?") for i in range(max(vocabulary) + 1))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{_META}]{_META}", p) for p in pieces):
             raise ValueError("a piece goes on over a space: texts can't be cut there")
         fallback = re.compile(r"<0x([0-9A-F]{2})>")
-        self.b_fallback = [bool(fallback.fullmatch(p)) for p in pieces]
-        self.b_bytes = [bytes([int(fallback.fullmatch(p)[1], 16)]) if f else p.replace(_META, " ").encode() for p, f in zip(pieces, self.b_fallback, strict=True)]
-
-    def a_ends(self, stretch: str, encoding) -> tuple[list[int], list[int], bool]:
-        """Ids, byte offsets of the tokens' ends, and whether their bytes are the stretch's."""
-        own = stretch.encode()
-        ids, spans = encoding.ids, encoding.offsets
-        if len(own) == len(stretch):
-            ends = [end for _, end in spans]
-        else:
-            byte_at, at = [0], 0
-            for c in stretch:
-                at += len(c.encode())
-                byte_at.append(at)
-            ends, before = [], 0
-            for i, (start, end) in enumerate(spans):
-                inside = i + 1 < len(spans) and spans[i + 1][0] < end or byte_at[start] < before
-                before = before + len(self.a_bytes[ids[i]]) if inside else byte_at[end]
-                ends.append(before)
-        return ids, ends, b"".join(map(self.a_bytes.__getitem__, ids)) == own
-
-    def b_ends(self, stretch: str, proto) -> tuple[list[int], list[int], bool]:
-        """The same for sentencepiece, which puts the first space before the stretch by itself."""
-        own = stretch.encode()
-        pieces = proto.pieces
-        ids, ends, before = [p.id for p in pieces], [], 0
-        for p in pieces:
-            before = before + 1 if self.b_fallback[p.id] else p.end + 1
-            ends.append(before)
-        return ids, ends, b"".join(map(self.b_bytes.__getitem__, ids)) == own
-
-    def align(self, stretches: list[str]) -> list[tuple[str, int, int, int, list[int], bool]]:
-        """For each stretch, which begins with a space: groups as text, numbers of A and B tokens and of groups, linked pairs, whether it is whole."""
-        out = []
-        for stretch, encoding, proto in zip(stretches, self.a.encode_batch(stretches, add_special_tokens=False), self.b.encode([s[1:] for s in stretches], return_type="proto", num_threads=1), strict=True):
-            a, a_ends, a_whole = self.a_ends(stretch, encoding)
-            b, b_ends, b_whole = self.b_ends(stretch, proto)
-            if not (a_whole and b_whole):
-                out.append(("", 0, 0, 0, [], False))
-                continue
-            groups, pairs, i, j = [], [], 0, 0
-            for end in sorted(set(a_ends) & set(b_ends)):
-                from_a, from_b = i, j
-                while i < len(a) and a_ends[i] <= end:
-                    i += 1
-                while j < len(b) and b_ends[j] <= end:
-                    j += 1
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                pairs += [a[x] * SHIFT + b[y] for x in range(from_a, i) if a_ends[x] == end for y in range(from_b, j) if b_ends[y] == end]
-            out.append((";".join(groups), len(a), len(b), len(groups), pairs, True))
-        return out
+        self.b_bytes = [bytes([int(f[1], 16)]) if (f := fallback.fullmatch(p)) else p.replace(_META, " ").encode() for p in pieces]
+        self.b_fallback = np.array([bool(fallback.fullmatch(p)) for p in pieces])
+        if not all(self.a_bytes) or not all(self.b_bytes):
+            raise ValueError("a token spells nothing")
+        self.a_lens, self.b_lens = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+
+    def a_ends(self, text: str, own: bytes) -> tuple[list[int], np.ndarray, bool]:
+        """Ids, byte offsets of the tokens' ends, and whether their bytes are the text's (``own``)."""
+        encoding = self.a.encode(text, add_special_tokens=False)
+        ids = encoding.ids
+        spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        char = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        byte_at = np.concatenate([[0], np.cumsum(1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))])
+        # the next token starts inside the character that this one ends in
+        inside = np.zeros(len(ids), bool)
+        inside[:-1] = spans[1:, 0] < spans[:-1, 1]
+        return ids, _refined(byte_at[spans[:, 1]], inside, self.a_lens[ids]), b"".join(map(self.a_bytes.__getitem__, ids)) == own
+
+    def b_ends(self, text: str, own: bytes) -> tuple[list[int], np.ndarray, bool]:
+        """The same for sentencepiece, which puts the text's first space before it by itself and whose spans are byte offsets."""
+        pieces = self.b.encode(text[1:], return_type="proto", num_threads=1).pieces
+        ids = [p.id for p in pieces]
+        ends = np.fromiter((p.end for p in pieces), np.int64, len(ids)) + 1
+        return ids, _refined(ends, self.b_fallback[ids], self.b_lens[ids]), b"".join(map(self.b_bytes.__getitem__, ids)) == own
+
+    def align(self, stretches: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of stretches, which begin with a space: groups as text, a row ``A, B, groups, links, not whole`` of numbers each, and all linked pairs.
+
+        Stretches are tokenized together, as each ends where tokens of both end; if the
+        tokens don't spell them, in halves down to the one that is to blame.
+        """
+        text = "".join(stretches)
+        own = text.encode()
+        (a, a_ends, a_whole), (b, b_ends, b_whole) = self.a_ends(text, own), self.b_ends(text, own)
+        if not (a_whole and b_whole):
+            if len(stretches) == 1:
+                return [""], np.array([[0, 0, 0, 0, 1]]), np.zeros(0, np.int64)
+            half = len(stretches) // 2
+            halves = self.align(stretches[:half]), self.align(stretches[half:])
+            return halves[0][0] + halves[1][0], np.concatenate([h[1] for h in halves]), np.concatenate([h[2] for h in halves])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        borders = np.cumsum([len(s.encode()) for s in stretches])
+        to_a, to_b = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
+        names_a, names_b = (list(map(self.names.__getitem__, ids)) for ids in (a, b))
+        groups, i, j = [], 0, 0
+        for x, y in zip(to_a.tolist(), to_b.tolist(), strict=True):
+            left = names_a[i] if x - i == 1 else ",".join(names_a[i:x])
+            groups.append(f"{left}|{names_b[j]}" if y - j == 1 else f"{left}|{','.join(names_b[j:y])}")
+            i, j = x, y
+        upto = np.searchsorted(cuts, borders, "right")
+        counts = np.diff(np.stack([to_a[upto - 1], to_b[upto - 1], upto, upto, np.zeros_like(upto)], 1), axis=0, prepend=0)
+        texts, i = [], 0
+        for x in upto.tolist():
+            texts.append(groups[i] if x - i == 1 else ";".join(groups[i:x]))
+            i = x
+        return texts, counts, np.asarray(a, np.int64)[to_a - 1] * SHIFT + np.asarray(b, np.int64)[to_b - 1]
+
+
+def _refined(ends: np.ndarray, inside: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Ends by spans; those inside a character are counted from the last end before that isn't, by decoded bytes."""
+    if not inside.any():
+        return ends
+    counted = np.cumsum(lens)
+    before = np.maximum.accumulate(np.where(inside, -1, np.arange(len(ends))))
+    known = np.where(before >= 0, ends[before] - counted[before], 0)
+    return np.where(inside, counted + known, ends)
 
 
 class _Memory:
@@ -137,35 +156,75 @@ class _Memory:
         self.chars = 0
         self.groups: list[str] = []
         self.counts = array("q")  # five for each: A, B, groups, links, not whole
-        self.pairs, self.ends = array("q"), array("q", [0])
+        self.pairs, self.ends, self.used = array("q"), array("q", [0]), array("q")
 
     def learn(self, stretches: list[str]) -> None:
-        for at in range(0, len(stretches), 4096):
-            part = stretches[at : at + 4096]
-            for stretch, (groups, n_a, n_b, n_groups, pairs, whole) in zip(part, self.aligner.align(part), strict=True):
-                self.number[stretch] = len(self.groups)
-                self.chars += len(stretch)
-                self.groups.append(groups)
-                self.counts.extend((n_a, n_b, n_groups, len(pairs), not whole))
-                self.pairs.extend(pairs)
-                self.ends.append(len(self.pairs))
+        """Stretches together, but for those that end in white space, which could merge with the space of the next: one by one."""
+        plain = [s for s in stretches if not s[-1].isspace()]
+        parts = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)] + [[s] for s in stretches if s[-1].isspace()]
+        for part in parts:
+            groups, counts, pairs = self.aligner.align(part)
+            self.number.update(zip(part, range(len(self.groups), len(self.groups) + len(part)), strict=True))
+            self.chars += sum(map(len, part))
+            self.groups += groups
+            self.counts.frombytes(counts.astype(np.int64).tobytes())
+            self.ends.frombytes((len(self.pairs) + np.cumsum(counts[:, 3])).astype(np.int64).tobytes())
+            self.pairs.frombytes(pairs.tobytes())
+            self.used.frombytes(bytes(8 * len(part)))
+
+    def forget(self) -> None:
+        """Only stretches that were met more than once since the last time stay, unless they are too many."""
+        used = np.array(self.used, np.int64)
+        keep = np.flatnonzero(used > 1)
+        if len(keep) > REMEMBERED // 2 or self.chars > REMEMBERED_CHARS:
+            keep = keep[:0]
+        number, groups = self.number, self.groups
+        counts, pairs, ends = self.tables()
+        self.clear()
+        new = np.full(len(groups), -1, np.int64)
+        new[keep] = np.arange(len(keep))
+        self.number = {s: int(new[i]) for s, i in number.items() if new[i] >= 0}
+        self.chars = sum(map(len, self.number))
+        self.groups = [groups[i] for i in keep.tolist()]
+        self.counts.frombytes(counts[keep].tobytes())
+        self.pairs.frombytes(pairs[_places(ends[keep], counts[keep, 3])].tobytes())
+        self.ends.frombytes(np.cumsum(counts[keep, 3]).tobytes())
+        self.used.frombytes((used[keep] // 4).tobytes())
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.counts, np.int64).reshape(-1, 5), np.array(self.pairs, np.int64), np.array(self.ends, np.int64)
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[list[int], str, np.ndarray]]:
         """Numbers of tokens, groups and links, digest of the groups, and pairs of each text."""
         if len(self.groups) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.clear()
+            self.forget()
         parts = [_CUT.split(" " + t) if t else [] for t in texts]
         self.learn(list(dict.fromkeys(s for p in parts for s in p if s not in self.number)))
-        counts, flat, ends = np.array(self.counts, np.int64).reshape(-1, 5), np.array(self.pairs, np.int64), np.array(self.ends, np.int64)
+        counts, flat, ends = self.tables()
+        used = np.frombuffer(self.used, np.int64)
         for p in parts:
             own = np.fromiter(map(self.number.__getitem__, p), np.int64, len(p))
+            np.add.at(used, own, 1)
             n = counts[own].sum(0)
             if not len(own) or n[4]:
                 yield [0, 0, 0, 0], "", np.zeros(0, np.int64)
                 continue
-            size = counts[own, 3]
-            places = np.repeat(ends[own] - (np.cumsum(size) - size), size) + np.arange(int(n[3]))
-            yield n[:4].tolist(), hashlib.sha256(";".join(map(self.groups.__getitem__, own.tolist())).encode()).hexdigest(), flat[places]
+            yield n[:4].tolist(), hashlib.sha256(";".join(map(self.groups.__getitem__, own.tolist())).encode()).hexdigest(), flat[_places(ends[own], counts[own, 3])]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of ``sizes`` from ``starts`` on, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+#: A Python worker's memory outlives its tasks.
+_KNOWN: dict[tuple[str, str], _Memory] = {}
+
+
+def _memory(byte_bpe: str, piece_bpe: str) -> _Memory:
+    if (byte_bpe, piece_bpe) not in _KNOWN:
+        _KNOWN[byte_bpe, piece_bpe] = _Memory(Aligner(byte_bpe, piece_bpe))
+    return _KNOWN[byte_bpe, piece_bpe]
 
 
 ENCODED = "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -175,7 +234,7 @@ def encoded(rows: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BP
     """``doc_id, row`` with the figures of the text and its distinct linked pairs with how often it holds them, of ``(doc_id, row, text)``."""
 
     def run(batches):
-        memory = _Memory(Aligner(byte_bpe, piece_bpe))
+        memory = _memory(byte_bpe, piece_bpe)
         for part in slices(batches, most_bytes=2_000_000):
             numbers, digests, pairs, times = [], [], [], []
             for n, digest, links in memory.texts(part["text"].to_pylist()):
