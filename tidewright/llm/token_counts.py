@@ -103,20 +103,24 @@ class Rollup:
         self.spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return True
 
-    def totals(self) -> DataFrame:
-        own = sorted(self.batches())
+    def totals(self, of: set[str] | None = None) -> DataFrame:
+        """Sums over the batches committed by now, or over those named."""
+        own = sorted(self.batches() if of is None else of)
         deltas = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in own]) if own else self.spark.createDataFrame([], self.SCHEMA)
         return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, path: str) -> Rollup:
         """A new store with one folder for all batches so far, without groups that are empty.
 
-        Its commits are written last: until then the new store is empty, and compacting again writes it anew.
+        The batches are read once: one that is committed meanwhile is in the old store
+        only and can be sent to the new one.  Commits are written last: until then the new
+        store is empty, and compacting again writes it anew.
         """
-        self.totals().where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{path}/batch=compacted")
-        for batch in self.batches():  # their counts are in the compacted folder
+        so_far = self.batches()
+        self.totals(so_far).where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{path}/batch=compacted")
+        for batch in so_far:  # their counts are in the compacted folder
             self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        self.spark.createDataFrame([("compacted",), *((b,) for b in self.batches())], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits")
+        self.spark.createDataFrame([("compacted",), *((b,) for b in sorted(so_far))], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits")
         return Rollup(self.spark, path)
 
 
