@@ -113,14 +113,18 @@ def _free_form(value: str | None, day_first: bool):
         return pd.NaT
 
 
-def parse_dates_leniently(df: DataFrame, column: str, out: str, day_first: bool = True) -> DataFrame:
-    """``out``: the column by the ladder, and by free-form parsing where the ladder fails.
+def parse_dates_leniently(df: DataFrame, column: str, out: str, day_first: bool = True, free_form: bool = True) -> DataFrame:
+    """``out``: the column by the ladder, else by the grammar of ``dates``, else by free-form parsing.
 
-    Only distinct leftovers go through Python; they come back by an equi-join.
-    Blank or unreadable text is NULL.
+    The last only if ``free_form``: distinct leftovers go through Python and come back by
+    an equi-join.  Blank or unreadable text is NULL.
     """
-    ladder = to_datetime(F.col(column), "UK" if day_first else "US")
-    rows = df.withColumn("_ladder", ladder).withColumn("_left", F.when(F.col("_ladder").isNull(), F.nullif(F.trim(F.col(column)), F.lit(""))))
+    from .dates import lenient_datetime
+
+    known = F.coalesce(to_datetime(F.col(column), "UK" if day_first else "US"), lenient_datetime(F.col(column), day_first))
+    if not free_form:
+        return df.withColumn(out, known)
+    rows = df.withColumn("_known", known).withColumn("_left", F.when(F.col("_known").isNull(), F.nullif(F.trim(F.col(column)), F.lit(""))))
     parse = _free_form_day_first if day_first else _free_form_month_first
     found = rows.where(F.col("_left").isNotNull()).select("_left").distinct().withColumn("_found", parse("_left")).where(F.col("_found").isNotNull())
-    return rows.join(found, "_left", "left").withColumn(out, F.coalesce("_ladder", "_found")).drop("_ladder", "_left", "_found")
+    return rows.join(found, "_left", "left").withColumn(out, F.coalesce("_known", "_found")).drop("_known", "_left", "_found")

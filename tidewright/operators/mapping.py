@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..plans.paths import written
 from ..plans.spec import FileTypeSpec
 
 #: Groups of keywords that say what a column is about, English and Thai (fixed values).
@@ -34,7 +35,7 @@ TYPE_BONUS = [("jst", "หมายเลข", True, 0.3), ("shopee", "shopee",
 #: Words for names that identify, and names that name (fixed values).
 IDENTIFIERS, NAMES = ["หมายเลข", "number", "id"], ["ชื่อ", "name"]
 SEMANTIC, STRING, CONTEXT = 0.5, 0.3, 0.2
-LEAST_SCORE, AUTO = 0.2, 70.0
+LEAST_SCORE, AUTO, ALIKE, SURE_TYPE = 0.2, 70.0, 0.6, 80.0
 
 
 def plain_name(c: Column) -> Column:
@@ -132,6 +133,57 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, chunk: int
     return reduce(DataFrame.unionByName, parts).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
 
 
+def _letters(plain: Column) -> Column:
+    """Each letter of a name with its how-manieth it is: as many tokens as letters; an empty name has one token."""
+    n, upto = F.length(plain), lambda i: F.substr(plain, F.lit(1), i)
+    letter = lambda i: F.substr(plain, i, F.lit(1))
+    token = lambda i: F.concat(letter(i), (F.length(upto(i)) - F.length(F.replace(upto(i), letter(i), F.lit("")))).cast("string"))
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), token))
+
+
+def _bag_ratio() -> Column:
+    """The most that ``sequence_ratio`` can be by the letters that two names share; needs ``_la, _lb``."""
+    return 2 * F.size(F.array_intersect("_la", "_lb")) / (F.size("_la") + F.size("_lb"))
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``a, b``: pairs of plain names whose ratio can reach ``least``, out of ``left`` (``a``) and ``right`` (``b``).
+
+    A ratio of t needs t / (2 - t) of a name's letters in the other one, so each name
+    is indexed by its rarest letters only, one more than it can do without; names meet by
+    an equi-join on those, and what they share of all letters and their lengths bound the
+    ratio of the pairs that met.  No pair that reaches ``least`` is left out.
+    """
+    names = left.select(F.col("a").alias("name")).union(right.select(F.col("b").alias("name"))).distinct().withColumn("_l", _letters(F.col("name")))
+    tokens = written(names.select("name", F.explode("_l").alias("token")), "letters")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = tokens.join(often, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("by"))
+    keep = F.size("by") - F.ceil(F.size("by") * (least / (2 - least)) - 1e-9) + 1
+    index = written(rarest.select("name", F.slice("by", F.lit(1), F.least(F.size("by"), F.greatest(keep, F.lit(1)))).alias("by")), "rarest-letters")
+    index = index.select("name", F.explode(F.transform("by", lambda x: x["token"])).alias("token"))
+    a = index.join(left.select(F.col("a").alias("name")).distinct(), "name", "left_semi").toDF("a", "token")
+    b = index.join(right.select(F.col("b").alias("name")).distinct(), "name", "left_semi").toDF("b", "token")
+    met = a.join(b, "token").select("a", "b").distinct().withColumns({"_la": _letters(F.col("a")), "_lb": _letters(F.col("b"))})
+    return met.where(_bag_ratio() >= least - 1e-9).select("a", "b")
+
+
+def spelling_candidates(sources: DataFrame, targets: DataFrame, above: float) -> DataFrame:
+    """``source_column, target_column`` whose ``string_similarity`` can be above ``above``: names that share a word, and those alike enough without one."""
+    own = sources.select("source_column", plain_name(F.col("source_column")).alias("a")).distinct()
+    other = targets.select("target_column", plain_name(F.col("target_column")).alias("b")).distinct()
+    words = lambda c: F.explode(F.filter(F.split(c, " "), lambda w: w != ""))
+    shared = own.select("a", words(F.col("a")).alias("word")).distinct().join(other.select("b", words(F.col("b")).alias("word")).distinct(), "word").select("a", "b").distinct()
+    shared = shared.withColumns({"_la": _letters(F.col("a")), "_lb": _letters(F.col("b"))}).where(0.7 * _bag_ratio() + 0.3 * name_jaccard(F.col("a"), F.col("b")) > above - 1e-9).select("a", "b")
+    pairs = shared if above >= 0.7 else shared.union(alike_pairs(own, other, above / 0.7))
+    return pairs.distinct().join(own, "a").join(other, "b").select("source_column", "target_column")
+
+
+def _group_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pairs of names that hit one keyword group."""
+    groups = lambda c: F.explode(F.array_compact(F.array(*[F.when(_has(F.col(c), words), F.lit(g)) for g, words in KEYWORDS.items()])))
+    return sources.select("source_column", groups("source_column").alias("group")).join(targets.select("target_column", groups("target_column").alias("group")), "group").select("source_column", "target_column").distinct()
+
+
 def score_pairs(pairs: DataFrame, file_type: str = "", vectors: DataFrame | None = None, renormalize: bool = False) -> DataFrame:
     """Scores for rows with ``source_column, target_column``; each distinct pair is scored once.
 
@@ -161,9 +213,17 @@ def suggest_mappings(sources: DataFrame, targets: DataFrame, file_type: str = ""
     """The best ``top`` targets of each source: scores, confidence in percent, reason, rank.
 
     ``sources`` (``source_column``) and ``targets`` (``target_column``) are lists of
-    distinct names, so their product stays small; only names are crossed.
+    names.  Only pairs that can reach the least score are compared: those of one keyword
+    group and those whose spelling can make up for another one.  With ``vectors`` any
+    pair can, so all are; keep such lists short.
     """
-    pairs = sources.select("source_column").distinct().join(targets.select("target_column").distinct(), F.lit(True))
+    own, other = sources.select("source_column").distinct(), targets.select("target_column").distinct()
+    if vectors is not None:
+        pairs = own.join(other, F.lit(True))
+    else:
+        whole = STRING + CONTEXT if renormalize else 1.0
+        bonus = next((x for part, _, _, x in TYPE_BONUS if part in file_type.lower()), 0.0)
+        pairs = spelling_candidates(own, other, (LEAST_SCORE - CONTEXT / whole * bonus) / (STRING / whole)).unionByName(_group_pairs(own, other)).distinct()
     scored = score_pairs(pairs, file_type, vectors, renormalize).where(F.col("score") > LEAST_SCORE)
     order = W.partitionBy("source_column").orderBy(F.desc("confidence"), "target_column")
     return scored.withColumn("confidence", F.round(F.col("score") * 100, 1)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("source_column", "target_column", "confidence", "semantic_score", "string_score", "context_score", reason().alias("reasoning"), "rank")
@@ -186,9 +246,9 @@ def suggest_file_type(columns: DataFrame, specs: DataFrame, top: int = 3) -> Dat
     """
     own, known = columns.select("column").distinct(), specs.select("file_type", "source").distinct()
     direct = known.join(own, F.col("source") == F.col("column")).select("file_type", "column").withColumn("hit", F.lit(1))
-    rest = own.join(known.select("file_type").distinct(), F.lit(True)).join(direct, ["file_type", "column"], "left_anti").join(known, "file_type")
-    alike = rest.select("column", "source").distinct().where(string_similarity(F.col("column"), F.col("source")) > 0.6)
-    near = rest.join(alike, ["column", "source"], "left_semi").select("file_type", "column").distinct().withColumn("hit", F.lit(1))
+    near = spelling_candidates(own.toDF("source_column"), known.select(F.col("source").alias("target_column")), ALIKE).toDF("column", "source")
+    near = near.where(string_similarity(F.col("column"), F.col("source")) > ALIKE)
+    near = near.join(known, "source").select("file_type", "column").distinct().join(direct, ["file_type", "column"], "left_anti").withColumn("hit", F.lit(1))
     hits = direct.distinct().unionByName(near).groupBy("file_type").agg(F.sum("hit").alias("hits"))
     sizes = known.groupBy("file_type").agg(F.count(F.lit(1)).alias("n_source"))
     n = own.agg(F.count(F.lit(1)).alias("n_own"))
@@ -207,17 +267,36 @@ def rename_existing(columns: DataFrame, specs: DataFrame, file_type: str, least:
     return exact.select("column", F.col("target").alias("new_name"), F.lit("exact").alias("how")).unionByName(near.select("column", F.col("target").alias("new_name"), F.when(F.col("target").isNull(), "unmapped").otherwise("suggested").alias("how")))
 
 
-def auto_rename(df: DataFrame, specs: DataFrame, file_type: str | None = None, least: float = AUTO, renormalize: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The table with new names, and the plan; an unknown type is suggested from the columns (above 80).
+def rename_plan(columns: DataFrame, specs: DataFrame, file_type: str | None = None, least: float = AUTO, renormalize: bool = False, review: int = 3) -> DataFrame:
+    """``column, new_name, how, suggestions`` for one file's ``column`` names.
 
-    The plan has one row per column, so it is read by the driver.
+    A type that the specs have, or else the one whose sources fit best (above
+    SURE_TYPE), renames by its mapping (``rename_existing``).  Without such a type every
+    target of every type is a candidate: the best one at or above ``least`` is taken
+    (``suggested``), columns with weaker ones are for review (``review``, the best
+    ``review`` of them in ``suggestions``), the others are ``unmapped``.
     """
-    spark = df.sparkSession
-    columns = spark.createDataFrame([(c,) for c in df.columns], "column string")
-    if file_type is None:
-        best = suggest_file_type(columns, specs, 1).where("confidence > 80").first()
-        file_type = best["file_type"] if best else ""
-    plan = rename_existing(columns, specs, file_type, least, renormalize)
+    known = file_type is not None and not specs.where(F.col("file_type") == file_type).isEmpty()
+    if not known:
+        best = suggest_file_type(columns, specs, 1).where(F.col("confidence") > SURE_TYPE).first()
+        if best is not None:
+            known, file_type = True, best["file_type"]
+    nothing = F.array().cast("array<struct<target:string,confidence:double>>")
+    if known:
+        return rename_existing(columns, specs, file_type, least, renormalize).withColumn("suggestions", nothing)
+    own = columns.select("column").distinct()
+    found = suggest_mappings(own.toDF("source_column"), specs.select(F.col("target").alias("target_column")), file_type or "", review, None, renormalize)
+    per = found.groupBy(F.col("source_column").alias("column")).agg(F.sort_array(F.collect_list(F.struct("rank", "target_column", "confidence"))).alias("_found"))
+    first = F.get("_found", F.lit(0))
+    how = F.when(F.col("_found").isNull(), "unmapped").when(first["confidence"] >= least, "suggested").otherwise("review")
+    shown = F.when(how == "review", F.transform("_found", lambda x: F.struct(x["target_column"].alias("target"), x["confidence"].alias("confidence")))).otherwise(nothing)
+    return own.join(per, "column", "left").select("column", F.when(how == "suggested", first["target_column"]).alias("new_name"), how.alias("how"), shown.alias("suggestions"))
+
+
+def auto_rename(df: DataFrame, specs: DataFrame, file_type: str | None = None, least: float = AUTO, renormalize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The table with new names, and the plan (``rename_plan``), which has one row per column and is read by the driver."""
+    columns = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    plan = rename_plan(columns, specs, file_type, least, renormalize)
     return df.withColumnsRenamed({r["column"]: r["new_name"] for r in plan.where("new_name is not null").collect()}), plan
 
 

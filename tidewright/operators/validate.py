@@ -18,6 +18,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions.clean import FALSE_VALUES, TRUE_VALUES, clean_date, clean_numeric, flag_text
 from ..functions.convert import LADDERS, parse_style, to_datetime, to_float, to_int
+from ..functions.dates import date_order, lenient_datetime
+from ..plans.paths import written
 from ..plans.spec import FileTypeSpec
 
 #: Shares of bad cells, in percent: above the first an issue, above the second a warning (fixed values).
@@ -75,6 +77,11 @@ def dates(c: str, date_format: str = "UK") -> Check:
     return Check("date_validation", c, F.nullif(cleaned, F.lit("")).isNotNull() & to_datetime(_of(c), date_format).isNull())
 
 
+def lenient_dates(c: str, day_first: Column | bool = True) -> Check:
+    """Cells with text that no shape of a date reads."""
+    return Check("date_validation", c, F.nullif(F.trim(_of(c)), F.lit("")).isNotNull() & F.coalesce(to_datetime(_of(c)), lenient_datetime(_of(c), day_first)).isNull())
+
+
 def date_range(c: str, least: str | None = None, most: str | None = None, date_format: str = "UK") -> Check:
     """Cells of the primary style outside the bounds (ISO dates)."""
     d = parse_style(clean_date(_of(c)), LADDERS[date_format][0])
@@ -285,6 +292,21 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("_row_num", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
+def numbered_by_scan(scan: DataFrame, file: Column | str = "_metadata.file_path", start: Column | str = "_metadata.file_block_start", in_file: bool = True) -> DataFrame:
+    """``_row_num`` from 1 in the order of the files' rows, while they are scanned: no row is shuffled.
+
+    ``scan`` reads files and nothing else; ``in_file`` numbers each file by itself, else
+    one after another by path.  A first pass counts the rows of each range of a file
+    (only the columns needed for that are read), the counts before a range are a prefix
+    sum over one row a range, and within a range rows come in order.
+    """
+    marked = scan.withColumns({"_file": F.col(file) if isinstance(file, str) else file, "_start": F.col(start) if isinstance(start, str) else start, "_id": F.monotonically_increasing_id()})
+    per = marked.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    order = W.partitionBy("_file").orderBy("_start") if in_file else W.orderBy("_file", "_start")
+    offsets = written(per, "row-counts").select("_file", "_start", (F.sum("_n").over(order) - F.col("_n") - F.col("_first") + 1).alias("_shift"))
+    return marked.join(F.broadcast(offsets), ["_file", "_start"]).withColumn("_row_num", F.col("_id") + F.col("_shift")).drop("_file", "_start", "_id", "_shift")
+
+
 def detail(df: DataFrame, checks: Sequence[Check], row: str, values: int = 5, rows: int = 10) -> DataFrame:
     """Per check: bad cells, percentage, the first distinct bad values, the first bad rows as a sheet numbers them (header is 1)."""
     found = issues(df, checks)
@@ -295,6 +317,19 @@ def detail(df: DataFrame, checks: Sequence[Check], row: str, values: int = 5, ro
     return shown.join(lines, ["validation_type", "column"], "left").withColumn("sheet_rows", F.coalesce("sheet_rows", F.array().cast("array<long>")))
 
 
+def date_detail(df: DataFrame, columns: Sequence[str], row: str, date_format: str = "UK", values: int = 5, rows: int = 10) -> DataFrame:
+    """``detail`` of free-form dates with ``date_format_used``, the order of day and month that each column's values show."""
+    order = date_order(df, columns, date_format)
+    return detail(df, [lenient_dates(c) for c in columns], row, values, rows).join(F.broadcast(order.select("column", "date_format_used")), "column")  # one row for each column
+
+
+def single_kind_dates(df: DataFrame, columns: Sequence[str], date_format: str = "UK") -> DataFrame:
+    """``single_kind`` of date columns with ``date_format_used``: the order that most of them show, the declared one if as many show either."""
+    order = date_order(df, columns, date_format).agg(F.count_if(F.col("date_format_used") == "UK").alias("uk"), F.count_if(F.col("date_format_used") == "US").alias("us"))
+    used = F.when(F.col("uk") > F.col("us"), "UK").when(F.col("uk") < F.col("us"), "US").otherwise(date_format)
+    return single_kind(df, [lenient_dates(c) for c in columns]).join(order.select(used.alias("date_format_used")), F.lit(True))  # one row each
+
+
 def date_debug(df: DataFrame, c: str, n: int = 5) -> DataFrame:
     """The first bad cells by value with the cleaned text and what each style of the day-first ladder makes of it."""
     cleaned = clean_date(_of(c))

@@ -6,14 +6,15 @@ Spark and DuckDB evaluate alike.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean, convert
 from .operators import folder, load, mapping, names, report, schema, steps, validate
-from .plans.paths import shared_path
+from .plans.paths import shared_path, written
 from .plans.spec import FileTypeSpec, spec_rows
-from .sources.files import cp874_pairs
+from .sources.files import cp874_pairs, peek_headers, workbook_bytes, workbook_cells
 from .streaming.ingest import auto_ingest
 
 TEXT = "cast({} as string)"
@@ -162,11 +163,23 @@ def to_date_uk_strict(spark, sf_dir):
     return staged(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", convert.to_date(F.col("ship_date"), "UK", strict=True).alias("ship_date"))
 
 
-@query()
+_SPELLED = {0: ("d MMMM yyyy", "%-d %B %Y"), 1: ("d/M/yyyy", "%-d/%-m/%Y"), 2: ("EEE, MMM d yyyy", "%a, %b %-d %Y"), 3: ("yyyyMMdd", "%Y%m%d"), 4: ("yyyy MMM dd HH:mm", "%Y %b %d %H:%M"), 5: ("dd-MMM-yy", "%d-%b-%y")}
+
+
+def _free_dates(spark, sf_dir):
+    """Order dates in six spellings, and some that are none."""
+    key = F.col("o_orderkey")
+    spelled = F.coalesce(*[F.when(key % 6 == k, F.date_format("o_orderdate", pattern)) for k, (pattern, _) in _SPELLED.items()])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(key % 40 == 7, "99 Juny 1995").when(key % 40 == 9, " ").otherwise(spelled).alias("raw"))
+
+
+_FREE_SQL = f"select o_orderkey, case when o_orderkey % 40 = 7 then '99 Juny 1995' when o_orderkey % 40 = 9 then ' ' else case o_orderkey % 6 {' '.join(f'when {k} then strftime(o_orderdate, {f!r})' for k, (_, f) in _SPELLED.items())} end end as raw, case when o_orderkey % 40 not in (7, 9) then o_orderdate::date::timestamp end as parsed from orders"
+
+
+@query(_FREE_SQL)
 def date_lenient(spark, sf_dir):
-    """Free-form month names beside ladder styles; Python sees distinct leftovers only."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "d/M/yyyy")).alias("raw"))
-    return convert.parse_dates_leniently(rows, "raw", "parsed").select("o_orderkey", "raw", "parsed")
+    """Free-form spellings beside ladder styles, all by column expressions."""
+    return convert.parse_dates_leniently(_free_dates(spark, sf_dir), "raw", "parsed", free_form=False)
 
 
 # -- validation --------------------------------------------------------------------
@@ -311,7 +324,39 @@ def date_detail(spark, sf_dir):
     return validate.detail(rows, [validate.dates("ship_date")], "_row_num")
 
 
-@query()
+_BAD_FREE = f"select row_number() over (order by o_orderkey) as n, raw, raw <> ' ' and parsed is null as bad from ({_FREE_SQL})"
+_SHOWN_ORDER = "case when count(*) filter (where k = 1 and d > 12) > 0 then 'UK' else 'US' end as date_format_used from (select o_orderkey % 6 as k, day(o_orderdate) as d from orders where o_orderkey % 40 not in (7, 9))"
+
+
+@query(f"""select 'date_validation' as validation_type, 'raw' as "column", total, error_count, percentage, {_SEVERITY.replace(' as severity', '')} as severity, examples, sheet_rows, date_format_used from (
+  select count(*)::bigint as total, (count(*) filter (where bad))::bigint as error_count, round((count(*) filter (where bad))::double / count(*) * 100, 2) as percentage,
+    coalesce(list(distinct raw) filter (where bad), []) as examples, coalesce(list_slice(list(n + 1 order by n) filter (where bad), 1, 10), []) as sheet_rows from ({_BAD_FREE})), (select {_SHOWN_ORDER})""")
+def date_detail_lenient(spark, sf_dir):
+    """Free-form dates; declared as month first, but the column's own values say otherwise."""
+    rows = validate.numbered(_free_dates(spark, sf_dir), "o_orderkey")
+    return validate.date_detail(rows, ["raw"], "_row_num", "US")
+
+
+@query(f"select validation_type, 1::bigint as columns_checked, (case when bad > 0 then 1 else 0 end)::bigint as columns_with_issues, bad = 0 as is_valid, date_format_used from (select 'date_validation' as validation_type, count(*) filter (where bad) as bad from ({_BAD_FREE})), (select {_SHOWN_ORDER})")
+def single_kind_dates(spark, sf_dir):
+    return validate.single_kind_dates(_free_dates(spark, sf_dir), ["raw"], "US")
+
+
+def _scanned_sql(c: str, n: int = 5, rows: int = 10) -> str:
+    return _detail_sql(c, n, rows).replace("row_number() over (order by l_orderkey, l_linenumber)", "row_number() over ()")
+
+
+@query(_scanned_sql("quantity"))
+def numeric_detail_scanned(spark, sf_dir):
+    """Rows numbered as the file has them, while it is scanned."""
+    rows = validate.numbered_by_scan(table(spark, sf_dir, "lineitem"), in_file=False)
+    return validate.detail(rows.selectExpr("_row_num", f"{DIRTY['lineitem']['quantity']} as quantity"), [validate.numeric("quantity")], "_row_num")
+
+
+_STYLE_SQL = {103: "%d/%m/%Y", 104: "%d.%m.%Y", 105: "%d-%m-%Y", 5: "%d-%m-%y", 3: "%d/%m/%y", 4: "%d.%m.%y", 121: "%Y-%m-%d", 101: "%m/%d/%Y"}
+
+
+@query(f"select ship_date as raw, nullif(trim(translate(ship_date, ',', ' ')), '-') as cleaned, {', '.join(f'try_strptime(trim(ship_date), {f!r}) as style_{k}' for k, f in _STYLE_SQL.items())} from ({staged_sql('lineitem')}) where {_BAD['ship_date'][2]} order by raw limit 5")
 def date_debug(spark, sf_dir):
     return validate.date_debug(staged(spark, sf_dir, "lineitem"), "ship_date")
 
@@ -380,6 +425,42 @@ def upsert_delete_only(spark, sf_dir):
 def replay_latest_wins(spark, sf_dir):
     return _shown(load.newest_file_wins(_order_files(spark, sf_dir), valid=F.col("mtime") != 3))
 
+@query(f"with f as (select *, {_HASH} as _upsert_hash from ({_FILES})) select * from f where {_OLD} and _upsert_hash not in (select _upsert_hash from f where {_NEW}) union all select * from f where {_NEW}")
+def upsert_in_buckets(spark, sf_dir):
+    """The upsert on a table in buckets by key hash: only buckets that a staged hash falls into are read and written."""
+    rows, target = _order_files(spark, sf_dir), load.VersionedTable(spark, shared_path(spark, "buckets"), buckets=16)
+    target.upsert(rows.where(_OLD))
+    target.upsert(rows.where(_NEW))
+    return _shown(target.read())
+
+
+_HOT = f"select * exclude (o_orderkey), case when o_orderkey % 3 = 0 then 0 else o_orderkey end as o_orderkey from ({_FILES})"
+
+
+@query(f"with f as (select *, {_HASH} as _upsert_hash from ({_HOT})) select * from f qualify mtime = max(mtime) over (partition by _upsert_hash)")
+def replay_hot_key(spark, sf_dir):
+    """A third of all rows has one key; its rows stay where they were read."""
+    rows = _order_files(spark, sf_dir)
+    rows = rows.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_orderkey"))).withColumn("_upsert_hash", load.key_hash(["o_orderkey"]))
+    return _shown(load.newest_file_wins(rows))
+
+
+_LATER = "o_orderkey % 3 = 0 or o_orderkey % 6 = 1"
+
+
+@query(f"""select cast(o_orderkey as int) as o_orderkey, cast(o_custkey as double) as o_custkey, case when {_LATER} then concat(o_orderstatus, '2') else o_orderstatus end as status,
+  case when {_LATER} then cast(o_orderdate as date) end as order_date, case when {_LATER} then o_totalprice end as total from orders""")
+def evolve_orders(spark, sf_dir):
+    """An upsert whose type gains two columns and a wider number: all earlier rows stay, with NULL where they have no value."""
+    target = load.VersionedTable(spark, shared_path(spark, "evolve"), buckets=8)
+    rows = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as int) as o_orderkey", "cast(o_custkey as int) as o_custkey", "o_orderstatus as status", "cast(o_orderdate as date) as order_date", "o_totalprice as total").withColumn("_upsert_hash", load.key_hash(["o_orderkey"]))
+    narrow = FileTypeSpec("orders", {c: c for c in ("o_orderkey", "o_custkey", "status")}, {"o_orderkey": "INT", "o_custkey": "INT"}, strategy="upsert", keys=("o_orderkey",))
+    wide = FileTypeSpec("orders", {c: c for c in ("o_orderkey", "o_custkey", "status", "order_date", "total")}, {"o_orderkey": "INT", "o_custkey": "FLOAT", "order_date": "DATE", "total": "FLOAT"}, strategy="upsert", keys=("o_orderkey",))
+    folder.load_declared(target, rows.where("o_orderkey % 3 <> 0").select("o_orderkey", "o_custkey", "status", "_upsert_hash"), narrow, "1")
+    later = rows.where(_LATER).withColumns({"status": F.concat("status", F.lit("2")), "o_custkey": F.col("o_custkey").cast("double")})
+    folder.load_declared(target, later, wide, "2")
+    return target.read().drop("_upsert_hash")
+
 
 @query(f"select * from ({_FILES}) where mtime = 2")
 def replace_load(spark, sf_dir):
@@ -475,6 +556,86 @@ def load_folder_report(spark, sf_dir):
     return _folder_load(spark, sf_dir)[1].groupBy("status", "problem").agg(F.sum("rows").alias("rows"))
 
 
+def _guarded_load(spark, sf_dir):
+    """Orders as files in two batches; some files lack keys, the second batch has a type with one more column."""
+    base = shared_path(spark, "guarded")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_orderstatus").alias("Status"), F.col("o_orderpriority").alias("Priority"))
+    own = lambda k: rows.where(F.col("Order Key") % 4 == k)
+    files = {
+        "first": own(0).drop("Priority"),
+        "keyless": own(1).drop("Priority").withColumn("Order Key", F.lit("NULL")),
+        "second": own(2).unionByName(own(0).where(F.col("Order Key") % 8 == 0)),
+        "keyless2": own(3).withColumn("Order Key", F.lit("")),
+    }
+    for name, df in files.items():
+        df.write.option("header", True).csv(f"{base}/{name}")
+    target = load.VersionedTable(spark, f"{base}/table", buckets=8)
+    names = {"Order Key": "o_orderkey", "Status": "status", "Priority": "priority"}
+    reports = []
+    for batch, own_names, paths in (("1", ("Order Key", "Status"), ("first", "keyless")), ("2", tuple(names), ("second", "keyless2"))):
+        spec = FileTypeSpec("orders", {n: names[n] for n in own_names}, {"o_orderkey": "INT"}, strategy="upsert", keys=("o_orderkey",))
+        reports.append(folder.load_files(spark, [f"{base}/{n}" for n in paths], [spec], {"orders": target}, batch, "2024-01-01 00:00:00"))
+    return target, reports[0].unionByName(reports[1])
+
+
+@query("select cast(o_orderkey as int) as o_orderkey, o_orderstatus as status, case when o_orderkey % 4 = 2 or o_orderkey % 8 = 0 then o_orderpriority end as priority, case when o_orderkey % 4 = 2 or o_orderkey % 8 = 0 then '2' else '1' end as batch from orders where o_orderkey % 4 in (0, 2)")
+def load_guarded(spark, sf_dir):
+    """Files with rows without a key are left out; the table gains a column and keeps its rows."""
+    return _guarded_load(spark, sf_dir)[0].read().select("o_orderkey", "status", "priority", F.col("_batch_id").alias("batch"))
+
+
+@query("""select status, kind, sum(n)::bigint as rows, sum(case when kind = 'null_keys' then n end)::bigint as null_keys from (
+  select case when o_orderkey % 2 = 0 then 'success' else 'failed' end as status, case when o_orderkey % 2 = 1 then 'null_keys' end as kind, case when o_orderkey % 8 = 0 then 2 else 1 end as n from orders) group by 1, 2""")
+def load_guarded_report(spark, sf_dir):
+    """What became of the files, and how many rows had no key."""
+    report_ = _guarded_load(spark, sf_dir)[1].withColumns({"kind": F.split_part("problem", F.lit(":"), F.lit(1)), "null_keys": F.when(F.startswith("problem", F.lit("null_keys:")), F.split_part("problem", F.lit(":"), F.lit(2)).cast("long"))})
+    return report_.groupBy("status", "kind").agg(F.sum("rows").alias("rows"), F.sum("null_keys").alias("null_keys"))
+
+
+def _books(spark, sf_dir):
+    """Customers as workbooks of fifty; of five books one is cut short and one names a shared string that isn't there."""
+
+    def build(key, part):
+        number = int(key[0])
+        rows = [["Key", "Name", "Segment"], *part.sort_values("c_custkey")[["c_custkey", "c_name", "c_mktsegment"]].itertuples(index=False)]
+        content = workbook_bytes([[str(x) for x in r] for r in rows], broken_string=number % 5 == 3)
+        return pd.DataFrame({"path": [f"/drop/book_{number}.xlsx"], "content": [content[: len(content) // 2] if number % 5 == 4 else content]})
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.floor(F.col("c_custkey") / 50).alias("book"))
+    return workbook_cells(rows.groupBy("book").applyInPandas(build, "path string, content binary"), 1)
+
+
+@query("select concat('book_', c_custkey // 50, '.xlsx') as _source_file, c_custkey::varchar as key, c_name as name, c_mktsegment as segment from customer where (c_custkey // 50) % 5 < 3")
+def read_workbooks(spark, sf_dir):
+    """Rows of the workbooks that don't break off."""
+    cells = written(_books(spark, sf_dir), "books")
+    broken = cells.where("_read_error is not null").select("path")
+    return cells.join(broken, "path", "left_anti").select("_source_file", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("key", "name", "segment"))])
+
+
+@query("select concat('book_', c_custkey // 50, '.xlsx') as _source_file, case (c_custkey // 50) % 5 when 3 then 'IndexError' when 4 then 'BadZipFile' end as error, case when (c_custkey // 50) % 5 = 4 then 0 else count(*) end::bigint as rows from customer group by 1, 2, (c_custkey // 50) % 5")
+def workbook_report(spark, sf_dir):
+    """Rows that each workbook gave and the error at which it broke off."""
+    cells = _books(spark, sf_dir)
+    return cells.groupBy("_source_file").agg(F.split_part(F.max("_read_error"), F.lit(":"), F.lit(1)).alias("error"), F.count_if(F.col("_read_error").isNull()).alias("rows"))
+
+
+_WORDS = {0: ("utf-8", "é"), 1: ("cp874", "ไทย"), 2: ("latin1", "þÿ")}
+
+
+@query("select case o_orderkey % 3 when 0 then 'utf-8' when 1 then 'cp874' else 'latin1' end as encoding, 0 as header_row, position, cell from (select distinct o_orderkey % 3 as o_orderkey from orders), (values (0, 'Order Key'), (1, 'Word'), (2, 'Status')) t(position, cell)")
+def file_encodings(spark, sf_dir):
+    """Orders as files in three encodings: what the ranges of each file can be read as, and its header."""
+    base = shared_path(spark, "encodings")
+    single, wide = cp874_pairs()
+    for k, (encoding, word) in _WORDS.items():
+        shown = F.translate(F.lit(word), wide, single) if encoding == "cp874" else F.lit(word)
+        rows = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == k).select(F.col("o_orderkey").alias("Order Key"), shown.alias("Word"), F.col("o_orderstatus").alias("Status"))
+        rows.write.option("header", True).option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1").csv(f"{base}/{k}")
+    heads = peek_headers(spark, [f"{base}/{k}" for k in _WORDS], 1)
+    return heads.select("encoding", "header_row", "position", "cell").distinct()
+
+
 # -- schema, names, detection ------------------------------------------------------
 
 
@@ -648,6 +809,14 @@ def rename_existing(spark, sf_dir):
     return mapping.rename_existing(own.unionByName(other).toDF("column"), _part_specs(spark, sf_dir), first, 40, renormalize=True)
 
 
+@query()
+def rename_review(spark, sf_dir):
+    """Kinds of part spelled otherwise, as columns of a type that nobody declared: taken, for review with the best three, or unmapped."""
+    columns = table(spark, sf_dir, "part").select(F.concat(F.substring_index("p_type", " ", 2), F.lit(" col")).alias("column")).unionByName(table(spark, sf_dir, "part").select(F.col("p_brand").alias("column"))).distinct()
+    specs = _part_specs(spark, sf_dir).withColumn("file_type", F.lit("parts"))
+    return mapping.rename_plan(columns, specs, "new", 60, renormalize=True)
+
+
 @query()
 def drift_report(spark, sf_dir):
     return mapping.drift_report(missing_extra_columns(spark, sf_dir), renormalize=True)

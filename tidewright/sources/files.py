@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -98,6 +99,19 @@ def _sheet_rows(content: bytes, most: int | None) -> Iterator[list[str]]:
                     return
 
 
+def workbook_bytes(rows: Sequence[Sequence[str]], broken_string: bool = False) -> bytes:
+    """A workbook of one sheet of text; with ``broken_string`` a last cell points at a shared string that isn't there."""
+    main = f'xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"'
+    cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    lines = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in rows) + '<row><c t="s"><v>0</v></c></row>' * broken_string
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main}><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{lines}</sheetData></worksheet>")
+    return out.getvalue()
+
+
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each run of lines of a range: what all its lines can be, and the first lines of a file's first range."""
     known: dict[tuple[str, int], list] = {}
