@@ -18,10 +18,16 @@ from .names import detect_file_type, target_names
 from .validate import checks_for, gate, issues
 
 PLAN = "path string, filename string, size_bytes long, mtime timestamp, file_type string, header_row int, problem string, file string, encoding string, header array<string>"
+_PLANNED = Row(*[c.split()[0] for c in PLAN.split(", ")])
 REPORT = "path string, filename string, file_type string, status string, problem string, rows long"
 
 
 def plan_files(spark: SparkSession, paths: str | Sequence[str], specs: Sequence[FileTypeSpec]) -> DataFrame:
+    """``plan`` as a table."""
+    return spark.createDataFrame(plan(spark, paths, specs), PLAN)
+
+
+def plan(spark: SparkSession, paths: str | Sequence[str], specs: Sequence[FileTypeSpec]) -> list[Row]:
     """What each file is, and why it can't be loaded: one row per file, held by the driver.
 
     Problems: ``unsupported`` (no reader for .xls), ``empty``, ``unreadable:<error>``,
@@ -50,24 +56,25 @@ def plan_files(spark: SparkSession, paths: str | Sequence[str], specs: Sequence[
             missing, twice = [t for t in spec.targets if t not in own], [t for t in spec.targets if own.count(t) > 1]
             if missing or twice:
                 problem = f"missing_column:{missing[0]}" if missing else f"duplicate_column:{twice[0]}"
-        rows.append((r["path"], r["filename"], r["size_bytes"], r["mtime"], r["file_type"], r["header_row"], problem, r["file"], r["encoding"], r["header"]))
-    read = {r[1] for r in rows}
+        rows.append(_PLANNED(r["path"], r["filename"], r["size_bytes"], r["mtime"], r["file_type"], r["header_row"], problem, r["file"], r["encoding"], r["header"]))
+    read = {r["filename"] for r in rows}
     for url in found.inputFiles():  # Spark lists files without bytes, but makes no rows of them
         name = unquote(url.rsplit("/", 1)[-1])
         if name.lower().endswith(EXTENSIONS) and name not in read:
-            rows.append((unquote(url), name, 0, None, None, None, "empty", None, None, None))
-    return spark.createDataFrame(rows, PLAN)
+            rows.append(_PLANNED(unquote(url), name, 0, None, None, None, "empty", None, None, None))
+    return rows
 
 
-def read_files(spark: SparkSession, planned: DataFrame, spec: FileTypeSpec, multi_line: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, planned: Sequence[Row], spec: FileTypeSpec, multi_line: bool = False) -> DataFrame:
     """All rows of the planned files of one type as text under its target names, with ``_source_file`` and ``_read_error``.
 
-    ``planned``: rows of ``plan_files``, at least one of this type without a problem.
+    ``planned``: rows of ``plan``, at least one of this type without a problem.
     A file that breaks off while it is read has a row with ``_read_error``.
     """
     kinds: dict[tuple[int, bool], list[Row]] = {}
-    for r in planned.where((F.col("file_type") == spec.name) & F.col("problem").isNull()).collect():  # one row per file
-        kinds.setdefault((r["header_row"], r["path"].lower().endswith(".csv")), []).append(r)
+    for r in planned:
+        if r["file_type"] == spec.name and r["problem"] is None:
+            kinds.setdefault((r["header_row"], r["path"].lower().endswith(".csv")), []).append(r)
     rename = lambda names: target_names(names, spec)
     parts = []
     for (row, is_csv), own in sorted(kinds.items(), key=lambda k: k[0]):
@@ -85,10 +92,8 @@ def load_declared(table: VersionedTable, rows: DataFrame, spec: FileTypeSpec, ba
     columns evolve (see ``evolved``).  Only a replacement or ``force_recreate`` starts it
     anew with the declared columns alone.
     """
-    if batch is not None and table.committed(batch):
-        return table.version()
     if force_recreate or spec.strategy == "replace":
-        return table.replace(rows, batch)
+        return table.version() if batch is not None and table.committed(batch) else table.replace(rows, batch)
     return table.upsert(rows, batch=batch) if spec.strategy == "upsert" and spec.keys else table.append(rows, batch)
 
 
@@ -128,27 +133,27 @@ def load_files(
     that have it as they are.  ``staging``: a folder for the staging tables, by default a
     new one.  File names in one call are distinct.
     """
-    planned = plan_files(spark, paths, specs)
-    report = ["path", "filename", "file_type", "status", "problem", "rows"]
-    out = planned.where("problem is not null").select("path", "filename", "file_type", F.lit("failed").alias("status"), "problem", F.lit(0).cast("long").alias("rows"))
-    ready = {r["file_type"] for r in planned.where("problem is null").select("file_type").distinct().collect()}
+    planned = plan(spark, paths, specs)
+    out = [(r["path"], r["filename"], r["file_type"], "failed", r["problem"], 0) for r in planned if r["problem"] is not None]
     for spec in specs:
-        if spec.name not in ready:
+        own = [r for r in planned if r["file_type"] == spec.name and r["problem"] is None]
+        if not own:
             continue
-        own = planned.where((F.col("file_type") == spec.name) & F.col("problem").isNull()).select("path", "filename", "file_type", "mtime")
         at = F.coalesce(F.lit(loaded_at).cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz"))
-        rows = read_files(spark, planned, spec, multi_line)
+        rows = read_files(spark, own, spec, multi_line)
         rows = rows.withColumns({"_loaded_at": at, "_created_at": at, "_batch_id": F.lit(batch), HASH: key_hash(spec.keys) if spec.keys else F.lit(None).cast("binary")})
         path = shared_path(spark, spec.staging_table) if staging is None else f"{staging}/{spec.staging_table}"
         write_staging(rows, spec.targets, path, [*LINEAGE.names, "_read_error"])
         staged = spark.read.parquet(path)
-        verdicts = spark.createDataFrame([tuple(r) for r in judge_files(staged, spec).collect()], "_source_file string, problem string, n long")  # one row per file
-        good = own.join(verdicts.where("problem is null"), own["filename"] == F.col("_source_file")).select("_source_file", "mtime")
-        if not good.isEmpty():
+        verdicts = {r["_source_file"]: (r["problem"], r["n"]) for r in judge_files(staged, spec).collect()}  # one row per file
+        good = [(r["filename"], r["mtime"]) for r in own if verdicts.get(r["filename"], ("",))[0] is None]
+        if good:
+            good = spark.createDataFrame(good, "_source_file string, mtime timestamp")
             valid = staged.drop("_read_error").join(F.broadcast(good), "_source_file")
             if spec.strategy == "upsert" and spec.keys:
                 valid = newest_file_wins(valid)
             load_declared(tables[spec.name], typed_select(valid, spec), spec, f"{batch}#{spec.name}", force_recreate)
-        own = own.join(verdicts, own["filename"] == F.col("_source_file"), "left").withColumn("problem", F.when(F.col("n").isNull(), "no_rows").otherwise(F.col("problem")))
-        out = out.unionByName(own.select("path", "filename", "file_type", F.when(F.col("problem").isNull(), "success").otherwise("failed").alias("status"), "problem", F.coalesce("n", F.lit(0)).alias("rows")).select(report))
-    return out
+        for r in own:
+            problem, n = verdicts.get(r["filename"], ("no_rows", 0))
+            out.append((r["path"], r["filename"], r["file_type"], "success" if problem is None else "failed", problem, n))
+    return spark.createDataFrame(out, REPORT)

@@ -283,7 +283,7 @@ def high_null_share(spark, sf_dir):
     return validate.high_null_share(rows, ["name", "code", "segment"], validate.issues(rows, [validate.numeric("code")]))
 
 
-@query(f"select *, is_valid and schema_warnings = 0 as overall_valid, is_valid as can_proceed from (select *, round(passed::double / checks * 100, 1) as success_rate, concat(case when is_valid then 'valid' else 'invalid' end, ': ', issues, ' issues, ', warnings, ' warnings') as summary, 3::bigint as schema_warnings from (select *, issues = 0 and total > 0 as is_valid from (select count(*)::bigint as checks, (count(*) filter (where severity = 'ignored'))::bigint as passed, {_GATE} from ({_issues_sql('order_date')}))))")
+@query(f"select *, is_valid and schema_warnings = 0 as overall_valid, is_valid as can_proceed from (select *, round(passed::double / checks * 100, 1) as success_rate, concat(case when is_valid then 'valid' else 'invalid' end, ': ', issues, ' issues, ', warnings, ' warnings') as summary, (select count(*)::bigint from (values ('order_date'), ('flag'), ('total')) d(name) where name not in (select column_name from (describe select * from orders))) as schema_warnings from (select *, issues = 0 and total > 0 as is_valid from (select count(*)::bigint as checks, (count(*) filter (where severity = 'ignored'))::bigint as passed, {_GATE} from ({_issues_sql('order_date')}))))")
 def comprehensive_report(spark, sf_dir):
     """Orders: the staged text is valid, the table lacks all three declared columns."""
     diff = schema.schema_diff(spark, table(spark, sf_dir, "orders").schema, ORDERS.schema(lineage=False))
@@ -639,7 +639,15 @@ def file_encodings(spark, sf_dir):
 # -- schema, names, detection ------------------------------------------------------
 
 
-@query(f"select * from (values ('quantity', 'NVARCHAR(MAX)'), ('l_linenumber', 'INT')) t(\"column\", inferred) join (select 'quantity' as \"column\", count(nullif(trim(quantity), ''))::bigint as non_blank from ({staged_sql('lineitem')}) union all select 'l_linenumber', count(l_linenumber)::bigint from lineitem) using (\"column\")")
+def _inferred_sql(*columns: tuple[str, str]) -> str:
+    """By what share of the values that aren't blank is what, over ``(column, source)``."""
+    parts = [f"select '{c}' as \"column\", nullif(trim(cast({c} as varchar)), '') as v from ({source})" for c, source in columns]
+    n = "count(v)"
+    kind = f"case when {n} = 0 then 'NVARCHAR(MAX)' when count(*) filter (where lower(v) in ('true', 'false')) = {n} or count(*) filter (where regexp_matches(v, '{clean.INTEGER_PATTERN}')) = {n} then 'INT' when count(*) filter (where regexp_matches(v, '{clean.NUMBER_PATTERN}')) = {n} then 'FLOAT' else 'NVARCHAR(MAX)' end"
+    return f"select \"column\", {n}::bigint as non_blank, {kind} as inferred from ({' union all '.join(parts)}) group by 1"
+
+
+@query(_inferred_sql(("quantity", staged_sql("lineitem")), ("l_linenumber", "lineitem")))
 def infer_types(spark, sf_dir):
     return schema.infer_types(staged(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("string")), ["quantity", "l_linenumber"])
 
@@ -728,7 +736,11 @@ def rows_per_file(spark, sf_dir):
     return report.rows_per_file(_order_files(spark, sf_dir), _inventory(spark, sf_dir))
 
 
-@query(f"select distinct concat('/drop/', _source_file) as path, unnest(case _source_file when 'orders_2.csv' then ['empty', 'missing_column:carrier'] else ['undetected'] end) as problem, unnest(case _source_file when 'orders_2.csv' then ['issue', 'issue'] else ['warning'] end) as severity from ({_FILES}) where _source_file in ('orders_2.csv', 'orders_3.csv')")
+_INVENTORY_SQL = f"select _source_file as filename, concat('/drop/', _source_file) as path, case when _source_file <> 'orders_3.csv' then 'orders' end as file_type, case when _source_file = 'orders_2.csv' then 0 else count(*) * 1000 end as size_bytes from ({_FILES}) group by 1"
+
+
+@query(f"""with i as ({_INVENTORY_SQL}) select path, 'empty' as problem, 'issue' as severity from i where size_bytes = 0 union all select path, case when file_type is null then 'undetected' else 'type_mismatch' end, 'warning' from i where file_type is distinct from 'orders'
+  union all select path, concat('missing_column:', wanted), 'issue' from i, (values ('carrier')) w(wanted) where filename = 'orders_2.csv' and wanted not in (select column_name from (describe select * from orders))""")
 def file_precheck(spark, sf_dir):
     found = _inventory(spark, sf_dir)
     missing = found.where("filename = 'orders_2.csv'").select("path", F.lit("carrier").alias("column"), F.lit("missing").alias("problem"))
