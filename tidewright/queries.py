@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean, convert
-from .operators import folder, load, mapping, names, report, schema, steps, validate
+from .operators import folder, load, mapping, names, profile, report, schema, steps, validate
 from .plans.paths import shared_path, written
 from .plans.spec import FileTypeSpec, spec_rows
 from .sources.files import cp874_pairs, peek_headers, workbook_bytes, workbook_cells
@@ -757,6 +757,26 @@ def column_profile(spark, sf_dir):
     return report.column_profile(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_returnflag"], exact=True)
 
 
+def _loads_sql(c: str, number: bool) -> str:
+    least, most = (f"min({c})::double", f"max({c})::double") if number else ("null::double", "null::double")
+    return f"select '{c}' as \"column\", count(*)::bigint as rows, count({c})::bigint as non_null, {least} as least, {most} as most, count(distinct {c})::double / count({c}) < 0.5 as low_cardinality, true as distinct_within, {'true' if number else 'null::boolean'} as median_within from orders"
+
+
+@query(f"{_loads_sql('o_custkey', True)} union all {_loads_sql('o_totalprice', True)} union all {_loads_sql('o_orderstatus', False)}")
+def profile_of_loads(spark, sf_dir):
+    """Five loads of orders leave their states; the table's profile is made of those, and held against all rows."""
+    orders, store = table(spark, sf_dir, "orders"), profile.ProfileStore(spark, shared_path(spark, "profiles"))
+    columns = ["o_custkey", "o_totalprice", "o_orderstatus"]
+    for k in range(5):
+        store.add(str(k), orders.where(F.col("o_orderkey") % 5 == k), columns)
+    found = written(store.profile(), "profile")
+    median = {r["column"]: r["quantiles"][1] for r in found.where("quantiles is not null").collect()}  # one row for each column
+    exact = orders.agg(*[F.count_distinct(c).alias(f"{c}_d") for c in columns], *[(F.count_if(F.col(c) <= v) / F.count(c)).alias(f"{c}_m") for c, v in median.items()])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_d").alias("d"), (F.col(f"{c}_m") if c in median else F.lit(None).cast("double")).alias("m")) for c in columns])))
+    within = lambda a, b, most: F.abs(a - b) <= most
+    return found.join(F.broadcast(exact), "column").select("column", "rows", "non_null", "least", "most", "low_cardinality", within(F.col("distinct_values"), F.col("d"), profile.DISTINCT_ERROR * F.col("d")).alias("distinct_within"), within(F.col("m"), F.lit(0.5), profile.RANK_ERROR).alias("median_within"))
+
+
 # -- mapping -----------------------------------------------------------------------
 
 
