@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import pytest
+
 from tests.llm import brute
-from tidewright.llm.decontaminate import LONGEST, UNITS, contaminated, decontaminate
+from tidewright.llm.decontaminate import UNITS, contaminated, decontaminate
 
 NUMBER = re.compile(r"\d[\d.,:/-]*(?:st|nd|rd|th|[a-z%]{0,3})$", re.IGNORECASE)
 
@@ -30,7 +32,7 @@ def tokens(text):
 
 def windows(t, size=5, least=3):
     for i in range(len(t)):
-        for j in range(i + size, min(len(t), i + LONGEST) + 1):
+        for j in range(i + size, len(t) + 1):
             if sum(x[0][0] == "=" for x in t[i:j]) >= least:
                 yield i, j
                 break
@@ -129,3 +131,19 @@ def test_edges(spark, edge_docs, no_docs):
     assert [r.contaminated for r in got if r.doc_id is None] == [False]
     assert decontaminate(edge_docs, bench).count() == edge_docs.count()
     assert contaminated(no_docs, bench).count() == 0 and contaminated(docs, bench.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1_000_000, 1])
+def test_windows_of_any_length(spark, n):
+    """Thirty numbers, then words, then thirty numbers again, asked with other numbers."""
+    numbers = lambda seed, m=30: " ".join(str((seed + 7 * i) % 9973 + 10) for i in range(m))
+    ask = "{} add them all {} subtract these now {}"
+    items = [(1, ask.format(numbers(1), numbers(500), numbers(900))), (2, "take " + numbers(3, 200) + " and find the mean value of them")]
+    docs = [
+        (1, "here " + ask.format(numbers(11), numbers(1500), numbers(2900)) + " end of it"), (2, "so take " + numbers(7, 200) + " and find the mean value of them"), (3, "so take " + numbers(7, 199) + " and find the mean value of them"),
+        (4, ask.format(numbers(11, 29), numbers(1500, 29), numbers(2900, 29))), (5, numbers(5, 20_000)),
+    ]
+    want = found(docs[:4], items)
+    assert {(1, 1), (2, 2)} <= want
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_hashes=n)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want

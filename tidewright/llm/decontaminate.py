@@ -34,8 +34,6 @@ UNITS = "mm cm m km g kg mg t l ml s ms min h hours hour day days weeks week mon
 #: One-letter words that are no names (fixed values).
 NO_NAMES = ["A", "I"]
 NUMBER, NAME, UNIT = 1, 2, 3
-#: Tokens of the longest window.
-LONGEST = 24
 _EDGES = r"^[^\pL\pN]+|[^\pL\pN]+$"
 _SYMBOL = r"^[-+*/=<>^%×÷]+$"
 _NUMBER = r"(?i)^\d[\d.,:/-]*(?:st|nd|rd|th|[a-z%]{0,3})$"
@@ -95,7 +93,7 @@ def windows(k: np.ndarray, at: np.ndarray, size: int, least: int) -> tuple[np.nd
     end = np.where(nth < len(literal), literal[np.minimum(nth, len(literal) - 1)] + 1, len(k) + 1) if len(literal) else np.full(len(k), len(k) + 1)
     end = np.maximum(end, start + size)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    ok = (end <= at[1:][row]) & (end - start <= LONGEST)
+    ok = end <= at[1:][row]
     return start[ok], end[ok], row[ok]
 
 
@@ -139,27 +137,43 @@ def _items(size: int, least: int):
     return make
 
 
+def _document_windows(part: pa.Table, size: int, least: int, lengths: list[int]):
+    """Hash, first token, end and row of all windows of a slice of documents, whatever their length, and its kinds, values and offsets."""
+    shape, k, value, at = template(part["text"])
+    s, e, row = windows(k, at, size, least)
+    found = [(B.Stretches(shape).hashes(s, e), s, e, row)]
+    values, n = B.Stretches(value), np.diff(at)
+    for length in lengths:
+        if length < 0:
+            rows = np.flatnonzero((n > 0) & (n < size))
+            found.append((_exact(values, at[rows], at[rows + 1], True), at[rows], at[rows], rows))
+        else:
+            x, rows = B.spread(at[:-1], np.maximum(0, n - length + 1))
+            found.append((_exact(values, x, x + length, False), x, x, rows))
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), k, value, at
+
+
+def _hashes(size: int, least: int, lengths: list[int]):
+    """``(doc_id, hash)`` of every window, without values."""
+
+    def make(batches):
+        for part in slices(batches, 2048):
+            h, _, _, row, *_ = _document_windows(part, size, least, lengths)
+            yield pa.record_batch([part["id"].combine_chunks().take(pa.array(row)), pa.array(h.view(np.int64))], names=["doc_id", "hash"])
+
+    return make
+
+
 def _documents(size: int, least: int, wanted, lengths: list[int]):
-    """Rows of FOUND: a document's windows, those of the wanted hashes if they are given."""
+    """Rows of FOUND: a document's windows of the wanted hashes, which are broadcast or, without that, come with the rows."""
 
     def make(batches):
         for part in slices(batches, 2048):
-            shape, k, value, at = template(part["text"])
-            s, e, row = windows(k, at, size, least)
-            found = [(B.Stretches(shape).hashes(s, e), s, e, row)]
-            values, n = B.Stretches(value), np.diff(at)
-            for length in lengths:
-                if length < 0:
-                    rows = np.flatnonzero((n > 0) & (n < size))
-                    found.append((_exact(values, at[rows], at[rows + 1], True), at[rows], at[rows], rows))
-                else:
-                    x, rows = B.spread(at[:-1], np.maximum(0, n - length + 1))
-                    found.append((_exact(values, x, x + length, False), x, x, rows))
-            h, s, e, row = (np.concatenate(x) for x in zip(*found, strict=True))
-            if wanted is not None:
-                names = wanted.value
-                hit = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h if len(names) else np.zeros(len(h), bool)
-                h, s, e, row = h[hit], s[hit], e[hit], row[hit]
+            h, s, e, row, k, value, at = _document_windows(part, size, least, lengths)
+            names = wanted.value if wanted is not None else np.unique(np.asarray(part["wanted"].combine_chunks().flatten()).astype(np.int64)).view(B.U64)
+            names = np.sort(names)
+            hit = names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h if len(names) else np.zeros(len(h), bool)
+            h, s, e, row = h[hit], s[hit], e[hit], row[hit]
             if not len(h):
                 continue
             inside, which = B.spread(s, e - s)
@@ -193,7 +207,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     aligned: the most on one alignment.  An item stands for all items of its template
     and pattern of equal values: item_id is the least of them.  The benchmark's hashes
     filter the documents where they are read if there are at most ``broadcast_hashes``
-    of them (counted; 8 bytes each); beyond that document windows are joined by shuffle.
+    of them (counted; 8 bytes each); beyond that the hashes of document windows meet them
+    by a shuffle first.  Windows have no greatest length: one that begins in a long row
+    of numbers ends at the third literal after it.
 
     Defined cases: null or empty texts match nothing; an item without ``least``
     literals has no template and is found word for word only, an item below ``size``
@@ -212,8 +228,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if distinct.limit(broadcast_hashes + 1).count() <= broadcast_hashes:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.toLocalIterator()], np.int64).view(np.uint64)))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_documents(size, least, wanted, lengths), FOUND)
-    found = cut(found) if wanted is not None else found  # few rows; else the shuffle below reads the documents again
+    if wanted is None:  # documents meet the hashes first, then those that hold some give their windows
+        hits = rows.mapInArrow(_hashes(size, least, lengths), "doc_id long, hash long").distinct().join(distinct, "hash")
+        rows = rows.join(hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("hash").alias("wanted")), "id")
+    found = cut(rows.mapInArrow(_documents(size, least, wanted, lengths), FOUND))
     held = items.groupBy("hash").agg(F.countDistinct("item").alias("held"))
     order = W.partitionBy("item").orderBy("held", "hash", "pos")
     needed = F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(similarity) - 1e-9) + 1
