@@ -154,8 +154,8 @@ def test_numbers_across_partitions(spark):
 
 def test_nearest_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 0.1])], "id long, vector array<double>")
-    for chunk in (1, 100):
-        got = mapping.nearest_vectors(rows.where("id in (0, 3)"), rows, 2, chunk).orderBy("query_id", F.desc("score"), "id").collect()
+    for chunk, few in ((1, 0), (100, 0), (1, 10)):
+        got = mapping.nearest_vectors(rows.where("id in (0, 3)"), rows, 2, chunk, few=few).orderBy("query_id", F.desc("score"), "id").collect()
         assert [(r.query_id, r.id) for r in got] == [(0, 1), (0, 5), (3, 0), (3, 1)] and got[2].score == 0.0
     assert mapping.nearest_vectors(rows.where("false"), rows).count() == 0
 

@@ -92,45 +92,158 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), dot(a, b) / F.nullif(norm, F.lit(0.0))), F.lit(0.0))
 
 
-def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, chunk: int = 20_000) -> DataFrame:
+#: Width of a ring of vectors around a pivot, in radians.
+RING = 0.05
+
+
+def _unit_rows(rows: DataFrame) -> DataFrame:
+    """``id, unit, width``: vectors of length one; NULL and width 0 for a row without a vector or with a zero one."""
+    v = F.transform("vector", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    known = rows.select("id", v.alias("v"), norm.alias("norm")).select("id", F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).alias("unit"))
+    return known.withColumn("width", F.when(F.col("unit").isNull(), 0).otherwise(F.size("unit")))
+
+
+def _placed_by(pivots: dict[int, np.ndarray], ring: float = RING):
+    """Adds each vector's nearest pivot and its ring around it, with the angle."""
+
+    def place(batches):
+        for batch in batches:
+            cell, angle = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for width, part in batch.groupby("width"):
+                score = np.clip(np.stack(list(part["unit"])) @ pivots[width].T, -1.0, 1.0)
+                at = batch.index.get_indexer(part.index)
+                cell[at], angle[at] = score.argmax(1), np.arccos(score.max(1))
+            yield batch.assign(cell=cell, ring=np.floor(angle / ring).astype(np.int32), angle=angle)
+
+    return place
+
+
+def _rings_for(pivots: dict[int, np.ndarray], rings: dict[int, list[tuple[int, int, float, float]]]):
+    """For each query the rings, other than its own, that can hold a vector of at least its ``least`` score.
+
+    The angle of two vectors is at least the difference of their angles to a pivot.
+    """
+
+    def choose(batches):
+        for batch in batches:
+            found = []
+            for width, part in batch.groupby("width"):
+                to_pivot = np.arccos(np.clip(np.stack(list(part["unit"])) @ pivots[width].T, -1.0, 1.0))
+                cell, ring, lo, hi = (np.array(x) for x in zip(*rings[width], strict=True))
+                gap = np.maximum(0.0, np.maximum(to_pivot[:, cell] - hi, lo - to_pivot[:, cell]) - 1e-6)
+                can = np.maximum(0.0, np.cos(np.minimum(gap, np.pi))) >= part["least"].to_numpy()[:, None] - 1e-6
+                can &= ~((cell == part["cell"].to_numpy()[:, None]) & (ring == part["ring"].to_numpy()[:, None]))
+                q, r = np.nonzero(can)
+                found.append(part.iloc[q][["id", "unit", "width"]].assign(cell=cell[r], ring=ring[r]))
+            if found:
+                yield pd.concat(found)
+
+    return choose
+
+
+def _best_of(score: np.ndarray, own: np.ndarray, other: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k columns of each row, ties by id, a row's own id left out."""
+    score = np.round(np.maximum(0.0, score), 6)
+    score[own[:, None] == other[None, :]] = -1.0
+    order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
+    rank = np.take_along_axis(score, order, axis=1)
+    keep = rank >= 0
+    return pd.DataFrame({"query_id": np.repeat(own, order.shape[1])[keep.ravel()], "id": other[order][keep], "score": rank[keep]})
+
+
+def _few_queries(queries: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score``: the best k of each batch of rows for each of a few queries, which are broadcast; one scan."""
+    asked = {int(w): (p.index.to_numpy(), np.stack(list(p["unit"]))) for w, p in queries.groupby("width") if w}
+    shared = rows.sparkSession.sparkContext.broadcast((queries["id"].to_numpy(), asked))
+
+    def best(batches):
+        own, asked = shared.value
+        for batch in batches:
+            if len(batch) and len(own):
+                score = np.zeros((len(own), len(batch)))
+                for width, part in batch.groupby("width"):
+                    if width in asked:
+                        at, vectors = asked[width]
+                        score[np.ix_(at, batch.index.get_indexer(part.index))] = vectors @ np.stack(list(part["unit"])).T
+                yield _best_of(score, own, batch["id"].to_numpy(), k)
+
+    return rows.mapInPandas(best, "query_id long, id long, score double")
+
+
+def _met(queries: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, chunk: int) -> DataFrame:
+    """``query_id, id, score``: of each block of rows the best k for each query that meets its ring.
+
+    Blocks of rows (``salt``) and of at most about ``chunk`` queries (``part``) meet by a
+    shuffle; a task holds one of each.
+    """
+    ring = ["width", "cell", "ring"]
+    asked = queries.groupBy(*ring).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    plan = F.broadcast(written(asked.join(sizes.select(*ring, "salts"), ring), "vector-blocks"))  # one row for each ring
+    q = queries.join(plan, ring).select("id", "unit", *ring, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    r = rows.join(plan.drop("salts"), ring).select("id", "unit", *ring, "salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    key = [*ring, "salt", "part"]
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+        return _best_of(np.stack(list(left["unit"])) @ np.stack(list(right["unit"])).T, left["id"].to_numpy(), right["id"].to_numpy(), k)
+
+    return q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(best, "query_id long, id long, score double")
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int = 5, chunk: int = 2_000, block: int = 20_000, pivots: int = 32, cell_rows: int = 2_000, few: int = 2_000) -> DataFrame:
     """``query_id, id, score``: the k rows of largest cosine for each query, itself left out; scores have six digits.
 
-    ``queries`` and ``rows``: ``id, vector`` with ids that say who is who.  A stated
-    query set meets all rows in chunks of at most ``chunk`` queries, one matrix
-    product per batch of rows; a task sends on k rows per query and batch.  Null and
+    ``queries`` and ``rows``: ``id, vector`` with ids that say who is who.  Up to ``few``
+    queries (counted) are broadcast and meet all rows in one scan.  Beyond that rows lie in
+    rings of equal angle around the nearest of a few pivots (the rows of least hash of
+    their id, at most ``pivots`` for each length and one for ``cell_rows`` rows), large
+    rings in blocks of about ``block``; cells below a block are one ring.  A
+    query meets its own ring first; its k-th score there and the triangle inequality
+    leave out rings that can't hold a better row, exactly.  Blocks of queries meet blocks
+    of rows by a shuffle; only pivots and the bounds of rings pass the driver.  Null and
     zero vectors, and those of another length, have score 0; ties go to the smaller id.
     """
-    spark = rows.sparkSession
-    schema = "query_id long, id long, score double"
-
-    def unit(vectors, width: int | None = None) -> np.ndarray:
-        width = width or max((len(v) for v in vectors if v is not None), default=1)
-        m = np.array([np.zeros(width) if v is None or len(v) != width else np.asarray(v, float) for v in vectors]).reshape(len(vectors), width)
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    parts = []
-    n_chunks = max(1, -(-queries.count() // chunk))
-    for i in range(n_chunks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == i).toPandas()  # about ``chunk`` rows
-        shared = spark.sparkContext.broadcast((own["id"].to_numpy(), unit(list(own["vector"]))))
-
-        def best(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                score = np.round(np.maximum(0.0, q @ unit(list(batch["vector"]), q.shape[1]).T), 6)
-                other = batch["id"].to_numpy()
-                score[ids[:, None] == other[None, :]] = -1.0
-                order = np.lexsort((np.broadcast_to(other, score.shape), -score), axis=1)[:, :k]
-                rank = np.take_along_axis(score, order, axis=1)
-                keep = rank >= 0
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "id": other[order][keep], "score": rank[keep]})
-
-        parts.append(rows.select("id", "vector").mapInPandas(best, schema))
+    ring = ["width", "cell", "ring"]
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+    best = lambda found: found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+    units, asked = _unit_rows(rows), _unit_rows(queries)
+    shown = asked.limit(few + 1).toPandas()
+    if len(shown) <= few:
+        return best(_few_queries(shown, units, k))
+    units, asked = written(units, "unit-rows"), written(asked, "unit-queries")
+    total = units.where("width > 0").count()
+    pivots = min(pivots, max(1, total // cell_rows))
+    width_of_ring = RING if total > block * pivots else 4.0
+    first = W.partitionBy("width").orderBy(F.xxhash64("id"), "id")
+    chosen: dict[int, list] = {}
+    # as a sketch of least hashes: at most ``pivots`` for each length
+    for r in units.where("width > 0").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pivots).select("width", "unit").collect():
+        chosen.setdefault(r["width"], []).append(r["unit"])
+    matrices = {w: np.array(v) for w, v in chosen.items()}
+    # the k + 1 smallest ids of each length stand in where fewer than k rows have a score
+    small = W.partitionBy("width").orderBy("id")
+    others = F.broadcast(written(units.select(F.col("width").alias("other"), "id").withColumnRenamed("other", "width").withColumn("_n", F.row_number().over(small)).where(F.col("_n") <= k + 1).select(F.col("width").alias("other"), "id"), "smallest-ids"))
+    zeros = asked.select(F.col("id").alias("query_id"), "width").join(others, (F.col("width") != F.col("other")) | (F.col("width") == 0)).where(F.col("query_id") != F.col("id")).select("query_id", "id", F.lit(0.0).alias("score"))
+    asked = asked.where(F.col("width").isin(list(matrices)))
+    if not matrices:
+        return best(zeros)
+    with_place = "id long, unit array<double>, width int, cell int, ring int, angle double"
+    placed = written(units.where("width > 0").mapInPandas(_placed_by(matrices, width_of_ring), with_place), "placed-rows")
+    sizes = written(placed.groupBy(*ring).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"), F.min("angle").alias("lo"), F.max("angle").alias("hi")), "rings")
+    bounds: dict[int, list] = {}
+    for r in sizes.collect():  # pivots times rings of a half circle, for each length
+        bounds.setdefault(r["width"], []).append((r["cell"], r["ring"], r["lo"], r["hi"]))
+    placed = placed.join(F.broadcast(sizes.select(*ring, "salts")), ring).select("id", "unit", *ring, F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
+    asked = written(asked.mapInPandas(_placed_by(matrices, width_of_ring), with_place), "placed-queries")
+    if pivots == 1 and width_of_ring > np.pi:  # every query has met all rows of its length
+        return best(_met(asked.select("id", "unit", *ring), placed, sizes, k, chunk).unionByName(zeros))
+    near = written(best(_met(asked.select("id", "unit", *ring), placed, sizes, k, chunk)), "nearest-so-far")
+    least = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    open_ = asked.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    rest = open_.mapInPandas(_rings_for(matrices, bounds), "id long, unit array<double>, width int, cell int, ring int")
+    return best(near.unionByName(_met(written(rest, "open-rings"), placed, sizes, k, chunk)).unionByName(zeros))
 
 
 def _letters(plain: Column) -> Column:
