@@ -34,6 +34,23 @@ def test_token_rollup_is_idempotent_and_additive(spark, edge_docs, no_docs, tmp_
     assert small_store.totals().where("source = 'c' and lang = 'de'").count() == 0
 
 
+def test_a_batch_committed_while_compacting_is_in_one_store_only(spark, edge_docs, tmp_path):
+    store = Rollup(spark, f"file://{tmp_path}/store")
+    counts = built_in_counts(changes(inserted=edge_docs))
+    store.commit("a", counts)
+    totals = store.totals
+
+    def meanwhile(of=None):
+        store.commit("b", counts)
+        return totals(of)
+
+    store.totals = meanwhile
+    new = store.compact(f"file://{tmp_path}/new")
+    assert new.batches() == {"compacted", "a"} and totals().agg({"n_docs": "sum"}).first()[0] == 2 * new.totals().agg({"n_docs": "sum"}).first()[0]
+    assert new.commit("b", counts) and not new.commit("a", counts)
+    assert sorted(map(str, new.totals().collect())) == sorted(map(str, totals().where("n_docs <> 0 or n_tokens <> 0").collect()))
+
+
 def test_bpe_counts_round_trip(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(30)
     got = sum(r.tokens for r in bpe_counts(changes(inserted=docs)).collect())
