@@ -35,6 +35,8 @@ TYPE_BONUS = [("jst", "หมายเลข", True, 0.3), ("shopee", "shopee",
 #: Words for names that identify, and names that name (fixed values).
 IDENTIFIERS, NAMES = ["หมายเลข", "number", "id"], ["ชื่อ", "name"]
 SEMANTIC, STRING, CONTEXT = 0.5, 0.3, 0.2
+#: Letters from common to rare in English text (fixed value).
+COMMON_FIRST = "etaoinshrdlcumwfgypbvkjxqz"
 LEAST_SCORE, AUTO, ALIKE, SURE_TYPE = 0.2, 70.0, 0.6, 80.0
 
 
@@ -263,21 +265,23 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """``a, b``: pairs of plain names whose ratio can reach ``least``, out of ``left`` (``a``) and ``right`` (``b``).
 
     A ratio of t needs t / (2 - t) of a name's letters in the other one, so each name
-    is indexed by its rarest letters only, one more than it can do without; names meet by
-    an equi-join on those, and what they share of all letters and their lengths bound the
-    ratio of the pairs that met.  No pair that reaches ``least`` is left out.
+    is indexed by a few of its letters only, one more than it can do without: all names
+    in the same order, which begins with letters that are rare in most languages and
+    with those that a name has several times.  Names meet by an equi-join on those, and
+    what they share of all letters and their lengths bound the ratio of the pairs that
+    met.  No pair that reaches ``least`` is left out.
     """
-    names = left.select(F.col("a").alias("name")).union(right.select(F.col("b").alias("name"))).distinct().withColumn("_l", _letters(F.col("name")))
-    tokens = written(names.select("name", F.explode("_l").alias("token")), "letters")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = tokens.join(often, "token").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("by"))
-    keep = F.size("by") - F.ceil(F.size("by") * (least / (2 - least)) - 1e-9) + 1
-    index = written(rarest.select("name", F.slice("by", F.lit(1), F.least(F.size("by"), F.greatest(keep, F.lit(1)))).alias("by")), "rarest-letters")
-    index = index.select("name", F.explode(F.transform("by", lambda x: x["token"])).alias("token"))
-    a = index.join(left.select(F.col("a").alias("name")).distinct(), "name", "left_semi").toDF("a", "token")
-    b = index.join(right.select(F.col("b").alias("name")).distinct(), "name", "left_semi").toDF("b", "token")
-    met = a.join(b, "token").select("a", "b").distinct().withColumns({"_la": _letters(F.col("a")), "_lb": _letters(F.col("b"))})
-    return met.where(_bag_ratio() >= least - 1e-9).select("a", "b")
+    letter = lambda t: F.coalesce(F.nullif(F.instr(F.lit(COMMON_FIRST), F.left(t, F.lit(1))), F.lit(0)), F.lit(99))
+    rank = lambda t: F.struct((-100 * F.substr(t, F.lit(2)).try_cast("int") - letter(t)).alias("rank"), t.alias("token"))
+
+    def index(names: DataFrame, c: str) -> DataFrame:
+        own = names.select(c).distinct().withColumn("_l", _letters(F.col(c)))
+        keep = F.size("_l") - F.ceil(F.size("_l") * (least / (2 - least)) - 1e-9) + 1
+        tokens = F.slice(F.array_sort(F.transform("_l", rank)), F.lit(1), F.least(F.size("_l"), F.greatest(keep, F.lit(1))).cast("int"))
+        return own.select(c, F.col("_l").alias(f"_l{c}"), F.explode(F.transform(tokens, lambda x: x["token"])).alias("token"))
+
+    met = index(left, "a").join(index(right, "b"), "token")
+    return met.where(_bag_ratio() >= least - 1e-9).select("a", "b").distinct()
 
 
 def spelling_candidates(sources: DataFrame, targets: DataFrame, above: float) -> DataFrame:
