@@ -19,6 +19,14 @@ next length occur, so that contexts seen once are left out without asking.  Cont
 with more than 1/SHARDS of all tokens are dealt over SHARDS keys by their next word;
 a block adds the shards' answers up.
 
+Contexts that can't matter are never sent.  A context of count c whose next shorter run
+has count C gains at most ``c * ln(C / c)`` and ``ln 2`` for each branch (at context
+discount 0.5), as the shorter run gives a word that follows n times at least
+(n - 0.5) / C.  At the last length that alone rules most contexts out; before it, only
+those are left out that also no longer run can need: runs that begin with the context
+have at most its counts, and runs that end with it at most C = c.  Both counts are
+known to every block, so all blocks leave out the same ones and scores don't change.
+
 Smoothing is absolute discounting: what a context discounts goes to the next shorter
 one, what the root discounts (the Good-Turing mass of words seen once) to the unseen
 word, so every state's distribution sums to one.
@@ -253,7 +261,7 @@ class _Block:
         spelled = np.where(self.names == END_HASH, -np.inf, spelled)
         self.root = np.log10(np.maximum(np.maximum(c - discount, 0) / total + left * 10.0**spelled, 1e-300))
 
-    def start(self) -> None:
+    def start(self, total: int) -> None:
         """Before the first round every token is at the root."""
         self.back = np.arange(len(self.place)) - np.repeat(self.at[:-1], np.diff(self.at))  # words before it in its document
         self.hashed = np.zeros(len(self.place), B.U64)
@@ -262,11 +270,19 @@ class _Block:
         self.once = self.learns & ((self.c == 1) & ~self.outside)[self.place]  # the pair's only place at all
         self.never = ~self.learns & (self.c == 0)[self.place]  # training doesn't have the pair
         self.seen = np.concatenate([[0], self.c[self.place][:-1]])[: len(self.place)]  # of the run before each token, in training
+        self.above = np.full(len(self.place), total)  # of the next shorter run
+
+    def pairs(self, length: int, n_buckets: int, total: int, needs: float, last: bool) -> None:
+        """Distinct (context, next) pairs of contexts of ``length`` words that training holds twice and that can matter.
 
-    def pairs(self, length: int, n_buckets: int, total: int) -> None:
-        """Distinct (context, next) pairs of contexts of ``length`` words that training holds twice."""
+        A context or a longer run must gain ``needs`` for that.
+        """
         name = self.names[self.place]
-        self.t = t = np.flatnonzero((self.back >= length) & (self.seen >= 2))
+        t = np.flatnonzero((self.back >= length) & (self.seen >= 2))
+        c, above = self.seen[t].astype(float), self.above[t].astype(float)
+        self.above[t] = self.seen[t]
+        gains = lambda x: x * np.log(above / x) >= needs - 1e-9
+        self.t = t = t[gains(c) if last else gains(np.minimum(c, above / math.e)) | (c >= math.e * needs)]
         self.hashed[t] = B.mix(self.hashed[t] * B.MULTIPLIERS[0] + name[t - length] + B.U64(length))
         # Names travel as 48 bits; so do these, that blocks and buckets cut them alike.
         short = self.hashed[t] >> B.U64(16) << B.U64(16)
@@ -341,7 +357,7 @@ class _Block:
         own = np.where(self.single, 2, np.where(self.none, 0, n[self.pair] if len(n) else 0))
         own_n, self.once[t], self.never[t] = own >> 1, self.learns[t] & (own == 2), ~self.learns[t] & (own < 2)
         p = np.maximum(own_n - discount, 0) / self.count[c] + discount * types[c] / self.count[c] * 10.0 ** self.parent[t]
-        self.parent[t] = np.log10(p)
+        self.parent[t] = np.log10(np.maximum(p, 1e-300))  # the last answers have no branches of contexts that go
         self.value[t] = np.where(stays[c], self.parent[t], self.value[t])
         self.seen = np.zeros(len(self.seen), np.int64)
         self.seen[t[t + 1 < len(self.seen)] + 1] = own_n[t + 1 < len(self.seen)]
@@ -362,8 +378,11 @@ def _ask_pairs(block: _Block, number: int, n_buckets: int) -> pa.Table:
     return B.rows(B.EXCHANGE, bucket=full, block=[number] * len(full), kind=[0] * len(full), payload=payload)
 
 
-def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
-    """To each block: its keys' branches and whether they pass, its pairs' counts, its hot keys' share of the likelihood."""
+def _answer_pairs(table: pa.Table, kind: int, total: int, last: bool) -> pa.Table:
+    """To each block: its keys' branches and whether they pass, its pairs' counts, its hot keys' share of the likelihood.
+
+    The last answers are zeros for contexts that don't pass.
+    """
     names, widths, hots, singles, logs, symbols, counts = ([] for _ in range(7))
     for data in table["payload"].to_pylist():
         raw = zstandard.ZstdDecompressor().decompress(data)
@@ -394,7 +413,11 @@ def _answer_pairs(table: pa.Table, kind: int, total: int) -> pa.Table:
     raw += np.bincount(code, weights=np.concatenate(logs).astype(float), minlength=len(keys)) / LOG_STEPS * math.log(10)
     kept = (t >= 2) & (raw - t * np.log(np.maximum(t, 1)) >= types * math.log(max(2, total)))
     told, of_pair = (types * 2 + kept).astype("<u4"), np.empty(len(order), "<u4")
-    of_pair[order] = (2 * n + outside)[np.cumsum(new) - 1]
+    counted = 2 * n + outside
+    if last:
+        tells = kept | (np.bincount(code, weights=np.concatenate(hots), minlength=len(keys)) > 0)
+        told, counted = told * tells.astype("<u4"), counted * tells[group]
+    of_pair[order] = counted[np.cumsum(new) - 1]
     payload = []
     for i, (a, b, hot) in enumerate(zip(key_ends, pair_ends, hots, strict=True)):
         own = code[a - len(hot) : a]
@@ -423,6 +446,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spell = unseen == "spelled"
     tree = docs.sparkSession.sparkContext.broadcast(byte_tree(grams, max_contexts, divergence) if spell else None)
     stats = (total, types, discount)
+    # one branch at least, at its description less what discounting can add to its gain
+    needs = math.log(max(2, total) * (1 - max(discount, context_discount)))
 
     def ask(key, table):
         block = _Block(B.unpacked(table), n)
@@ -463,22 +488,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def grown(left, right, lengths):
         block = _Block(B.unpacked(left), n)
         block.learn(right, tree.value, stats)
-        block.start()
+        block.start(total)
         for length in range(1, lengths + 1):
-            block.pairs(length, n, total)
+            block.pairs(length, n, total, needs, length == depth)
             block.grow(right, length, total, context_discount)
         return block
 
     def asking(length):
         def ask_length(key, left, right):
             block = grown(left, right, length - 1)
-            block.pairs(length, n, total)
+            block.pairs(length, n, total, needs, length == depth)
             return _ask_pairs(block, key[0].as_py(), n)
 
         return ask_length
 
     def answering(length):
-        return lambda table: _answer_pairs(table, length + 1, total)
+        return lambda table: _answer_pairs(table, length + 1, total, length == depth)
 
     def last(key, left, right):
         block = grown(left, right, depth)
