@@ -272,10 +272,10 @@ class _Block:
         self.seen = np.concatenate([[0], self.c[self.place][:-1]])[: len(self.place)]  # of the run before each token, in training
         self.above = np.full(len(self.place), total)  # of the next shorter run
 
-    def pairs(self, length: int, n_buckets: int, total: int, needs: float, last: bool) -> None:
+    def pairs(self, length: int, n_buckets: int, total: int, needs: float, last: bool, asks: bool = False) -> None:
         """Distinct (context, next) pairs of contexts of ``length`` words that training holds twice and that can matter.
 
-        A context or a longer run must gain ``needs`` for that.
+        A context or a longer run must gain ``needs`` for that; ``asks``: what buckets are told is made, too.
         """
         name = self.names[self.place]
         t = np.flatnonzero((self.back >= length) & (self.seen >= 2))
@@ -286,14 +286,19 @@ class _Block:
         self.hashed[t] = B.mix(self.hashed[t] * B.MULTIPLIERS[0] + name[t - length] + B.U64(length))
         # Names travel as 48 bits; so do these, that blocks and buckets cut them alike.
         short = self.hashed[t] >> B.U64(16) << B.U64(16)
-        if length == 1:  # a context is a word: no sort of the tokens
-            word = np.full(len(self.names), -1)
-            word[self.place[t - 1]] = np.arange(len(t))
-            used = np.flatnonzero(word >= 0)
-            by = np.argsort(short[word[used]])
-            self.contexts = short[word[used]][by]
+        if length == 1:  # a context is a word: no sort of the tokens, and numbers of a bucket's words are near each other
+            before = self.place[t - 1]
+            word = np.zeros(len(self.names), np.int64)
+            word[before] = 1
+            used = np.flatnonzero(word)
+            number = self.numbers[self.nth[used]]
+            bucket, nth = number % B.U64(n_buckets), number // B.U64(n_buckets)
+            start = ((bucket << B.U64(32)) + B.U64(n_buckets - 1)) // B.U64(n_buckets) << B.U64(32)
+            short = start + (nth << B.U64(16))
+            by = np.argsort(short)
+            self.contexts = short[by]
             word[used[by]] = np.arange(len(used))
-            self.context_of = word[self.place[t - 1]]
+            self.context_of = word[before]
         else:
             self.contexts, self.context_of = np.unique(short, return_inverse=True)
         symbol, size = self.nth[self.place[t]], len(self.contexts)
@@ -304,7 +309,8 @@ class _Block:
         every = (B.mix(self.contexts[often][:, None] ^ shards[None, :]) >> B.U64(16) << B.U64(16)).ravel()  # all shards are asked, also those without a pair here
         whole = np.ones(size, bool)
         whole[often] = False
-        self.keys = np.unique(np.concatenate([self.contexts[whole], every]))
+        self.keys = np.sort(np.concatenate([self.contexts[whole], every]), kind="stable")  # of sorted ones and few more
+        self.keys = self.keys[np.append(True, self.keys[1:] != self.keys[:-1])[: len(self.keys)]]
         at_shard, at_context = np.searchsorted(self.keys, every), np.searchsorted(self.keys, self.contexts)
         self.hot = np.zeros(len(self.keys), bool)
         self.hot[at_shard] = True
@@ -315,28 +321,31 @@ class _Block:
         hot = np.flatnonzero(~whole[self.context_of]) if size else self.context_of
         place[hot] = at_shard[np.searchsorted(often, self.context_of[hot]) * SHARDS + (name[t[hot]] % B.U64(SHARDS)).astype(np.int64)]
         self.single, self.none = self.once[t], self.never[t]
-        self.singles = np.bincount(place[self.single], minlength=len(self.keys))
-        own = self.learns[t]
-        self.logs = np.bincount(place[own], weights=-self.parent[t[own]], minlength=len(self.keys))
         rest = np.flatnonzero(~(self.single | self.none))
         both = place[rest] * len(self.names) + symbol[rest]
         by = np.argsort(both)
+        both = both[by]
         new = np.ones(len(by), bool)
-        new[1:] = both[by][1:] != both[by][:-1]
+        new[1:] = both[1:] != both[:-1]
         self.pair = np.zeros(len(t), np.int64)
         self.pair[rest[by]] = np.cumsum(new) - 1
-        size = int(new.sum())
-        outside = np.bincount(self.pair[rest], weights=~self.learns[t[rest]], minlength=size) > 0
-        self.n = 2 * np.bincount(self.pair[rest], weights=self.learns[t[rest]], minlength=size).astype(np.int64) + outside
-        self.symbol = symbol[rest[by][new]]
-        self.width = np.bincount(place[rest[by][new]], minlength=len(self.keys))
+        first = rest[by[new]]
+        self.size = len(first)
+        self.width = np.bincount(place[first], minlength=len(self.keys))
+        if asks:
+            own, learns = self.learns[t], self.learns[t[rest]]
+            self.singles = np.bincount(place[self.single], minlength=len(self.keys))
+            self.logs = np.bincount(place[own], weights=-self.parent[t[own]], minlength=len(self.keys))
+            outside = np.bincount(self.pair[rest[~learns]], minlength=self.size) > 0
+            self.n = 2 * np.bincount(self.pair[rest[learns]], minlength=self.size) + outside
+            self.symbol = symbol[first]
         self.bounds = B.bucket_slices(self.keys, n_buckets)
         self.pair_at = np.concatenate([[0], np.cumsum(self.width)])[self.bounds]
 
     def grow(self, answers: pa.Table, length: int, total: int, discount: float) -> None:
         """Probabilities after the contexts of ``length`` words, and how often longer ones occur."""
         types, raw, kept = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys)), np.zeros(len(self.keys), bool)
-        n = np.zeros(len(self.n), np.int64)
+        n = np.zeros(self.size, np.int64)
         own = answers.filter(pa.compute.equal(answers["kind"], length + 1))
         for b, data in zip(own["bucket"].to_pylist(), own["payload"].to_pylist(), strict=True):
             data = zstandard.ZstdDecompressor().decompress(data)
@@ -497,7 +506,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def asking(length):
         def ask_length(key, left, right):
             block = grown(left, right, length - 1)
-            block.pairs(length, n, total, needs, length == depth)
+            block.pairs(length, n, total, needs, length == depth, asks=True)
             return _ask_pairs(block, key[0].as_py(), n)
 
         return ask_length
