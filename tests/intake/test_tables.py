@@ -123,6 +123,30 @@ def test_reports(spark):
         assert p["n"].low_cardinality and not p["s"].low_cardinality and p["n"].least == 1.0 and p["s"].least is None
 
 
+def _own_orders(spark, tmp_path, n):
+    """Orders as one row group, and what SQL says of them."""
+    import duckdb
+
+    from tidewright import queries as Q
+
+    path = f"{tmp_path}/orders.parquet"
+    rows = spark.sql(f"select id as o_orderkey, id % 7 as o_custkey, element_at(array('F', 'O', 'P'), int(id % 3) + 1) as o_orderstatus, double(id) as o_totalprice, timestamp_ntz'1995-01-01 00:00:00' as o_orderdate, '1-URGENT' as o_orderpriority from range({n})")
+    rows.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{path}/*.parquet'")
+    return lambda name: (sorted(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).collect()), key=str), sorted(con.execute(Q.SQL[name]).fetchall(), key=str))
+
+
+def test_precheck_of_a_table_of_any_size(spark, tmp_path):
+    """A file of over 100 MB is a warning of the operator; the query's sizes are made up from rows."""
+    got, want = _own_orders(spark, tmp_path, 600_000)("file_precheck")
+    assert got == want
+    big = spark.createDataFrame([("/a.csv", "orders", report.LARGE_FILE + 1)], "path string, file_type string, size_bytes long")
+    none = spark.createDataFrame([], "path string, column string, problem string")
+    assert [r.problem for r in report.file_precheck(big, none, "orders").collect()] == ["large"]
+    assert report.file_precheck(big, none, "orders", large=None).isEmpty()
+
+
 def test_mapping(spark):
     src = spark.createDataFrame([("Order Date",), ("Prod Name",)], "source_column string")
     tgt = spark.createDataFrame([("order_date",), ("order date",), ("product name",)], "target_column string")
