@@ -147,6 +147,19 @@ def test_precheck_of_a_table_of_any_size(spark, tmp_path):
     assert report.file_precheck(big, none, "orders", large=None).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["load_folder_report"])
+def test_load_reports_do_not_show_how_the_table_was_split(spark, tmp_path, name):
+    """The first task reads a part of the file in which no row group begins."""
+    run = _own_orders(spark, tmp_path, 400)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/orders.parquet").where(F.spark_partition_id() == 0).isEmpty()
+        got, want = run(name)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
 def test_mapping(spark):
     src = spark.createDataFrame([("Order Date",), ("Prod Name",)], "source_column string")
     tgt = spark.createDataFrame([("order_date",), ("order date",), ("product name",)], "target_column string")

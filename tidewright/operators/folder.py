@@ -131,8 +131,10 @@ def load_files(
     replacement all files together, by upsert for each key the rows of the newest file
     that has it.  ``batch`` names the load; sent again after a failure it leaves tables
     that have it as they are.  ``staging``: a folder for the staging tables, by default a
-    new one.  File names in one call are distinct.
+    new one.  File names in one call are distinct; without paths the report is empty.
     """
+    if not paths:
+        return spark.createDataFrame([], REPORT)
     planned = plan(spark, paths, specs)
     out = [(r["path"], r["filename"], r["file_type"], "failed", r["problem"], 0) for r in planned if r["problem"] is not None]
     for spec in specs:
