@@ -147,7 +147,7 @@ def test_precheck_of_a_table_of_any_size(spark, tmp_path):
     assert report.file_precheck(big, none, "orders", large=None).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["load_folder_report"])
+@pytest.mark.parametrize("name", ["load_folder_report", "load_guarded_report"])
 def test_load_reports_do_not_show_how_the_table_was_split(spark, tmp_path, name):
     """The first task reads a part of the file in which no row group begins."""
     run = _own_orders(spark, tmp_path, 400)
