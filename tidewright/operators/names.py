@@ -12,6 +12,10 @@ from pyspark.sql.window import Window as W
 
 from ..plans.spec import FileTypeSpec
 
+#: Spec names up to this number are broadcast (counted first), more are joined by shuffle.
+BROADCAST_NAMES = 1_000_000
+#: Header cells that one task is given.
+CELLS_A_TASK = 500_000
 ZERO_WIDTH = "​‌‍﻿"
 
 
@@ -76,19 +80,30 @@ def threshold(n: Column) -> Column:
     return F.when(n >= 50, F.greatest(F.lit(0.1), 5 / n)).when(n >= 20, F.greatest(F.lit(0.2), 5 / n)).otherwise(F.lit(0.3))
 
 
+def _small(names: DataFrame) -> DataFrame:
+    return F.broadcast(names) if names.count() <= BROADCAST_NAMES else names
+
+
+def by_path(headers: DataFrame) -> DataFrame:
+    """Headers with each file's cells in one task; tasks grow in number with the cells, not in size."""
+    return headers.repartition(1 + headers.count() // CELLS_A_TASK, "path")
+
+
 def match_scores(headers: DataFrame, specs: DataFrame) -> DataFrame:
     """``path, header_row, file_type, score``: headers (``path, header_row, cell``) against spec rows, by equi-join.
 
-    Spec rows come from configuration, so their side is small; it is broadcast only
-    if Spark's own size limit allows.
+    Cells are shuffled once, by path, and only those that some type knows.  Spec rows come
+    from configuration; up to BROADCAST_NAMES they are broadcast, so cells stay with their files.
     """
-    cells = headers.select("path", "header_row", normalize_name(F.col("cell")).alias("name")).distinct()
     sides = specs.select("file_type", F.inline(F.array(F.struct(F.lit("key").alias("side"), normalize_name(F.col("source")).alias("name")), F.struct(F.lit("value").alias("side"), normalize_name(F.col("target")).alias("name"))))).distinct()
     n = sides.groupBy("file_type").agg(F.count_if(F.col("side") == "key").alias("keys"), F.count_if(F.col("side") == "value").alias("values"), F.array_sort(F.collect_set(F.when(F.col("side") == "key", F.col("name")))).alias("_k"), F.array_sort(F.collect_set(F.when(F.col("side") == "value", F.col("name")))).alias("_v"))
     n = n.withColumn("identity", F.col("_k") == F.col("_v")).drop("_k", "_v")
-    hits = cells.join(sides, "name").groupBy("path", "header_row", "file_type").agg(F.count_if(F.col("side") == "key").alias("key_hits"), F.count_if(F.col("side") == "value").alias("value_hits"))
+    sides = sides.groupBy("file_type", "name").agg(F.count_if(F.col("side") == "key").alias("key"), F.count_if(F.col("side") == "value").alias("value"))
+    cells = headers.select("path", "header_row", normalize_name(F.col("cell")).alias("name")).join(_small(sides.select("name").distinct()), "name", "left_semi")
+    cells = by_path(cells).select("path", "header_row", "name").distinct()
+    hits = cells.join(_small(sides), "name").groupBy("path", "header_row", "file_type").agg(F.sum("key").alias("key_hits"), F.sum("value").alias("value_hits"))
     by_key = F.col("identity") | (F.col("key_hits") > F.col("value_hits"))
-    out = hits.join(n, "file_type")
+    out = hits.join(_small(n), "file_type")
     score = F.when(by_key, F.col("key_hits") / F.col("keys")).otherwise(F.col("value_hits") / F.col("values"))
     count = F.when(by_key, F.col("keys")).otherwise(F.col("values"))
     return out.select("path", "header_row", "file_type", score.alias("score"), threshold(count).alias("needed"))
@@ -126,8 +141,7 @@ def missing_extra_columns(headers: DataFrame, specs: DataFrame, types: DataFrame
 
     ``types``: ``path, file_type``, as detected.
     """
-    wanted = types.join(specs.select("file_type", F.col("source").alias("column")), "file_type").select("path", "column").distinct()
-    actual = headers.select("path", F.col("cell").alias("column")).join(types.select("path"), "path", "left_semi").distinct()
-    missing = wanted.join(actual, ["path", "column"], "left_anti").withColumn("problem", F.lit("missing"))
-    extra = actual.join(wanted, ["path", "column"], "left_anti").withColumn("problem", F.lit("extra"))
-    return missing.unionByName(extra)
+    wanted = types.join(_small(specs.select("file_type", F.col("source").alias("column"))), "file_type").select("path", "column", F.lit(1).alias("wanted"), F.lit(0).alias("actual"))
+    actual = by_path(headers.select("path", F.col("cell").alias("column"))).join(types.select("path"), "path", "left_semi").select("path", "column", F.lit(0).alias("wanted"), F.lit(1).alias("actual"))
+    sides = wanted.unionByName(actual).groupBy("path", "column").agg(F.max("wanted").alias("wanted"), F.max("actual").alias("actual"))
+    return sides.where(F.col("wanted") != F.col("actual")).select("path", "column", F.when(F.col("wanted") == 1, "missing").otherwise("extra").alias("problem"))
