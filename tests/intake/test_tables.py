@@ -110,6 +110,16 @@ def test_detection_prefers_first_row_then_score_then_name(spark):
     assert [r[0] for r in files.select(names.type_from_letters(F.col("path"))).collect()] == ["Sales_B", "zzz"]
 
 
+def test_drift_scores_each_pair_of_names_once(spark, monkeypatch):
+    """Pairs of files are gone before scores are made, so no filter can move the scoring below them."""
+    plans, score = [], mapping.score_pairs
+    monkeypatch.setattr(mapping, "score_pairs", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or score(pairs, *a))
+    rows = [("a", "total", "missing"), ("a", "totals", "extra"), ("a", "xyz", "extra"), ("b", "total", "missing"), ("c", "total", "missing"), ("c", "totals", "extra")]
+    got = mapping.drift_report(spark.createDataFrame(rows, "path string, column string, problem string"), renormalize=True).collect()
+    assert {(r.path, r.missing, r.extra) for r in got} == {("a", "total", "totals"), ("b", "total", None), ("c", "total", "totals")}
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_reports(spark):
     results = spark.createDataFrame([("a", "success", 1.0), ("a", "failed", 2.0), ("b", "success", 3.0)], "file_type string, status string, elapsed_s double")
     got = {r.file_type: (r.files, r.successes, r.failures, r.success_rate) for r in report.load_summary(results).collect()}

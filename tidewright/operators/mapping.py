@@ -37,6 +37,8 @@ IDENTIFIERS, NAMES = ["หมายเลข", "number", "id"], ["ชื่อ",
 SEMANTIC, STRING, CONTEXT = 0.5, 0.3, 0.2
 #: Letters from common to rare in English text (fixed value).
 COMMON_FIRST = "etaoinshrdlcumwfgypbvkjxqz"
+#: Distinct pairs of names up to this number are broadcast (counted first), more are joined by shuffle.
+BROADCAST_PAIRS = 100_000
 LEAST_SCORE, AUTO, ALIKE, SURE_TYPE = 0.2, 70.0, 0.6, 80.0
 
 
@@ -420,15 +422,22 @@ def auto_rename(df: DataFrame, specs: DataFrame, file_type: str | None = None, l
 def drift_report(problems: DataFrame, file_type: str = "", renormalize: bool = False) -> DataFrame:
     """For each file the missing columns with the best extra column: ``path, missing, extra, confidence``.
 
-    ``problems``: rows of ``missing_extra_columns``; pairs are made within a file.
+    ``problems``: rows of ``missing_extra_columns``, written once; pairs are made within a
+    file, and each distinct pair is scored and ranked once.
     """
+    problems = written(problems, "problems")
     missing = problems.where("problem = 'missing'").select("path", F.col("column").alias("target_column"))
     extra = problems.where("problem = 'extra'").select("path", F.col("column").alias("source_column"))
-    scored = score_pairs(missing.join(extra, "path"), file_type, None, renormalize).where(F.col("score") > LEAST_SCORE)
-    order = W.partitionBy("path", "target_column").orderBy(F.desc("score"), "source_column")
-    best = scored.withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    out = missing.join(best.drop("score", "semantic_score", "string_score", "context_score"), ["path", "target_column"], "left")
-    return out.join(best.select("path", "target_column", "score"), ["path", "target_column"], "left").select("path", F.col("target_column").alias("missing"), F.col("source_column").alias("extra"), F.round(F.col("score") * 100, 1).alias("confidence"))
+    # written: else the filter on scores, and with it the scoring, is moved below the distinct to every pair of every file
+    names = written(missing.join(extra, "path").select("source_column", "target_column").distinct(), "pairs-of-names")
+    order = W.partitionBy("target_column").orderBy(F.desc("score"), "source_column")
+    scored = score_pairs(names, file_type, None, renormalize).where(F.col("score") > LEAST_SCORE)
+    scored = written(scored.select("target_column", "source_column", "score", F.row_number().over(order).alias("rank")), "scored-names")
+    ranks = F.broadcast(scored) if scored.count() <= BROADCAST_PAIRS else scored
+    # a pair's place among all pairs of its target is its place within a file, too: files pass numbers, not names and scores
+    pairs = missing.join(extra, "path", "left").join(ranks.select("target_column", "source_column", "rank"), ["target_column", "source_column"], "left")
+    best = pairs.groupBy("path", "target_column").agg(F.min("rank").alias("rank")).join(ranks, ["target_column", "rank"], "left")
+    return best.select("path", F.col("target_column").alias("missing"), F.col("source_column").alias("extra"), F.round(F.col("score") * 100, 1).alias("confidence"))
 
 
 def apply_mapping_update(specs: DataFrame, updates: DataFrame, least: float = AUTO) -> DataFrame:
