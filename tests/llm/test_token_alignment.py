@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -123,3 +124,16 @@ def test_edge_rows_and_empty_table(spark, coders, edge_docs, no_docs):
 def test_query_equals_brute_force(spark, small, coders):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op12_token_alignment(spark, small)) == brute(rows, coders)
+
+
+def test_stretches_are_met_once_and_tokenized_in_large_parts():
+    words = ["a\x85 b", "c  d", "e  f　 g", "h  i", "j  k  l", "m” n— o", "p\x1c q\x7f r", "\U0001f600 s  t ", " u", "é v", "x\t y\n z", "0", " "]
+    texts = [*words, " ".join(words), *ODD]
+    met, which, begin = token_alignment._stretches(pa.array([t for t in texts if t], pa.large_string()))
+    parts = [[met[i].as_py() for i in which[a:b]] for a, b in zip(begin, [*begin[1:], len(which)], strict=True)]
+    assert parts == [_CUT.split(" " + t) for t in texts if t] and len(met) == len(set(met.to_pylist()))
+    aligner, calls = Aligner(), []
+    memory, align = token_alignment._Memory(aligner), aligner.align
+    aligner.align = lambda part: calls.append(len(part)) or align(part)
+    list(memory.texts([" ".join(f"w{i} w{i}" for i in range(2000))]))
+    assert sum(calls) == 2000 and len(calls) == 2

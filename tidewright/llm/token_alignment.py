@@ -8,7 +8,7 @@ there into stretches, words mostly, and a stretch's tokens don't depend on what
 surrounds it.  Each distinct stretch of a task is tokenized and aligned once:
 
 * coarse cuts: the character offsets that ``tokenizers`` gives and the spans that
-  sentencepiece's proto gives, both as byte offsets;
+  sentencepiece gives, both as byte offsets;
 * refined: tokens inside a character of several bytes, and byte-fallback tokens, share or
   lack such a span; their ends are counted from the bytes they decode to;
 * a stretch whose joined token bytes aren't its own bytes makes its text tokenless.
@@ -30,9 +30,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .shared import cut, shared_path, slices
 
 FOLDER = "/opt/tokenizers"
@@ -42,7 +44,7 @@ HOT = 200_000
 #: Stretches that a task remembers, and the characters in them: beyond either it starts anew.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
 #: Stretches that are tokenized together.
-TOGETHER = 256
+TOGETHER = 1024
 #: A pair is ``a * SHIFT + b``.
 SHIFT = 1 << 20
 #: Before a space after a character that isn't white space; a text's last character stays with what is before it.
@@ -80,26 +82,27 @@ class Aligner:
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("a token spells nothing")
         self.a_lens, self.b_lens = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.names = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
 
-    def a_ends(self, text: str, own: bytes) -> tuple[list[int], np.ndarray, bool]:
+    def a_ends(self, text: str, own: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
         """Ids, byte offsets of the tokens' ends, and whether their bytes are the text's (``own``)."""
         encoding = self.a.encode(text, add_special_tokens=False)
-        ids = encoding.ids
+        found = encoding.ids
+        ids = np.fromiter(found, np.int64, len(found))
         spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         char = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         byte_at = np.concatenate([[0], np.cumsum(1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))])
         # the next token starts inside the character that this one ends in
         inside = np.zeros(len(ids), bool)
         inside[:-1] = spans[1:, 0] < spans[:-1, 1]
-        return ids, _refined(byte_at[spans[:, 1]], inside, self.a_lens[ids]), b"".join(map(self.a_bytes.__getitem__, ids)) == own
+        return ids, _refined(byte_at[spans[:, 1]], inside, self.a_lens[ids]), b"".join(map(self.a_bytes.__getitem__, found)) == own
 
-    def b_ends(self, text: str, own: bytes) -> tuple[list[int], np.ndarray, bool]:
+    def b_ends(self, text: str, own: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
         """The same for sentencepiece, which puts the text's first space before it by itself and whose spans are byte offsets."""
-        pieces = self.b.encode(text[1:], return_type="proto", num_threads=1).pieces
-        ids = [p.id for p in pieces]
-        ends = np.fromiter((p.end for p in pieces), np.int64, len(ids)) + 1
-        return ids, _refined(ends, self.b_fallback[ids], self.b_lens[ids]), b"".join(map(self.b_bytes.__getitem__, ids)) == own
+        found = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True, num_threads=1)
+        ids = np.fromiter(found["ids"], np.int64, len(found["ids"]))
+        ends = np.fromiter(chain.from_iterable(found["offsets"]), np.int64, 2 * len(ids))[1::2] + 1
+        return ids, _refined(ends, self.b_fallback[ids], self.b_lens[ids]), b"".join(map(self.b_bytes.__getitem__, found["ids"])) == own
 
     def align(self, stretches: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of stretches, which begin with a space: groups as text, a row ``A, B, groups, links, not whole`` of numbers each, and all linked pairs.
@@ -116,22 +119,36 @@ class Aligner:
             half = len(stretches) // 2
             halves = self.align(stretches[:half]), self.align(stretches[half:])
             return halves[0][0] + halves[1][0], np.concatenate([h[1] for h in halves]), np.concatenate([h[2] for h in halves])
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        at = np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)
+        both = np.flatnonzero(b_ends[at] == a_ends)
+        cuts, to_a, to_b = a_ends[both], both + 1, at[both] + 1
         borders = np.cumsum([len(s.encode()) for s in stretches])
-        to_a, to_b = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
-        names_a, names_b = (list(map(self.names.__getitem__, ids)) for ids in (a, b))
-        groups, i, j = [], 0, 0
-        for x, y in zip(to_a.tolist(), to_b.tolist(), strict=True):
-            left = names_a[i] if x - i == 1 else ",".join(names_a[i:x])
-            groups.append(f"{left}|{names_b[j]}" if y - j == 1 else f"{left}|{','.join(names_b[j:y])}")
-            i, j = x, y
         upto = np.searchsorted(cuts, borders, "right")
+        left, right = (_joined(self.names.take(pa.array(ids)), to, ",") for ids, to in ((a, to_a), (b, to_b)))
+        texts = _joined(pc.binary_join_element_wise(left, right, "|"), upto, ";").to_pylist()
         counts = np.diff(np.stack([to_a[upto - 1], to_b[upto - 1], upto, upto, np.zeros_like(upto)], 1), axis=0, prepend=0)
-        texts, i = [], 0
-        for x in upto.tolist():
-            texts.append(groups[i] if x - i == 1 else ";".join(groups[i:x]))
-            i = x
-        return texts, counts, np.asarray(a, np.int64)[to_a - 1] * SHIFT + np.asarray(b, np.int64)[to_b - 1]
+        return texts, counts, a[to_a - 1] * SHIFT + b[to_b - 1]
+
+
+def _joined(strings: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    """Runs of strings that end at ``ends``, each as one string."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), strings), by)
+
+
+def _stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct stretches of texts that aren't empty, where ``_CUT`` cuts them; which one each stretch is, and where the texts' begin."""
+    data, at = B.text_bytes(pa.chunked_array([pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))]))
+    space = data == 0x20
+    space[at[1:] - 1] = False
+    space[at[:-1]] = False
+    i = np.flatnonzero(space)
+    p, q, r = data[i - 1], data[i - 2], data[np.maximum(i - 3, 0)]
+    # the characters beyond ASCII that are white space, by their bytes
+    white = (q == 0xC2) & ((p == 0x85) | (p == 0xA0)) | (q == 0x9A) & (r == 0xE1) & (p == 0x80) | (q == 0x81) & (r == 0xE2) & (p == 0x9F)
+    white |= (q == 0x80) & ((r == 0xE2) & ((p <= 0x8A) | (p == 0xA8) | (p == 0xA9) | (p == 0xAF)) | (r == 0xE3) & (p == 0x80))
+    starts = np.sort(np.concatenate([at[:-1], i[(p > 0x20) & ~((p >= 0x80) & white)]]), kind="stable")
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), np.searchsorted(starts, at[:-1])
 
 
 def _refined(ends: np.ndarray, inside: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -198,15 +215,21 @@ class _Memory:
         """Numbers of tokens, groups and links, digest of the groups, and pairs of each text."""
         if len(self.groups) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
-        parts = [_CUT.split(" " + t) if t else [] for t in texts]
-        self.learn(list(dict.fromkeys(s for p in parts for s in p if s not in self.number)))
+        column = pa.array(texts, pa.large_string())
+        full = pc.fill_null(pc.greater(pc.binary_length(column), 0), False)
+        met, which, begin = _stretches(column.filter(full))
+        met = met.to_pylist()
+        self.learn([s for s in met if s not in self.number])
         counts, flat, ends = self.tables()
-        used = np.frombuffer(self.used, np.int64)
-        for p in parts:
-            own = np.fromiter(map(self.number.__getitem__, p), np.int64, len(p))
-            np.add.at(used, own, 1)
+        number = np.fromiter(map(self.number.__getitem__, met), np.int64, len(met))
+        np.frombuffer(self.used, np.int64)[number] += np.bincount(which, minlength=len(met))
+        begin = np.append(begin, len(which)).tolist()
+        at = 0
+        for has in full.to_pylist():
+            own = number[which[begin[at] : begin[at + 1]]] if has else number[:0]
+            at += has
             n = counts[own].sum(0)
-            if not len(own) or n[4]:
+            if not has or n[4]:
                 yield [0, 0, 0, 0], "", np.zeros(0, np.int64)
                 continue
             yield n[:4].tolist(), hashlib.sha256(";".join(map(self.groups.__getitem__, own.tolist())).encode()).hexdigest(), flat[_places(ends[own], counts[own, 3])]
