@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm import brute
 from tidewright.llm.mixing import mix_sources, source_targets
@@ -293,3 +294,18 @@ def test_later_copies(spark):
         got = later_copies(docs, broadcast_rows)
         assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [3, 4, 6]
     assert later_copies(docs.where("false")).count() == 0
+
+
+def test_blocks_of_the_language_model_travel_as_numbers():
+    """Words are cut and hashed once for a block; what later steps read is smaller than its texts."""
+    from tidewright.llm.suffix_tree_lm import END, _Block
+
+    table = pa.table([pa.array([5, 3, -(2**63), 9], pa.int64()), pa.array(["a B c A", None, "\u00e9 b", " x" * 500])], ["doc_id", "text"])
+    block = _Block(table, 3)
+    payload = block.packed(True)
+    again = _Block(pa.table({"block": [0], "payload": [payload]}), 3)
+    for name in ("ids", "at", "names", "place", "sent", "train", "learns"):
+        assert getattr(block, name).tolist() == getattr(again, name).tolist(), name
+    words = again.vocabulary.to_pylist()
+    assert [[words[i] for i in again.place[a:b]] for a, b in zip(again.at[:-1], again.at[1:], strict=True)] == [["\u00e9", "b", END], [END], ["a", "b", "c", "a", END], ["x"] * 500 + [END]]
+    assert len(_Block(table.slice(3), 3).packed(False)) < 500

@@ -36,6 +36,9 @@ second tree over bytes, with contexts up to five bytes that stay if their diverg
 from the next shorter one, times their count, reaches ``divergence``; scores are
 then probabilities of the words themselves and not comparable with the base.
 
+A block is some megabytes of one task's documents.  It is made where they are read and
+travels as numbers of its words, shuffled once; all steps read it, and no text is shuffled.
+
 Counts come from all training documents.  They stay distributed: word counts live
 in hash buckets, blocks of documents ask for what they need, contexts are tested in
 the bucket that holds all their branches.  Only the byte tree is sent to tasks; it
@@ -51,6 +54,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +62,13 @@ from . import blocks as B
 from .shared import cut, slices
 
 END = " "  # no word is a space
-END_HASH = B.word_hashes(pa.array([END]))[0]
+END_HASH = B.word_hashes(pa.array([END]))[0] >> B.U64(16) << B.U64(16)
 DEPTH = 5
 #: Contexts with more than one in SHARDS tokens (and this many) are dealt over SHARDS keys.
 SHARDS, SHARDED_FROM = 64, 1000
 #: A context's sum of shorter runs' probabilities travels as whole steps of log10.
 LOG_STEPS = 1000.0
+BUCKET_BYTES = 16_000_000  # of text for each bucket
 PACKED = "bucket int, payload binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -86,14 +91,16 @@ def _numbers(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
 # -- counts of training tokens, in buckets -----------------------------------------
 
 
-def _pack(words: list[str], counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words)], "<i8").tobytes() + counts.astype("<i8").tobytes() + "\n".join(words).encode())
+def _pack(words: pa.Array, counts: np.ndarray) -> bytes:
+    data, at = B.text_bytes(pa.chunked_array([words]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(words)], "<i8").tobytes(), counts.astype("<i8").tobytes(), np.diff(at).astype("<i4").tobytes(), data.tobytes()]))
 
 
-def _unpack(data: bytes) -> tuple[list[str], np.ndarray]:
+def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return raw[8 + 8 * n :].decode().split("\n") if n else [], np.frombuffer(raw, "<i8", n, 8)
+    at = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", n, 8 + 8 * n))]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(at), pa.py_buffer(raw[8 + 12 * n :])), np.frombuffer(raw, "<i8", n, 8)
 
 
 def word_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
@@ -103,25 +110,28 @@ def word_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
         for part in slices(batches, 8192, 16_000_000):
             train = np.array([not held_out(i) for i in part["doc_id"].to_pylist()])
             codes, at, vocabulary = B.word_codes(part["text"], lower=True)
-            words = [*vocabulary.to_pylist(), END]
+            words = pa.concat_arrays([vocabulary.cast(pa.large_string()), pa.array([END], pa.large_string())])
             own = np.repeat(train, np.diff(at))
             outside = np.append(np.bincount(codes[~own], minlength=len(vocabulary)), (~train).sum()) > 0
             counts = 2 * np.append(np.bincount(codes[own], minlength=len(vocabulary)), train.sum()).astype(np.int64) + outside
             names = np.concatenate([B.word_hashes(vocabulary), [END_HASH]])
             order = np.argsort(names)
             bounds = B.bucket_slices(names[order], n_buckets)
+            words, counts = words.take(pa.array(order)), counts[order]
             full = [b for b in range(n_buckets) if bounds[b + 1] > bounds[b]] if part.num_rows else []
-            sel = [order[bounds[b] : bounds[b + 1]] for b in full]
-            yield pa.record_batch([pa.array(full, pa.int32()), pa.array([_pack([words[i] for i in s], counts[s]) for s in sel], pa.binary())], names=["bucket", "payload"])
+            sel = [slice(bounds[b], bounds[b + 1]) for b in full]
+            yield pa.record_batch([pa.array(full, pa.int32()), pa.array([_pack(words[s], counts[s]) for s in sel], pa.binary())], names=["bucket", "payload"])
 
     def merge(table: pa.Table) -> pa.Table:
-        total: dict[str, int] = {}
-        for data in table["payload"].to_pylist():
-            for w, c in zip(*(lambda x: (x[0], x[1].tolist()))(_unpack(data)), strict=True):
-                before = total.get(w, 0)
-                total[w] = before + c - (before & c & 1)
-        words = sorted(w for w, c in total.items() if c > 1)
-        return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([_pack(words, np.array([total[w] for w in words], np.int64))], pa.binary())], names=["bucket", "payload"])
+        parts = [_unpack(data) for data in table["payload"].to_pylist()]
+        found = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+        code, c = found.indices.to_numpy(), np.concatenate([c for _, c in parts])
+        total = np.zeros(len(found.dictionary), np.int64)
+        np.add.at(total, code, c >> 1)
+        outside = np.bincount(code[c & 1 > 0], minlength=len(total)) > 0
+        by = pa.compute.sort_indices(found.dictionary).to_numpy()
+        by = by[total[by] > 0]
+        return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([_pack(found.dictionary.take(pa.array(by)), (2 * total + outside)[by])], pa.binary())], names=["bucket", "payload"])
 
     return rows.mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(merge, PACKED)
 
@@ -147,7 +157,7 @@ def _statistics(counts: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
     def grams(batches):
         for batch in batches:
             for data in batch.column("payload").to_pylist():
-                words, _ = _unpack(data)
+                words = _unpack(data)[0].to_pylist()
                 for at in range(0, len(words), 20_000):
                     g, n = np.unique(_grams_of([w for w in words[at : at + 20_000] if w != END]), return_counts=True)
                     yield pa.record_batch([pa.array(g), pa.array(n.astype(np.int64))], names=["gram", "n"])
@@ -218,18 +228,43 @@ def byte_tree(grams: DataFrame, max_contexts: int, divergence: float) -> ByteTre
 
 
 class _Block:
+    """Documents as numbers of the block's words, from their texts or from what ``packed`` made of them."""
+
     def __init__(self, table: pa.Table, n_buckets: int):
-        self.table, self.ids = B.sorted_block(table)
-        codes, at, self.vocabulary = B.word_codes(self.table["text"], lower=True)
-        hashes = np.append(B.word_hashes(self.vocabulary), END_HASH)
-        self.words = np.argsort(hashes)  # of each name, by its rank
-        self.names, rank = hashes[self.words], np.empty(len(hashes), np.int64)
-        rank[self.words] = np.arange(len(hashes))
-        self.place, self.at = np.insert(rank[codes], at[1:], rank[-1]), at + np.arange(len(at))
+        if "text" in table.column_names:
+            table, self.ids = B.sorted_block(table)
+            codes, at, self.vocabulary = B.word_codes(table["text"], lower=True)
+            hashes = np.append(B.word_hashes(self.vocabulary), END_HASH) >> B.U64(16) << B.U64(16)
+            self.words = np.argsort(hashes)  # of each name, by its rank
+            self.names, rank = hashes[self.words], np.empty(len(hashes), np.int64)
+            rank[self.words] = np.arange(len(hashes))
+            self.place, self.at = np.insert(rank[codes], at[1:], rank[-1]), at + np.arange(len(at))
+        else:
+            raw = zstandard.ZstdDecompressor().decompress(table["payload"][0].as_py())
+            d, w, t = np.frombuffer(raw, "<i8", 3).tolist()
+            self.ids = _numbers(raw, "<i8", d, 24)
+            self.at = np.concatenate([[0], np.cumsum(_numbers(raw, "<i8", d, 24 + 8 * d))])
+            self.names = np.cumsum(_numbers(raw, "<u8", w, 24 + 16 * d), dtype=B.U64) << B.U64(16)
+            often = np.argsort(-_numbers(raw, "<u4", w, 24 + 16 * d + 8 * w).astype(np.int64), kind="stable")
+            self.place = often[_numbers(raw, "<u4", t, 24 + 16 * d + 12 * w)]
+            rest = raw[24 + 16 * d + 12 * w + 4 * t :]
+            self.vocabulary = _unpack(rest)[0] if rest else None
         self.sent = np.diff(B.bucket_slices(self.names, n_buckets))
         self.train = np.array([not held_out(int(i)) for i in self.ids])
         self.learns = np.repeat(self.train, np.diff(self.at))
 
+    def packed(self, with_words: bool) -> bytes:
+        """The block, some times smaller than its texts; ``with_words``: for spelling."""
+        raw = np.array([len(self.ids), len(self.names), len(self.place)], "<i8").tobytes() + _planes(self.ids.astype("<i8")) + _planes(np.diff(self.at).astype("<i8"))
+        times = np.bincount(self.place, minlength=len(self.names))
+        rank = np.empty(len(times), "<u4")
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(times))  # the commonest words have the smallest numbers
+        raw += _planes(np.diff(self.names >> B.U64(16), prepend=B.U64(0))) + _planes(times.astype("<u4")) + _planes(rank[self.place])
+        if with_words:
+            words = pa.concat_arrays([self.vocabulary.cast(pa.large_string()), pa.array([END], pa.large_string())])
+            raw += _pack(words.take(pa.array(self.words)), np.zeros(len(words)))
+        return zstandard.ZstdCompressor(level=3).compress(raw)
+
     def learn(self, answers: pa.Table, tree: ByteTree | None, stats: tuple) -> None:
         """Counts and root probabilities of the block's tokens."""
         total, types, discount = stats
@@ -256,8 +291,7 @@ class _Block:
             self.root = np.log10(np.where(c > 0, np.maximum(c - discount, 1e-12) / total, max(left, 0.5 / total)))
             return
         new = np.flatnonzero((c == 0) & (self.names != END_HASH))
-        vocabulary = self.vocabulary.to_pylist() if len(new) else []
-        spelled[new] = tree.spell([vocabulary[i] for i in self.words[new]])
+        spelled[new] = tree.spell(self.vocabulary.take(pa.array(new)).to_pylist())
         spelled = np.where(self.names == END_HASH, -np.inf, spelled)
         self.root = np.log10(np.maximum(np.maximum(c - discount, 0) / total + left * 10.0**spelled, 1e-300))
 
@@ -446,8 +480,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (base_score is defined by its formula); repeated rows count each time; an
     empty table gives an empty result; other columns are ignored.
     """
-    dealt = B.text_blocks(docs, block_bytes, id_col=id_col, text_col=text_col)
-    n = dealt.buckets
+    n = 4 + (docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // BUCKET_BYTES
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = cut(word_counts(rows, n))
     grams, (total, types, once) = _statistics(counts)
@@ -459,19 +492,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     needs = math.log(max(2, total) * (1 - max(discount, context_discount)))
 
     def ask(key, table):
-        block = _Block(B.unpacked(table), n)
+        block = _Block(table, n)
         at = B.bucket_slices(block.names, n)
         full = [b for b in range(n) if at[b + 1] > at[b]]
         steps = [_planes(np.diff(block.names[at[b] : at[b + 1]] >> B.U64(16), prepend=B.U64(0))) for b in full]
         return B.rows(B.EXCHANGE, bucket=full, block=[key[0].as_py()] * len(full), kind=[0] * len(full), payload=[zstandard.ZstdCompressor(level=3).compress(x) for x in steps])
 
     def tell(left, right):
-        words, c = _unpack(right["payload"][0].as_py()) if right.num_rows else ([], np.empty(0, np.int64))
-        names = B.word_hashes(pa.array(words, pa.string())) >> B.U64(16) << B.U64(16)
+        words, c = _unpack(right["payload"][0].as_py()) if right.num_rows else (pa.array([], pa.large_string()), np.empty(0, np.int64))
+        names = B.word_hashes(words) >> B.U64(16) << B.U64(16)
         spelled = np.zeros(len(words), np.float32)
-        real = np.array([w != END for w in words], bool)
         if spell:
-            spelled[real] = tree.value.spell([w for w in words if w != END])
+            known = words.to_pylist()
+            spelled[np.array([w != END for w in known], bool)] = tree.value.spell([w for w in known if w != END])
         order = np.argsort(names)
         names, c, spelled = names[order], c[order], spelled[order]
         # the words' own numbers, the commonest first, take fewer bytes than their hashes
@@ -495,7 +528,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return B.rows(B.EXCHANGE, bucket=left["bucket"].to_pylist(), block=left["block"].to_pylist(), kind=[1] * len(out), payload=out)
 
     def grown(left, right, lengths):
-        block = _Block(B.unpacked(left), n)
+        block = _Block(left, n)
         block.learn(right, tree.value, stats)
         block.start(total)
         for length in range(1, lengths + 1):
@@ -526,7 +559,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             train_tokens=[total] * len(m), base_score=sums(base) - m * math.log10(total + 0.5 * (types + 1)), score=sums(value),
         )
 
-    by_block = B.packed(dealt).groupBy("block")
+    def numbered(batches):
+        first = TaskContext.get().partitionId() << 32
+        for i, part in enumerate(slices(batches, 4096, block_bytes)):
+            yield pa.record_batch([pa.array([first + i], pa.int64()), pa.array([_Block(part, n).packed(spell)], pa.binary())], names=["block", "payload"])
+
+    by_block = rows.mapInArrow(numbered, "block long, payload binary").repartition(n, "block").groupBy("block")
     known = by_block.applyInArrow(ask, B.EXCHANGE).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(tell, B.EXCHANGE)
     told = known.repartition(n, "block")  # parts of one partitioning: their union is not shuffled again
     for length in range(1, depth + 1):
